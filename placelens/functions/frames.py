@@ -27,16 +27,14 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
 
 
 def hot_key_salts(df: DataFrame, key: str, min_rows: int = 100_000, max_keys: int = 512) -> Column:
-    """Number of salts for the current row's key: 1, or more where the key holds many rows of ``df``.
+    """Number of salts for the current row's key: 1, or more where the key holds over ``min_rows`` rows of ``df``.
 
-    A key is hot when it holds more than ``min_rows`` rows and more than 1/``max_keys`` of all rows, so the
-    lookup never has more than ``max_keys`` entries whatever the size of the table.
+    Only the ``max_keys`` largest keys are listed, so the lookup is bounded whatever the size of the table; any
+    other key holds less than 1/``max_keys`` of the rows.
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
-    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).scalar()
-    bound = F.greatest(F.lit(float(min_rows)), total / F.lit(float(max_keys)))
-    hot = counts.withColumn("bound", bound).where(F.col("rows") > F.col("bound"))
-    entries = F.collect_list(F.struct(F.col(key), F.ceil(F.col("rows") / F.col("bound")).cast("int")))
+    hot = counts.where(F.col("rows") > min_rows).orderBy(F.desc("rows")).limit(max_keys)
+    entries = F.collect_list(F.struct(F.col(key), F.ceil(F.col("rows") / F.lit(float(min_rows))).cast("int")))
     lookup = hot.agg(F.map_from_entries(entries)).scalar()
     return F.coalesce(F.try_element_at(lookup, F.col(key)), F.lit(1))
 
@@ -44,8 +42,8 @@ def hot_key_salts(df: DataFrame, key: str, min_rows: int = 100_000, max_keys: in
 def salted_join(probe: DataFrame, build: DataFrame, key: str, min_rows: int = 100_000) -> DataFrame:
     """Inner equi-join on ``key`` that splits the build rows of hot keys and repeats their probe rows."""
     salts = hot_key_salts(build, key, min_rows)
-    spread = build.withColumn("salt", F.pmod(F.xxhash64(*build.columns), salts))
-    repeated = probe.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)).cast("bigint"))
+    spread = build.withColumn("salt", F.pmod(F.xxhash64(*build.columns), salts.cast("bigint")))
+    repeated = probe.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts.cast("bigint") - 1)))
     return repeated.join(spread, [key, "salt"]).drop("salt")
 
 

@@ -17,43 +17,39 @@ def band_height(radius_km: float) -> float:
     return math.degrees(radius_km / EARTH_RADIUS_KM) * _SLACK
 
 
-def band(lat: Column, radius_km: float) -> Column:
-    return F.floor(lat / band_height(radius_km))
+def _band(lat: str, radius_km: float) -> str:
+    return f"floor({lat} / {band_height(radius_km)!r}D)"
 
 
-def cells_in_band(row: Column, radius_km: float) -> Column:
+def _cells_in_band(row: str, radius_km: float) -> str:
     """Number of equal longitude cells in a band.
 
     Two points within the radius whose bands touch differ in longitude by at most one cell width, taken at the
     edge nearest a pole of this band and its two neighbours.
     """
-    edge = F.greatest(F.abs(row - 1), F.abs(row + 2)) * band_height(radius_km)
-    cosine = F.cos(F.radians(F.least(edge, F.lit(90.0))))
-    reach = F.least(F.lit(1.0), math.sin(radius_km / (2 * EARTH_RADIUS_KM)) / cosine)
-    width = F.degrees(2.0 * F.asin(reach)) * _SLACK
-    return F.greatest(F.lit(1), F.floor(360.0 / width))
+    edge = f"least(greatest(abs({row} - 1), abs({row} + 2)) * {band_height(radius_km)!r}D, 90D)"
+    reach = f"least(1D, {math.sin(radius_km / (2 * EARTH_RADIUS_KM))!r}D / cos(radians({edge})))"
+    return f"greatest(1L, floor(360D / (degrees(2D * asin({reach})) * {_SLACK!r}D)))"
 
 
-def _column_of(lon: Column, n: Column) -> Column:
-    return F.pmod(F.floor((lon + 180.0) / (360.0 / n)), n)
+def _column(lon: str, n: str) -> str:
+    return f"pmod(floor(({lon} + 180D) / (360D / {n})), {n})"
 
 
-def _cell_id(row: Column, col: Column) -> Column:
-    return row.cast("bigint") * F.lit(1 << 32) + col.cast("bigint")
+def _cell_id(row: str, column: str) -> str:
+    return f"{row} * {1 << 32}L + {column}"
 
 
-def home_cell(lat: Column, lon: Column, radius_km: float) -> Column:
-    row = band(lat, radius_km)
-    return _cell_id(row, _column_of(lon, cells_in_band(row, radius_km)))
+def home_cell(lat: str, lon: str, radius_km: float) -> Column:
+    """Cell of a point given by two column names."""
+    row = _band(lat, radius_km)
+    return F.expr(_cell_id(row, _column(lon, _cells_in_band(row, radius_km))))
 
 
-def nearby_cells(lat: Column, lon: Column, radius_km: float) -> Column:
+def nearby_cells(lat: str, lon: str, radius_km: float) -> Column:
     """Array of the cells that can hold points within the radius."""
-    rows = F.sequence(band(lat, radius_km) - 1, band(lat, radius_km) + 1)
-
-    def cells(row):
-        n = cells_in_band(row, radius_km)
-        mid = _column_of(lon, n)
-        return F.transform(F.array(mid, F.pmod(mid + 1, n), F.pmod(mid - 1, n)), lambda col: _cell_id(row, col))
-
-    return F.array_distinct(F.flatten(F.transform(rows, cells)))
+    row = _band(lat, radius_km)
+    bands = f"transform(sequence({row} - 1, {row} + 1), r -> named_struct('r', r, 'n', {_cells_in_band('r', radius_km)}))"
+    middle = f"transform({bands}, b -> named_struct('r', b.r, 'n', b.n, 'c', {_column(lon, 'b.n')}))"
+    steps = f"transform(array(0, 1, -1), d -> {_cell_id('m.r', 'pmod(m.c + d, m.n)')})"
+    return F.expr(f"array_distinct(flatten(transform({middle}, m -> {steps})))")

@@ -108,6 +108,11 @@ class TextIndex:
     postings: DataFrame
     vocabulary: DataFrame
 
+    def checkpoint(self) -> TextIndex:
+        """Both tables written to the reliable checkpoint folder, for plans that read them several times."""
+        postings = self.postings.checkpoint(eager=True)
+        return TextIndex(postings, self.vocabulary.checkpoint(eager=True))
+
 
 def index_terms(text: Column, stopwords: Sequence[str], ngrams: int = 2) -> Column:
     """Words of two or more characters without stop words, and the pairs of neighbours among them."""

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placelens.functions.columns import category_set, clip, haversine_km, safe_double
+from placelens.functions.columns import category_set, haversine_km, safe_double
 from placelens.functions.frames import salted_join, top_per_group
 from placelens.functions.grid import home_cell, nearby_cells
 from placelens.operators.vectors import set_top_k
@@ -36,10 +36,10 @@ def radius_join(
 
     Both inputs carry latitude and longitude. Cells that hold very many reference rows are salted.
     """
-    left = with_point(targets).withColumn("cell", F.explode(nearby_cells(F.col("latitude"), F.col("longitude"), radius_km)))
+    left = with_point(targets).withColumn("cell", F.explode(nearby_cells("latitude", "longitude", radius_km)))
     right = (
         with_point(ref)
-        .withColumn("cell", home_cell(F.col("latitude"), F.col("longitude"), radius_km))
+        .withColumn("cell", home_cell("latitude", "longitude", radius_km))
         .withColumnsRenamed({"latitude": "ref_latitude", "longitude": "ref_longitude"})
     )
     distance = haversine_km(F.col("latitude"), F.col("longitude"), F.col("ref_latitude"), F.col("ref_longitude"))
@@ -54,21 +54,17 @@ def _slice(by: str | None) -> Column:
 
 
 def reference_profiles(ref: DataFrame, by: str | None = None) -> DataFrame:
-    """Places that share coordinates and category set, as one row with their counts and sums."""
+    """Places that share coordinates and category set, as one row with their count and sums.
+
+    Stars and is_open are set in cleaned place tables; a missing value would count as 0.
+    """
     rows = with_point(ref).select(
-        _slice(by),
-        "latitude",
-        "longitude",
-        category_set(F.col("categories")).alias("cats"),
-        F.col("stars").cast("double").alias("stars"),
-        F.col("is_open").cast("double").alias("is_open"),
+        _slice(by), "latitude", "longitude", category_set(F.col("categories")).alias("cats"), "stars", "is_open"
     )
     return rows.groupBy("slice", "latitude", "longitude", "cats").agg(
         F.count("*").alias("n"),
-        F.count("stars").alias("n_stars"),
-        F.count("is_open").alias("n_open"),
-        F.coalesce(F.sum("stars"), F.lit(0.0)).alias("stars"),
-        F.coalesce(F.sum("is_open"), F.lit(0.0)).alias("open"),
+        F.expr("coalesce(sum(double(stars)), 0D) AS stars"),
+        F.expr("coalesce(sum(double(is_open)), 0D) AS open"),
     )
 
 
@@ -91,45 +87,40 @@ def neighbour_totals(
         _slice(by), "latitude", "longitude", category_set(F.col("categories")).alias("cats")
     ).distinct()
     near = reference_profiles(ref, by).withColumnsRenamed({"cats": "ref_cats", "slice": "ref_slice"})
-    pairs = radius_join(profiles, near, max(radii)).where(F.col("slice") == F.col("ref_slice"))
-    same = F.arrays_overlap("cats", "ref_cats")
-    own = (
-        (F.col("latitude") == F.col("ref_latitude"))
-        & (F.col("longitude") == F.col("ref_longitude"))
-        & (F.col("cats") == F.col("ref_cats"))
+    pairs = radius_join(profiles, near, max(radii)).where("slice = ref_slice")
+    own = "latitude = ref_latitude AND longitude = ref_longitude AND cats = ref_cats"
+    pairs = pairs.selectExpr(
+        *key, "ref_cats", "distance_km", "n", "stars", "open", "arrays_overlap(cats, ref_cats) AS same", f"{own} AS own"
     )
-    pairs = pairs.withColumns({"same": same, "own": own})
-    sums, names = [], []
-    for r in radii:
-        for scope in ("all", "same"):
-            hit = (F.col("distance_km") <= r) & (F.lit(True) if scope == "all" else F.col("same"))
-            for m in ("n", "n_stars", "n_open", "stars", "open"):
-                name = f"{scope}_{m}_{_tag(r)}"
-                names.append(name)
-                sums.append(F.sum(F.when(hit, F.col(m)).otherwise(0)).alias(name))
+    sums = {
+        f"{scope}_{m}_{_tag(r)}": f"if(distance_km <= {float(r)}D{' AND same' if scope == 'same' else ''}, {m}, 0)"
+        for r in radii
+        for scope in ("all", "same")
+        for m in ("n", "stars", "open")
+    }
+    ends = ["min(d_any) AS d_any", "min(d_other) AS d_other", "min(d_same_other) AS d_same_other", "max(own_n) AS own_n"]
     by_set = pairs.groupBy(*key, "ref_cats").agg(
-        *sums,
-        F.min("distance_km").alias("d_any"),
-        F.min(F.when(~F.col("own"), F.col("distance_km"))).alias("d_other"),
-        F.min(F.when(F.col("same") & ~F.col("own"), F.col("distance_km"))).alias("d_same_other"),
-        F.max(F.when(F.col("own"), F.col("n"))).alias("own_n"),
+        *[F.expr(f"sum({v}) AS `{k}`") for k, v in sums.items()],
+        F.expr("min(distance_km) AS d_any"),
+        F.expr("min(if(own, NULL, distance_km)) AS d_other"),
+        F.expr("min(if(same AND NOT own, distance_km, NULL)) AS d_same_other"),
+        F.expr("max(if(own, n, NULL)) AS own_n"),
     )
+    # The sums of a neighbouring set ride on its first category.
     opened = by_set.select("*", F.posexplode_outer("ref_cats").alias("pos", "cat"))
-    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     by_cat = opened.groupBy(*key, "cat").agg(
-        *[F.sum(F.when(first, F.col(f"`{n}`")).otherwise(0)).alias(n) for n in names],
-        F.min("d_any").alias("d_any"),
-        F.min("d_other").alias("d_other"),
-        F.min("d_same_other").alias("d_same_other"),
-        F.max("own_n").alias("own_n"),
+        *[F.expr(f"sum(if(pos IS NULL OR pos = 0, `{k}`, 0)) AS `{k}`") for k in sums], *[F.expr(e) for e in ends]
     )
-    known = F.col("cat").isNotNull()
+    kinds = [
+        F.expr(f"count_if(cat IS NOT NULL AND d_{d} <= {float(r)}D) AS `cats_{d}_{_tag(r)}`")
+        for r in radii
+        for d in ("any", "other")
+    ]
     return by_cat.groupBy(*key).agg(
-        *[F.sum(F.col(f"`{n}`")).alias(n) for n in names],
-        *[F.count_if(known & (F.col("d_any") <= r)).alias(f"cats_any_{_tag(r)}") for r in radii],
-        *[F.count_if(known & (F.col("d_other") <= r)).alias(f"cats_other_{_tag(r)}") for r in radii],
-        F.min("d_same_other").alias("d_same_other"),
-        F.coalesce(F.max("own_n"), F.lit(0)).alias("own_n"),
+        *[F.expr(f"sum(`{k}`) AS `{k}`") for k in sums],
+        *kinds,
+        F.expr("min(d_same_other) AS d_same_other"),
+        F.expr("coalesce(max(own_n), 0) AS own_n"),
     )
 
 
@@ -159,49 +150,38 @@ def competition_features(
     neighbour is left the means are those of the whole reference set and the distance is the largest radius.
     With ``by`` only places of the target's own slice count, for neighbours and for those means.
     """
-    own = [c for c in ("stars", "is_open") if exclude_self]
     rows = with_point(targets).select(
         key,
         _slice(by),
         "latitude",
         "longitude",
         category_set(F.col("categories")).alias("cats"),
-        *[F.col(c).cast("double").alias(f"own_{c}") for c in own],
+        *([F.expr("double(stars) AS own_stars"), F.expr("double(is_open) AS own_open")] if exclude_self else []),
     )
     totals = neighbour_totals(targets, ref, radii, by)
     joined = rows.join(totals, ["slice", "latitude", "longitude", "cats"], "left")
     joined = with_global_means(joined, ref, by)
-    has_cats = F.size("cats") > 0
-    zero = F.lit(0.0)
 
-    def total(scope: str, m: str, r: float) -> Column:
-        v = F.coalesce(F.col(f"`{scope}_{m}_{_tag(r)}`"), F.lit(0))
+    def total(scope: str, m: str, r: float) -> str:
+        known = f"coalesce(`{scope}_{m}_{_tag(r)}`, 0)"
         if not exclude_self:
-            return v
-        mine = {
-            "n": F.lit(1),
-            "n_stars": F.col("own_stars").isNotNull().cast("int"),
-            "n_open": F.col("own_is_open").isNotNull().cast("int"),
-            "stars": F.coalesce(F.col("own_stars"), zero),
-            "open": F.coalesce(F.col("own_is_open"), zero),
-        }[m]
-        return v - (mine if scope == "all" else F.when(has_cats, mine).otherwise(0))
+            return known
+        mine = {"n": "1", "stars": "own_stars", "open": "own_open"}[m]
+        return f"({known} - {mine if scope == 'all' else f'if(size(cats) > 0, {mine}, 0)'})"
 
     out = []
     for r in radii:
+        t = _tag(r)
         for scope, suffix in (("all", "all"), ("same", "same_cat")):
-            out.append(total(scope, "n", r).cast("bigint").alias(f"count_{suffix}_{_tag(r)}"))
-            for m, label, fallback in (("stars", "avg_rating", "global_stars"), ("open", "survival", "global_open")):
-                n = total(scope, f"n_{m}", r)
-                mean = F.when(n > 0, total(scope, m, r) / n).otherwise(F.col(fallback))
-                out.append(mean.alias(f"{label}_{suffix}_{_tag(r)}"))
-        kinds = F.col(f"`cats_any_{_tag(r)}`")
-        if exclude_self:
-            kinds = F.when(F.col("own_n") >= 2, kinds).otherwise(F.col(f"`cats_other_{_tag(r)}`"))
-        out.append(F.coalesce(kinds, F.lit(0)).alias(f"diversity_{_tag(r)}"))
-    twin = F.coalesce(F.col("own_n"), F.lit(0)) >= (2 if exclude_self else 1)
-    nearest = F.when(twin & has_cats, zero).otherwise(F.coalesce(F.col("d_same_other"), F.lit(float(max(radii)))))
-    return joined.select(key, *out, nearest.alias("dist_nearest_same_cat"), "global_stars", "global_open")
+            n = total(scope, "n", r)
+            out.append(f"bigint({n}) AS `count_{suffix}_{t}`")
+            for m, label in (("stars", "avg_rating"), ("open", "survival")):
+                out.append(f"if({n} > 0, {total(scope, m, r)} / {n}, global_{m}) AS `{label}_{suffix}_{t}`")
+        kinds = f"if(own_n >= 2, `cats_any_{t}`, `cats_other_{t}`)" if exclude_self else f"`cats_any_{t}`"
+        out.append(f"coalesce({kinds}, 0) AS `diversity_{t}`")
+    twins = 2 if exclude_self else 1
+    nearest = f"""if(coalesce(own_n, 0) >= {twins} AND size(cats) > 0, 0D, coalesce(d_same_other, {float(max(radii))}D))"""
+    return joined.selectExpr(key, *out, f"{nearest} AS dist_nearest_same_cat", "global_stars", "global_open")
 
 
 def _pick(df: DataFrame, key: str, prefixes: Sequence[str]) -> DataFrame:
@@ -276,26 +256,27 @@ def top5_similar_category(
 
 def spatial_transforms(df: DataFrame, radii: Sequence[float] = RADII) -> DataFrame:
     """Logs, flags, ratios and gaps derived from the competition features."""
-    c = lambda name: F.col(f"`{name}`")
-    new: dict[str, Column] = {}
+    out = []
     for r in radii:
         t = _tag(r)
-        n_all, n_same = c(f"count_all_{t}"), c(f"count_same_cat_{t}")
-        new[f"log_count_all_{t}"] = F.log1p(clip(n_all, 0, 5000))
-        new[f"log_count_same_cat_{t}"] = F.log1p(n_same)
-        new[f"has_any_{t}"] = (n_all > 0).cast("double")
-        new[f"has_same_cat_{t}"] = (n_same > 0).cast("double")
-        new[f"low_count_{t}"] = (n_all < 5).cast("double")
-        new[f"same_cat_ratio_{t}"] = n_same / (n_all + 1.0)
-        new[f"rating_gap_global_{t}"] = c(f"avg_rating_all_{t}") - F.col("global_stars")
-        new[f"survival_gap_global_{t}"] = c(f"survival_all_{t}") - F.col("global_open")
-        new[f"same_cat_rating_gap_global_{t}"] = c(f"avg_rating_same_cat_{t}") - F.col("global_stars")
-        new[f"same_cat_survival_gap_global_{t}"] = c(f"survival_same_cat_{t}") - F.col("global_open")
-        new[f"same_cat_vs_local_rating_gap_{t}"] = c(f"avg_rating_same_cat_{t}") - c(f"avg_rating_all_{t}")
-        new[f"same_cat_vs_local_survival_gap_{t}"] = c(f"survival_same_cat_{t}") - c(f"survival_all_{t}")
-        new[f"log_diversity_{t}"] = F.log1p(c(f"diversity_{t}"))
-    new["log_dist_nearest_same_cat"] = F.log1p("dist_nearest_same_cat")
-    return df.select("*", *[v.alias(k) for k, v in new.items()])
+        n_all, n_same = f"`count_all_{t}`", f"`count_same_cat_{t}`"
+        new = {
+            "log_count_all": f"log1p(least(greatest({n_all}, 0), 5000))",
+            "log_count_same_cat": f"log1p({n_same})",
+            "has_any": f"double({n_all} > 0)",
+            "has_same_cat": f"double({n_same} > 0)",
+            "low_count": f"double({n_all} < 5)",
+            "same_cat_ratio": f"{n_same} / ({n_all} + 1D)",
+            "rating_gap_global": f"`avg_rating_all_{t}` - global_stars",
+            "survival_gap_global": f"`survival_all_{t}` - global_open",
+            "same_cat_rating_gap_global": f"`avg_rating_same_cat_{t}` - global_stars",
+            "same_cat_survival_gap_global": f"`survival_same_cat_{t}` - global_open",
+            "same_cat_vs_local_rating_gap": f"`avg_rating_same_cat_{t}` - `avg_rating_all_{t}`",
+            "same_cat_vs_local_survival_gap": f"`survival_same_cat_{t}` - `survival_all_{t}`",
+            "log_diversity": f"log1p(`diversity_{t}`)",
+        }
+        out += [f"{v} AS `{k}_{t}`" for k, v in new.items()]
+    return df.selectExpr("*", *out, "log1p(dist_nearest_same_cat) AS log_dist_nearest_same_cat")
 
 
 def all_features(

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-CHECKS = ["checks_tables", "checks_spatial"]
+CHECKS = ["checks_tables", "checks_spatial", "checks_text"]
 
 
 def load_registry():
