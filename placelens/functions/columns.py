@@ -20,7 +20,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     half_dlat = F.sin((F.radians(lat2) - F.radians(lat1)) / 2.0)
     half_dlon = F.sin((F.radians(lon2) - F.radians(lon1)) / 2.0)
     a = half_dlat * half_dlat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_dlon * half_dlon
-    return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), a))))
+    return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.sqrt(clip(a, 0.0, 1.0)))
 
 
 def clip(c: Column, lo: float, hi: float) -> Column:
@@ -117,7 +117,7 @@ def budget_tier(budget: Column) -> Column:
 
 
 def price_match(tier: Column, budget: Column) -> Column:
-    gap = F.least(F.abs(tier - budget_tier(budget)), F.lit(3.0))
+    gap = clip(F.abs(tier - budget_tier(budget)), 0.0, 3.0)
     return F.coalesce(1.0 - gap / 3.0, F.lit(0.5))
 
 

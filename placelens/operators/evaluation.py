@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from placelens.functions.columns import half_star
+from placelens.functions.columns import clip, half_star
 from placelens.functions.frames import with_running_totals
 
 
@@ -147,7 +147,7 @@ def high_star_report(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
 def star_accuracy(df: DataFrame) -> DataFrame:
     """Share of equal whole stars (ties to even) and share within half a star."""
     whole = lambda c: F.bround(F.col(c), 0)
-    predicted = F.least(F.greatest(whole("predicted"), F.lit(1.0)), F.lit(5.0))
+    predicted = clip(whole("predicted"), 1.0, 5.0)
     return df.agg(
         F.avg((whole("actual") == predicted).cast("double")).alias("acc_exact"),
         F.avg((F.abs(F.col("actual") - F.col("predicted")) <= 0.5).cast("double")).alias("acc_within_half"),

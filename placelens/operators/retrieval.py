@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placelens.functions.columns import (
@@ -108,11 +109,6 @@ class TextIndex:
     postings: DataFrame
     vocabulary: DataFrame
 
-    def checkpoint(self) -> TextIndex:
-        """Both tables written to the reliable checkpoint folder, for plans that read them several times."""
-        postings = self.postings.checkpoint(eager=True)
-        return TextIndex(postings, self.vocabulary.checkpoint(eager=True))
-
 
 def index_terms(text: Column, stopwords: Sequence[str], ngrams: int = 2) -> Column:
     """Words of two or more characters without stop words, and the pairs of neighbours among them."""
@@ -127,12 +123,17 @@ def fit_tfidf(
     stopwords: Sequence[str] = tuple(INDEX_STOPWORDS),
     ngrams: int = 2,
     min_df: int = 1,
+    cut: bool = False,
 ) -> TextIndex:
     """TF-IDF over (doc_id, text): smoothed idf, unit-length rows, vocabulary capped by corpus count, then term.
 
     Documents are spread by id once; counting terms and the row norms then need no further shuffle, and only
-    one row per distinct term and task leaves for the vocabulary.
+    one row per distinct term and task leaves for the vocabulary. A document is one input row, so its terms fit
+    in a task. With ``cut`` the documents and both tables are written as reliable checkpoints, for plans that
+    read the index several times.
     """
+    if cut:
+        docs = docs.select("doc_id", "text").checkpoint()
     spread = docs.select("doc_id", "text").repartition("doc_id")
     terms = spread.select("doc_id", F.explode(index_terms(F.col("text"), stopwords, ngrams)).alias("term"))
     counts = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
@@ -145,12 +146,14 @@ def fit_tfidf(
         .limit(max_features)
     )
     vocabulary = frequent.select("term", (F.ln((n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    if cut:
+        vocabulary = vocabulary.checkpoint()
     # The vocabulary has at most ``max_features`` rows by the limit above.
     small = F.broadcast(vocabulary) if max_features <= 100_000 else vocabulary
     raw = counts.join(small, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    norms = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    postings = raw.join(norms, "doc_id").select("doc_id", "term", (F.col("raw") / F.col("norm")).alias("w"))
-    return TextIndex(postings, vocabulary)
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("doc_id")))
+    postings = raw.select("doc_id", "term", (F.col("raw") / norm).alias("w"))
+    return TextIndex(postings.checkpoint() if cut else postings, vocabulary)
 
 
 def doc_norms(postings: DataFrame) -> DataFrame:

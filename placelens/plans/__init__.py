@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-CHECKS = ["checks_tables", "checks_spatial", "checks_text"]
+CHECKS = ["checks_tables", "checks_spatial", "checks_text", "checks_search", "checks_models"]
 
 
 def load_registry():

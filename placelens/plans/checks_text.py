@@ -379,7 +379,7 @@ INDEXED = PROFILES + ", " + tfidf_sql("profiles", "business_id", "profile", 5000
 def place_index(spark, sf) -> retrieval.TextIndex:
     """Index over the place profiles, written once as a checkpoint because several joins read it."""
     docs = profiles(spark, sf).select(F.col("business_id").alias("doc_id"), F.col("profile").alias("text"))
-    return retrieval.fit_tfidf(docs).checkpoint()
+    return retrieval.fit_tfidf(docs, cut=True)
 
 
 @check("rt8_cosine_scores", with_views("places reviews query_log", "SELECT query_text, doc_id, round(similarity, 6) AS similarity FROM sims",
