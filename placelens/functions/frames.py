@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from placelens.session import cut
+
 
 def conform(df: DataFrame, schema) -> DataFrame:
-    """Project to ``schema``; absent columns become typed NULLs."""
+    """Project to ``schema``; absent columns and unreadable values become typed NULLs."""
     have = set(df.columns)
     return df.select(
         *[
-            (F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
+            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
             for f in schema.fields
         ]
     )
@@ -131,4 +133,4 @@ def ordered_segments(df: DataFrame, order: Sequence[str], segments: int | None =
     spark = df.sparkSession
     n = segments or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).withColumn("segment", F.spark_partition_id())
-    return ranged.checkpoint(eager=True)
+    return cut(ranged)

@@ -22,6 +22,7 @@ from placelens.functions.columns import (
 from placelens.functions.frames import salted_join, top_per_group
 from placelens.functions.lexicons import CUISINE_KEYWORDS, INDEX_STOPWORDS, THEME_STOPWORDS, WEIGHT_NAMES
 from placelens.operators.text_signals import extract_themes
+from placelens.session import cut as checkpointed
 
 RESULT_COLUMNS = [
     "business_id", "name", "address", "city", "state", "categories", "stars", "review_count", "similarity",
@@ -133,7 +134,7 @@ def fit_tfidf(
     read the index several times.
     """
     if cut:
-        docs = docs.select("doc_id", "text").checkpoint()
+        docs = checkpointed(docs.select("doc_id", "text"))
     spread = docs.select("doc_id", "text").repartition("doc_id")
     terms = spread.select("doc_id", F.explode(index_terms(F.col("text"), stopwords, ngrams)).alias("term"))
     counts = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
@@ -147,13 +148,13 @@ def fit_tfidf(
     )
     vocabulary = frequent.select("term", (F.ln((n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     if cut:
-        vocabulary = vocabulary.checkpoint()
+        vocabulary = checkpointed(vocabulary)
     # The vocabulary has at most ``max_features`` rows by the limit above.
     small = F.broadcast(vocabulary) if max_features <= 100_000 else vocabulary
     raw = counts.join(small, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("doc_id")))
     postings = raw.select("doc_id", "term", (F.col("raw") / norm).alias("w"))
-    return TextIndex(postings.checkpoint() if cut else postings, vocabulary)
+    return TextIndex(checkpointed(postings) if cut else postings, vocabulary)
 
 
 def doc_norms(postings: DataFrame) -> DataFrame:

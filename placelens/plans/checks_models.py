@@ -13,6 +13,7 @@ from placelens.plans.checks_spatial import sites as site_table
 from placelens.plans.checks_text import _LEX, ASPECTS, NEGATIVE, POSITIVE
 from placelens.plans.registry import check, rounded
 from placelens.plans.views import with_views
+from placelens.session import cut
 
 ROUNDS = 5
 
@@ -75,7 +76,7 @@ def training_table(spark, sf):
     )
     prices = features.price_columns(places).select("business_id", F.col("price_range").cast("double").alias("price_range"))
     joined = base.join(features.hour_features(places), "business_id").join(prices, "business_id").join(wide, "business_id")
-    return modeling.model_columns(joined).checkpoint()
+    return cut(modeling.model_columns(joined))
 
 
 def _parts(table):
@@ -132,7 +133,7 @@ def multi_target_table(spark, sf):
         category_set(F.col("categories")).alias("cats"), text_signals.star_weights(F.col("stars")).alias("weight"),
     )
     joined = base.join(targets, "business_id").join(signals, "business_id", "left").join(features.attribute_features(places), "business_id")
-    return joined.na.fill(0).checkpoint()
+    return cut(joined.na.fill(0))
 
 
 MULTI_FEATURES = ["latitude", "longitude", "review_count", "is_open", "attr_price_range", *text_signals.REVIEW_SIGNALS]
@@ -258,7 +259,7 @@ def cluster_features(spark, sf):
 
 @check("cu2_kmeans_zones")
 def kmeans(spark, sf):
-    rows = zones.cluster_features(priced(spark, sf)).checkpoint()
+    rows = cut(zones.cluster_features(priced(spark, sf)))
     return zones.kmeans_zones(rows, starts=3).select("business_id", "cluster")
 
 
@@ -269,7 +270,7 @@ def state_zones(spark, sf):
 
 @check("cu3_elbow_curve")
 def elbow(spark, sf):
-    return zones.elbow_curve(zones.cluster_features(priced(spark, sf)).checkpoint(), ks=(2, 3, 4))
+    return zones.elbow_curve(cut(zones.cluster_features(priced(spark, sf))), ks=(2, 3, 4))
 
 
 _CLUSTERED = "c AS (SELECT *, substr(business_id, 2)::BIGINT % 4 AS cluster FROM places)"

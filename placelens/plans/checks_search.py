@@ -13,6 +13,8 @@ from placelens.plans.checks_spatial import _hav
 from placelens.plans.checks_text import ANNOTATED, COSINE, INDEXED, annotated, place_index
 from placelens.plans.registry import check, rounded
 from placelens.plans.views import with_views
+from placelens.session import cut, shared_folder
+from placelens.streaming.policy_stream import QStateStream
 
 # --- policy state in SQL -----------------------------------------------------------------------------------
 
@@ -247,7 +249,7 @@ _POOLS = RANKED + ", " + _PREFS + """, combos AS MATERIALIZED (SELECT DISTINCT r
 
 def _pool(spark, sf, index):
     r = requests(spark, sf)
-    pools = plan.rank_pools(r, index, meta(spark, sf)).checkpoint()
+    pools = cut(plan.rank_pools(r, index, meta(spark, sf)))
     key = F.concat_ws("|", "sig", F.col("session_id").cast("string"))
     combos = r.select("sig", "session_id").distinct().withColumn("query_id", key)
     prefs = rerank.preference_state(v.actions(spark, sf)).select("session_id", "business_id", "preference")
@@ -327,6 +329,17 @@ def q_state(spark, sf):
     return rounded(state(spark, sf))
 
 
+@check("bd4_q_state_stream", with_views("actions", "SELECT intent, arm, round(q_value, 6) AS q_value, pull_count, total_interactions FROM qstate", STATE))
+def q_state_stream(spark, sf):
+    folder = shared_folder(spark, "feedback")
+    rows = events(spark, sf).select("event_id", "ts", "intent", "arm", "reward")
+    rows.write.parquet(f"{folder}/events")
+    stream = QStateStream(f"{folder}/out")
+    query = stream.start(spark.readStream.schema(rows.schema).parquet(f"{folder}/events"), f"{folder}/progress")
+    query.awaitTermination()
+    return rounded(stream.state(spark, query.lastProgress["batchId"]))
+
+
 @check("bd5_feedback_log", with_views("actions", f"""SELECT event_id, intent, arm, reward, query_text, round({_FOLD.format(
  "list(reward) OVER (PARTITION BY intent, arm ORDER BY ts, event_id)")}, 4) AS new_q_value FROM rewards""", REWARDS))
 def feedback_log(spark, sf):

@@ -8,7 +8,8 @@ from placelens.functions.columns import category_set, price_tier, split_categori
 from placelens.operators import cleaning, features, joins
 from placelens.plans import views as v
 from placelens.plans.registry import check, rounded
-from placelens.plans.views import with_views
+from placelens.plans.views import tfidf_sql, with_views
+from placelens.session import shared_folder
 from placelens.sources import readers, writers
 
 # --- sources -----------------------------------------------------------------------------------------------
@@ -62,6 +63,50 @@ def manifest(spark, sf):
     return writers.dataset_manifest(spark, {t: f"{sf}/{t}.parquet" for t in ("part", "lineitem", "documents")})
 
 
+@check("sr1_read_places", with_views("places", """SELECT business_id, name, address, state, latitude, stars, review_count, is_open, attributes, categories FROM places"""))
+def read_places(spark, sf):
+    folder = shared_folder(spark, "places")
+    writers.write_table(v.places(spark, sf), folder, fmt="csv")
+    rows = readers.read_places(spark, folder, "csv")
+    return rows.select("business_id", "name", "address", "state", "latitude", "stars", "review_count", "is_open", "attributes", "categories")
+
+
+@check("sr2_read_reviews", with_views("reviews", "SELECT review_id, business_id, stars, md5(text) AS digest FROM reviews"))
+def read_reviews(spark, sf):
+    folder = shared_folder(spark, "reviews")
+    v.reviews(spark, sf).write.json(folder)
+    return readers.read_reviews(spark, folder).select("review_id", "business_id", "stars", F.md5("text").alias("digest"))
+
+
+@check("sr6_read_photo_manifest", with_views("photos", "SELECT photo_id, business_id FROM photos WHERE seq % 7 <> 0"))
+def read_photos(spark, sf):
+    folder = shared_folder(spark, "photos")
+    row = F.to_json(F.struct("photo_id", "business_id"))
+    broken = F.when(F.col("seq") % 7 == 0, F.lit("{broken")).otherwise(row)
+    v.photos(spark, sf).select(broken.alias("line")).write.text(folder)
+    return readers.read_photo_manifest(spark, folder).select("photo_id", "business_id")
+
+
+@check("sr7_write_table", with_views("places", "SELECT business_id, state, stars FROM places"))
+def write_table(spark, sf):
+    folder = shared_folder(spark, "table")
+    writers.write_table(v.places(spark, sf), folder, ["state"])
+    return spark.read.parquet(folder).select("business_id", "state", "stars")
+
+
+@check("sr10_save_and_load_index", "WITH " + tfidf_sql("documents", "doc_id", "text", 5000) + " SELECT term, round(idf, 6) AS idf FROM vocab")
+def save_index(spark, sf):
+    from placelens.operators.retrieval import fit_tfidf
+
+    folder, config = shared_folder(spark, "index"), {"max_features": 5000, "ngrams": 2}
+    documents = v.table(spark, sf, "documents")
+    if not writers.index_is_current(spark, folder, config):
+        writers.save_index(fit_tfidf(documents, max_features=5000), documents.select("doc_id", "lang"), folder, config)
+    if not writers.index_is_current(spark, folder, config):
+        raise ValueError("the saved index does not match its configuration")
+    return rounded(writers.load_index(spark, folder)[0].vocabulary)
+
+
 # --- cleaning ----------------------------------------------------------------------------------------------
 
 

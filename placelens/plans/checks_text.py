@@ -21,7 +21,8 @@ from placelens.operators import query_log, retrieval, text_signals
 from placelens.plans import views as v
 from placelens.plans.checks_tables import _MAP as MAPPED
 from placelens.plans.registry import check, rounded
-from placelens.plans.views import with_views
+from placelens.plans.views import sql_list as _list
+from placelens.plans.views import tfidf_sql, with_views
 
 # The test texts are invented prose, so the signals are driven with frequent tokens and letter groups of it.
 POSITIVE = ["the", "that", "with", "from"]
@@ -31,10 +32,6 @@ COMPLAINTS = ["ther the", "hat was", "on and"]
 ASPECTS = {"food": ["eron"], "service": ["thou", "blees"], "atmosphere": ["esthe"], "value": ["zzz"]}
 
 
-def _list(words) -> str:
-    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
-
-
 def _like(text: str, words) -> str:
     return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
@@ -336,19 +333,6 @@ def snippets(spark, sf):
     return retrieval.synthetic_snippets(readers.map_export_places(v.map_export(spark, sf)))
 
 
-def tfidf_sql(source: str, key: str, text: str, cap: int) -> str:
-    """Common table expressions postings(doc_id, term, w) and vocab(term, idf)."""
-    return f"""words AS (SELECT {key} AS doc_id, list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
-  lambda x: NOT list_contains({_list(INDEX_STOPWORDS)}, x)) AS w FROM {source}),
- terms AS (SELECT doc_id, unnest(w) AS term FROM words UNION ALL
-  SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words),
- counts AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2),
- vocab AS MATERIALIZED (SELECT term, ln((n + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1.0::DOUBLE AS idf FROM counts, (SELECT count(*) AS n FROM {source})
-  GROUP BY term, n ORDER BY sum(tf) DESC, term LIMIT {cap}),
- raw_w AS (SELECT doc_id, term, tf * idf AS r FROM counts JOIN vocab USING (term)),
- postings AS MATERIALIZED (SELECT doc_id, term, r / sqrt(sum(r * r) OVER (PARTITION BY doc_id)) AS w FROM raw_w)"""
-
-
 @check("rt6_fit_tfidf", "WITH " + tfidf_sql("documents", "doc_id", "text", 50000) + " SELECT doc_id, term, round(w, 6) AS w FROM postings")
 def tfidf(spark, sf):
     index = retrieval.fit_tfidf(v.table(spark, sf, "documents"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -24,20 +25,30 @@ def build_session(app_name: str = "placelens", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpoint_root(spark: SparkSession) -> str | None:
-    """Shared checkpoint folder named by the cluster, or None where it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Folder for reliable checkpoints: the one the cluster names in spark.checkpoint.dir.
 
-
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> None:
-    """Point reliable checkpoints at the shared folder; ``fallback`` serves single-machine tests only."""
+    Only a local session without that setting gets a folder of its own.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    folder = checkpoint_root(spark)
+    folder = context.getCheckpointDir()
+    if folder:
+        return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        master = context.master
-        if not master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = fallback or os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
+        folder = tempfile.mkdtemp(prefix="placelens-")
     context.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a table that several later steps read."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """New folder next to the checkpoints, for tables written on the way."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
-from placelens.session import build_session, ensure_checkpoint_dir
+from placelens.session import build_session
 
 
 def local_session(cores: str = "8"):
@@ -21,5 +20,4 @@ def local_session(cores: str = "8"):
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     return spark
