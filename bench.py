@@ -51,6 +51,8 @@ def main() -> None:
         **{
             "spark.master": f"local[{cpus}]",
             "spark.sql.shuffle.partitions": cpus,
+            # Small tables still use every local core.
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
             "spark.driver.memory": "16g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",

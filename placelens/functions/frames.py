@@ -22,6 +22,15 @@ def conform(df: DataFrame, schema) -> DataFrame:
     )
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than there are cores; anything larger stays as it was read.
+
+    For tables whose rows are costly to process, such as long texts in one small file.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First k rows per key. The rank filter lets Spark cut each group to k rows before the shuffle."""
     window = W.partitionBy(*keys).orderBy(*order)

@@ -171,8 +171,23 @@ def geocode_table(queries: DataFrame, gazetteer: DataFrame) -> DataFrame:
     )
 
 
+REQUEST_COLUMNS = ["text", "extra", "cuisines", "discover"]
+
+
 def annotate(queries: DataFrame) -> DataFrame:
-    """All constraints of a request log with columns text and, where present, extra, cuisines and discover."""
+    """All constraints of a request log with columns text and, where present, extra, cuisines and discover.
+
+    Logs repeat the same requests, so each distinct request is read once and the result is joined back.
+    """
+    asked = [c for c in REQUEST_COLUMNS if c in queries.columns]
+    keyed = queries.withColumn("_request", F.sha2(F.to_json(F.struct(*asked)), 256))
+    distinct = keyed.groupBy("_request").agg(*[F.any_value(c).alias(c) for c in asked])
+    read = annotate_requests(distinct).drop(*asked)
+    return keyed.join(read, "_request").drop("_request")
+
+
+def annotate_requests(queries: DataFrame) -> DataFrame:
+    """Constraints of every row as column expressions."""
     raw = trim_space(F.col("text"))
     have = set(queries.columns)
     opt = lambda name, kind: F.col(name) if name in have else F.lit(None).cast(kind)

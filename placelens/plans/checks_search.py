@@ -252,8 +252,7 @@ def _pool(spark, sf, index):
     pools = cut(plan.rank_pools(r, index, meta(spark, sf)))
     key = F.concat_ws("|", "sig", F.col("session_id").cast("string"))
     combos = r.select("sig", "session_id").distinct().withColumn("query_id", key)
-    prefs = rerank.preference_state(v.actions(spark, sf)).select("session_id", "business_id", "preference")
-    wishes = combos.join(prefs, "session_id").select("query_id", "business_id", "preference")
+    wishes = rerank.preference_state(v.actions(spark, sf)).select("session_id", "business_id", "preference")
     names = r.select("sig", "query_text").distinct()
     return combos.join(pools.drop("rank"), "sig").join(names, "sig"), wishes
 
@@ -263,9 +262,9 @@ def _pool(spark, sf, index):
 def avg_similarity(spark, sf):
     index = place_index(spark, sf)
     pool, wishes = _pool(spark, sf, index)
-    liked = wishes.where("preference = 'like'").select("query_id", F.col("business_id").alias("chosen_id"))
-    sims = rerank.avg_similarity_to(pool, liked, index.postings)
-    rows = pool.join(sims, ["query_id", "business_id"])
+    liked = wishes.where("preference = 'like'").select("session_id", F.col("business_id").alias("chosen_id"))
+    sims = rerank.avg_similarity_to(pool, liked, index.postings, "session_id")
+    rows = pool.join(sims, ["session_id", "business_id"], "left").na.fill(0.0, ["avg_similarity"])
     return rounded(rows.select("query_text", "state", "session_id", "business_id", "avg_similarity"))
 
 
@@ -287,7 +286,7 @@ def preference_score(spark, sf):
 def rerank_pool(spark, sf):
     index = place_index(spark, sf)
     pool, wishes = _pool(spark, sf, index)
-    rows = rerank.rerank_pool(pool, wishes, index.postings)
+    rows = rerank.rerank_pool(pool, wishes, index.postings, owner="session_id")
     return rounded(rows.select(
         "query_text", "state", "session_id", "business_id", "v2_sim_liked", "v2_sim_disliked", "v2_pref_match", "v2_score"
     ), 5)

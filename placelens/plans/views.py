@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placelens.functions.frames import spread_scan
 from placelens.functions.lexicons import INDEX_STOPWORDS
 
 SLOTS = [
@@ -78,7 +79,7 @@ def places(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = spread_scan(table(spark, sf, "documents"))
     return d.select(
         F.col("doc_id").cast("string").alias("review_id"),
         F.concat(F.lit("b"), (F.col("doc_id") % 200).cast("string")).alias("business_id"),

@@ -14,6 +14,7 @@ def local_session(cores: str = "8"):
         **{
             "spark.master": f"local[{cores}]",
             "spark.sql.shuffle.partitions": "8",
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
             "spark.driver.memory": "8g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
