@@ -59,7 +59,7 @@ def salted_join(probe: DataFrame, build: DataFrame, key: str, min_rows: int = 10
 
 
 def with_running_totals(
-    hist: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], slices: int = 64
+    hist: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], slices: int = 200
 ) -> DataFrame:
     """Add, per key, the total of each measure and its sum over all smaller values.
 
@@ -104,7 +104,7 @@ def with_running_totals(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], slices: int = 64
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], slices: int = 200
 ) -> DataFrame:
     """Linearly interpolated quantiles per key without gathering a key's values in one task."""
     keys = list(keys)

@@ -77,10 +77,9 @@ def neighbour_totals(
 ) -> DataFrame:
     """Neighbour counts and sums per distinct (latitude, longitude, category set) of the targets.
 
-    Work is done on distinct profiles, so copies at one spot cost one row. Neighbours are first added up per
-    neighbouring category set, then per category (which gives the diversity), then per profile. Pairs are
-    aggregated in the join stage and never stored. Sums include the target's own spot; ``own_n`` tells how
-    many reference rows share it.
+    Work is done on distinct profiles, so copies at one spot cost one row. Neighbours are added up per category,
+    which gives the diversity, then per profile. Pairs are aggregated in the join stage and never stored. Sums
+    include the target's own spot; ``own_n`` tells how many reference rows share it.
     """
     key = ["slice", "latitude", "longitude", "cats"]
     profiles = with_point(targets).select(
@@ -98,19 +97,15 @@ def neighbour_totals(
         for scope in ("all", "same")
         for m in ("n", "stars", "open")
     }
-    ends = ["min(d_any) AS d_any", "min(d_other) AS d_other", "min(d_same_other) AS d_same_other", "max(own_n) AS own_n"]
-    by_set = pairs.groupBy(*key, "ref_cats").agg(
-        *[F.expr(f"sum({v}) AS `{k}`") for k, v in sums.items()],
+    # The sums of a neighbour ride on its first category, so one pass over the pairs serves both.
+    opened = pairs.select("*", F.posexplode_outer("ref_cats").alias("pos", "cat"))
+    by_cat = opened.groupBy(*key, "cat").agg(
+        *[F.expr(f"sum(if(pos IS NULL OR pos = 0, {v}, 0)) AS `{k}`") for k, v in sums.items()],
         F.expr("min(distance_km) AS d_any"),
         F.expr("min(if(own, NULL, distance_km)) AS d_other"),
         F.expr("min(if(same AND NOT own, distance_km, NULL)) AS d_same_other"),
         F.expr("max(if(own, n, NULL)) AS own_n"),
     )
-    # The sums of a neighbouring set ride on its first category.
-    opened = by_set.select("*", F.posexplode_outer("ref_cats").alias("pos", "cat"))
-    by_cat = opened.groupBy(*key, "cat").agg(
-        *[F.expr(f"sum(if(pos IS NULL OR pos = 0, `{k}`, 0)) AS `{k}`") for k in sums], *[F.expr(e) for e in ends]
-    )
     kinds = [
         F.expr(f"count_if(cat IS NOT NULL AND d_{d} <= {float(r)}D) AS `cats_{d}_{_tag(r)}`")
         for r in radii

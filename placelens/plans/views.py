@@ -40,7 +40,7 @@ def _pick(index, values):
 
 
 def places(spark: SparkSession, sf: str) -> DataFrame:
-    part = table(spark, sf, "part")
+    part = spread_scan(table(spark, sf, "part"))
     counts = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("review_count"))
     k = F.col("p_partkey")
     slot = k % 4
