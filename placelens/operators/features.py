@@ -72,26 +72,20 @@ def flatten_attributes(places: DataFrame) -> DataFrame:
     A nested entry gives attr_<key>_<sub> with 1 for true and 0 else. A plain entry gives 1 or 0 for
     true/false and else its text. A key that is nested in any place is dropped as a plain column everywhere.
     """
-    rows = parse_attributes(places).withColumn("nested", is_nested(F.col("value")))
-    sub = rows.where("nested").select(
-        "business_id", "attribute", F.explode(parse_dict(F.col("value"))).alias("sub", "sub_value")
+    rows = parse_attributes(places).withColumn("plain_key", snake_name(F.concat(F.lit("attr_"), F.col("attribute"))))
+    nested = is_nested(F.col("value"))
+    opened = F.transform(
+        F.map_entries(parse_dict(F.col("value"))),
+        lambda e: F.struct(
+            snake_name(F.concat_ws("_", F.lit("attr"), F.col("attribute"), e["key"])).alias("attr_key"),
+            F.when(clean_value(e["value"]) == "1", F.lit("1")).otherwise(F.lit("0")).alias("value"),
+        ),
     )
-    nested = sub.select(
-        "business_id",
-        snake_name(F.concat_ws("_", F.lit("attr"), "attribute", "sub")).alias("attr_key"),
-        F.when(clean_value(F.col("sub_value")) == "1", F.lit("1")).otherwise(F.lit("0")).alias("value"),
-    )
-    plain = rows.where(~F.col("nested")).select(
-        "business_id",
-        snake_name(F.concat_ws("_", F.lit("attr"), "attribute")).alias("attr_key"),
-        clean_value(F.col("value")).alias("value"),
-    )
-    parents = (
-        rows.where("nested")
-        .select(snake_name(F.concat_ws("_", F.lit("attr"), "attribute")).alias("attr_key"))
-        .distinct()
-    )
-    return plain.join(parents, "attr_key", "left_anti").select("business_id", "attr_key", "value").unionByName(nested)
+    plain = F.array(F.struct(F.col("plain_key").alias("attr_key"), clean_value(F.col("value")).alias("value")))
+    entries = rows.select("business_id", "plain_key", nested.alias("nested"), F.inline(F.when(nested, opened).otherwise(plain)))
+    parents = rows.where(nested).select("plain_key").distinct().withColumn("is_parent", F.lit(True))
+    marked = entries.join(parents, "plain_key", "left")
+    return marked.where(F.col("nested") | F.col("is_parent").isNull()).select("business_id", "attr_key", "value")
 
 
 def fill_attributes(places: DataFrame, flat: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -174,7 +174,7 @@ def best_f1(spark, sf):
 
 
 @check("ev3_regression_metrics", with_views("predictions", """SELECT model, target, count(*) AS n, round(avg(abs(actual - predicted)), 6) AS mae, round(sqrt(avg(pow(actual - predicted, 2))), 6) AS rmse,
- round(1 - sum(pow(actual - predicted, 2)) / sum(pow(actual - m, 2)), 6) AS r2 FROM (SELECT *, avg(actual) OVER (PARTITION BY model, target) AS m FROM predictions) GROUP BY 1, 2"""))
+ round(1 - sum(pow(actual - predicted, 2)) / nullif(sum(pow(actual - m, 2)), 0), 6) AS r2 FROM (SELECT *, avg(actual) OVER (PARTITION BY model, target) AS m FROM predictions) GROUP BY 1, 2"""))
 def metrics(spark, sf):
     return rounded(evaluation.regression_metrics(v.predictions(spark, sf), ["model", "target"]))
 

@@ -61,7 +61,7 @@ def _requests_sql(weights: str = "policy") -> str:
  pairs AS MATERIALIZED (SELECT s.*, p.business_id, p.name, p.city, p.stars, p.review_count, p.categories,
   try_cast(regexp_extract(p.attributes, 'RestaurantsPriceRange2'': ''([0-9])', 1) AS DOUBLE) AS price_tier,
   EXISTS (SELECT 1 FROM kw WHERE kw.label = s.label AND contains(lower(p.categories), kw.kw)) AS hit,
-  {_hav('p', 's2')} AS distance_km, coalesce(m.similarity, 0) AS similarity, ln(1 + greatest(p.review_count, 0)) AS pop
+  CASE WHEN s.ref_lat IS NOT NULL THEN {_hav('p', 's2')} END AS distance_km, coalesce(m.similarity, 0) AS similarity, ln(1 + greatest(p.review_count, 0)) AS pop
   FROM sigs s JOIN places p ON p.state = s.state JOIN (SELECT sig, ref_lat AS latitude, ref_lon AS longitude FROM sigs) s2 ON s2.sig = s.sig
   LEFT JOIN sims m ON m.query_text = s.query_text AND m.doc_id = p.business_id),
  flagged AS (SELECT *, bool_or(hit) OVER (PARTITION BY sig) AS any_hit FROM pairs),
