@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from placelens.session import cut
 
+# Spark's default for spark.sql.window.group.limit.threshold.
+EARLY_CUT = 1000
+PARTS = 64
+
 
 def conform(df: DataFrame, schema) -> DataFrame:
     """Project to ``schema``; absent columns and unreadable values become typed NULLs."""
@@ -32,7 +36,14 @@ def spread_scan(df: DataFrame) -> DataFrame:
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First k rows per key. The rank filter lets Spark cut each group to k rows before the shuffle."""
+    """First k rows per key. The rank filter lets Spark cut each group to k rows before the shuffle.
+
+    Spark does so up to ``EARLY_CUT`` rows; for a larger k the groups are first cut in salted parts.
+    """
+    if k > EARLY_CUT:
+        part = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(PARTS)))
+        window = W.partitionBy(*keys, "_part").orderBy(*order)
+        df = part.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= k).drop("_part", "_rank")
     window = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
@@ -133,13 +144,13 @@ def exact_quantiles(
     )
 
 
-def ordered_segments(df: DataFrame, order: Sequence[str], segments: int | None = None) -> DataFrame:
+def ordered_segments(df: DataFrame, order: Sequence[str], rows_per_segment: int = 1_000_000) -> DataFrame:
     """Range-partition by a total order and number the ranges in column ``segment``.
 
-    The result is a reliable checkpoint: the ranges come from sampling, and the segment of a row must not
+    The number of ranges follows a count of the table, so a range stays near its size. The result is a reliable checkpoint: the ranges come from sampling, and the segment of a row must not
     change when a lost task is run again.
     """
     spark = df.sparkSession
-    n = segments or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_per_segment))
     ranged = df.repartitionByRange(n, *order).withColumn("segment", F.spark_partition_id())
     return cut(ranged)

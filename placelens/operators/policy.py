@@ -143,20 +143,17 @@ def feedback_log(events: DataFrame, order: Sequence[str] = ("ts", "event_id"), a
     rows = known_arms(events).withColumn("intent", clean_intent(F.col("intent")))
     segmented = ordered_segments(rows.select("intent", "arm", "reward", "query_text", *order), order)
     values = segment_values(segmented, order, alpha)
-    # One entry per range and arm: at most as many as there are ranges.
-    listed = values.groupBy(*GROUP).agg(
-        F.array_sort(F.collect_list(F.struct("segment", "n", "value"))).alias("parts")
-    )
-    chain = F.aggregate(
-        "parts",
-        F.struct(F.lit(0.0).alias("q"), F.array().cast("array<struct<segment:int,q:double>>").alias("seen")),
-        lambda a, p: F.struct(
-            (a["q"] * F.pow(F.lit(1.0 - alpha), p["n"]) + p["value"]).alias("q"),
-            F.concat(a["seen"], F.array(F.struct(p["segment"].alias("segment"), a["q"].alias("q")))).alias("seen"),
-        ),
-        lambda a: a["seen"],
-    )
-    starts = listed.select(*GROUP, F.inline(chain).alias("segment", "start"))
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Value an arm has at the start of each range; three numbers per range."""
+        pdf = pdf.sort_values("segment")
+        q, starts = 0.0, []
+        for n, value in zip(pdf["n"], pdf["value"]):
+            starts.append(q)
+            q = q * (1.0 - alpha) ** int(n) + value
+        return pdf[[*GROUP, "segment"]].assign(start=starts)
+
+    starts = values.groupBy(*GROUP).applyInPandas(chain, "intent string, arm string, segment int, start double")
     joined = segmented.join(starts, [*GROUP, "segment"])
     kept = [*GROUP, "reward", "query_text", *order]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.select(*kept).schema.fields)

@@ -67,6 +67,14 @@ def test_top_k_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in physical(rows)
 
 
+def test_large_top_k_is_cut_in_parts(spark, monkeypatch):
+    rows = v.places(spark, SF).select("state", "business_id", "review_count")
+    order = [F.desc("review_count"), F.asc("business_id")]
+    want = frames.top_per_group(rows, ["state"], order, 7).collect()
+    monkeypatch.setattr(frames, "EARLY_CUT", 5)
+    assert sorted(map(tuple, frames.top_per_group(rows, ["state"], order, 7).collect())) == sorted(map(tuple, want))
+
+
 def test_only_needed_columns_are_read(spark):
     text = physical(text_signals.review_signals(v.reviews(spark, SF), v.places(spark, SF)))
     assert "lang" not in text.split("documents.parquet")[1].split("ReadSchema")[1][:120]
