@@ -70,22 +70,25 @@ def salted_join(probe: DataFrame, build: DataFrame, key: str, min_rows: int = 10
 
 
 def with_running_totals(
-    hist: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], slices: int = 200
+    hist: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], step: int = 8
 ) -> DataFrame:
     """Add, per key, the total of each measure and its sum over all smaller values.
 
-    ``hist`` has one row per (keys, value). The value range of each key is cut into slices at approximate
-    quantiles; sums run inside a slice and the few slice totals are chained, so no task sees a whole key.
+    ``hist`` has one row per (keys, value). The value range of each key is cut into step x step slices at
+    approximate quantiles, found in two steps of ``step`` comparisons; sums run inside a slice and the few slice totals are chained, so no task sees a whole key.
     """
     keys = list(keys)
     # Tying the cut points to a measure keeps all columns in this branch, so Spark computes ``hist`` once.
     seen = F.when(F.col(measures[0]).isNotNull(), F.col(value))
-    cuts = [i / slices for i in range(1, slices)]
+    cuts = [i / step**2 for i in range(1, step**2)]
     bounds = hist.groupBy(*keys).agg(F.percentile_approx(seen, cuts, 2000).alias("bounds"))
+    every = F.transform(F.sequence(F.lit(1), F.lit(step - 1)), lambda i: F.element_at("bounds", i * step))
+    below = lambda array: F.size(F.filter(array, lambda b: b < F.col(value)))
     sliced = (
-        hist.join(bounds, keys)
-        .withColumn("slice", F.size(F.filter("bounds", lambda b: b < F.col(value))))
-        .drop("bounds")
+        hist.join(bounds.withColumn("coarse", every), keys)
+        .withColumn("c", below(F.col("coarse")) * step)
+        .withColumn("slice", F.col("c") + below(F.slice("bounds", F.col("c") + 1, F.lit(step - 1))))
+        .drop("bounds", "coarse", "c")
     )
     totals = sliced.groupBy(*keys, "slice").agg(*[F.sum(m).alias(f"slice_{m}") for m in measures])
     ordered = W.partitionBy(*keys).orderBy("slice")
@@ -115,12 +118,12 @@ def with_running_totals(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], slices: int = 200
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
     """Linearly interpolated quantiles per key without gathering a key's values in one task."""
     keys = list(keys)
     hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    ranked = with_running_totals(hist, keys, value, ["n"], slices)
+    ranked = with_running_totals(hist, keys, value, ["n"])
     first, last = F.col("before_n"), F.col("before_n") + F.col("n") - 1
 
     def at(position: Column) -> Column:
