@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placelens.llm.registry import query, table
-from placelens.session import cut
+from placelens.llm.tables import written
 
 RANGE_ROWS = 100_000
 SEGMENT_TURNS = 64
@@ -41,7 +41,7 @@ def numbered_turns(conversations: DataFrame) -> DataFrame:
     order = [F.asc_nulls_last("turn"), F.asc_nulls_last("role"), F.asc("t1"), F.asc("t2")]
     ranges = max(1, -(-rows.count() // RANGE_ROWS))
     ranged = rows.repartitionByRange(ranges, F.asc_nulls_last("conv_id"), *order)
-    ranged = cut(ranged.withColumn("range", F.spark_partition_id()))
+    ranged = written(ranged.withColumn("range", F.spark_partition_id()), "chat-ranges")
     inside = W.partitionBy("conv_id", "range").orderBy(*order)
     sizes = ranged.groupBy("conv_id", "range").agg(F.count("*").alias("n"))
     earlier = W.partitionBy("conv_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
@@ -52,7 +52,7 @@ def numbered_turns(conversations: DataFrame) -> DataFrame:
     for i, h in enumerate(_hash_columns(F.col("nth"), F.col("t1"), F.col("t2"))):
         placed = placed.withColumn(f"h{i + 1}", h)
     upto = W.partitionBy("conv_id", "range").orderBy("nth").rowsBetween(W.unboundedPreceding, 0)
-    folded = cut(placed.withColumn("x1", F.bit_xor("h1").over(upto)).withColumn("x2", F.bit_xor("h2").over(upto)).drop("h1", "h2", "t1", "t2"))
+    folded = written(placed.withColumn("x1", F.bit_xor("h1").over(upto)).withColumn("x2", F.bit_xor("h2").over(upto)).drop("h1", "h2", "t1", "t2"), "chat-folds")
     ends = folded.groupBy("conv_id", "range").agg(F.max(F.struct("nth", "x1", "x2")).alias("end"))
     carried = ends.select(
         F.col("conv_id").alias("c"),
@@ -92,7 +92,7 @@ def render(turns: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def collapse_and_render(conversations: DataFrame) -> DataFrame:
-    turns = cut(numbered_turns(conversations))
+    turns = written(numbered_turns(conversations), "chat-turns")
     return render(turns, maximal_conversations(turns))
 
 

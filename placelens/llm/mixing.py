@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from placelens.llm.quality_rules import WORD_BREAK
 from placelens.llm.registry import fresh, query, table
-from placelens.session import cut
+from placelens.llm.tables import written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -115,8 +115,8 @@ def decide_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
     Blocks hold about 2,048 documents of one source and the tree joins 256 residuals at a time, so a source that
     holds most rows is many tasks; the number of levels follows from the largest source.
     """
-    units = cut(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size")))
-    targets = cut(source_targets(units, "source", "size"))
+    units = written(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size")), "mix-units")
+    targets = written(source_targets(units, "source", "size"), "mix-targets")
     blocks = max(1, -(-(targets.agg(F.max("n_docs")).first()[0] or 0) // BLOCK))
     wanted = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     per_source = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BLOCK))
@@ -140,7 +140,7 @@ def decide_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
     done = [rows.where(~rounded).withColumn("p", F.lit(0.0))]
     todo, level = rows.where(rounded), 0
     while True:
-        out = cut(_round_blocks(todo, level, seed, blocks == 1))
+        out = written(_round_blocks(todo, level, seed, blocks == 1), "mix-level")
         done.append(out.where(~F.col("open")))
         if blocks == 1:
             break

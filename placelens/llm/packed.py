@@ -23,23 +23,23 @@ def bucket_count(total_bytes: int, bytes_per_bucket: int) -> int:
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
-    """64-bit ids as their smallest and 32-bit distances from it, where these suffice."""
+    """64-bit ids as their smallest and the distances from it, in as few bytes each as the largest needs."""
     if not len(ids):
         return b""
-    low = ids.min()
-    far = ids.astype(np.uint64) - np.uint64(low.astype(np.uint64)) if ids.dtype == np.int64 else ids - low
-    if int(far.max()) < 2**32:
-        return b"\x04" + np.int64(low).tobytes() + far.astype(np.uint32).tobytes()
-    return b"\x08" + ids.astype(np.int64).tobytes()
+    low = ids.astype(np.int64).min()
+    far = ids.astype(np.int64).astype(np.uint64) - low.astype(np.uint64)
+    width = max(1, -(-int(far.max()).bit_length() // 8))
+    return bytes([width]) + low.tobytes() + far.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack_ids(data: bytes) -> np.ndarray:
     if not data:
         return np.empty(0, np.int64)
-    if data[:1] == b"\x08":
-        return np.frombuffer(data, np.int64, offset=1)
-    low = np.frombuffer(data, np.int64, 1, offset=1)[0]
-    return np.frombuffer(data, np.uint32, offset=9).astype(np.int64) + low
+    width, low = data[0], np.frombuffer(data, np.int64, 1, offset=1)[0]
+    far = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    out = np.zeros((len(far), 8), np.uint8)
+    out[:, :width] = far
+    return (out.view(np.uint64).ravel() + low.astype(np.uint64)).astype(np.int64)
 
 
 def pack(buckets: np.ndarray, columns: dict[str, np.ndarray], ids: Sequence[str] = ()) -> pa.RecordBatch | None:

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placelens.llm.registry import query, table
-from placelens.session import cut
+from placelens.llm.tables import written
 
 CAPACITY = 4096
 END = 1
@@ -196,7 +196,7 @@ def pack(parts: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFr
     total = parts.agg(F.count("*")).first()[0]
     blocks = max(1, -(-total // RANK_BLOCK))
     rows = parts.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
-    per_block = cut(rows.groupBy("length", "_block").agg(F.count("*").alias("_n")))
+    per_block = written(rows.groupBy("length", "_block").agg(F.count("*").alias("_n")), "pack-lengths")
     counts = dict(per_block.groupBy("length").agg(F.sum("_n")).collect())
     entries = pattern_rows(patterns({int(k): int(v) for k, v in counts.items()}, capacity))
     plan = spark.createDataFrame(entries, "_l bigint, _first bigint, _end bigint, _each bigint, _seq bigint, _off bigint")
@@ -222,7 +222,7 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Pieces of all documents with their place; token ids stay in the tasks that made them."""
-    return pack(cut(pieces(docs, tokenizer, with_ids=False)), ["doc_id", "piece", "ids_crc32"])
+    return pack(written(pieces(docs, tokenizer, with_ids=False), "pack-pieces"), ["doc_id", "piece", "ids_crc32"])
 
 
 def tokenizer_path() -> str:

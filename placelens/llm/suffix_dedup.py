@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from placelens.llm.packed import bucket_count, pack, runs, text_size, unpack
 from placelens.llm.registry import query, table
+from placelens.llm.tables import written
 from placelens.llm.textbytes import Hasher, batch_slices, mix, text_bytes
-from placelens.session import cut
 
 LENGTH = 100
 GRAM = 50
@@ -422,7 +422,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     total = text_size(docs)
     key_buckets, doc_buckets = bucket_count(total, KEY_BUCKET_BYTES), bucket_count(total, DOC_BUCKET_BYTES)
     rows = docs.select("doc_id", "text")
-    found = cut(repeated_anchors(rows, key_buckets, doc_buckets))
+    found = written(repeated_anchors(rows, key_buckets, doc_buckets), "repeats-anchors")
 
     def bucket_of(batches):
         for batch in batches:

@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placelens.llm.registry import query, table
+from placelens.llm.tables import written
 from placelens.llm.textbytes import Hasher, mix, slices, text_bytes
-from placelens.session import cut
 
 MAX_EXAMPLES = 4000
 MAX_TERMS = 4096
@@ -128,7 +128,7 @@ def choose_terms(terms: DataFrame, n_pos: int, n_neg: int) -> np.ndarray:
     among all terms tested a single one would get there by chance with probability ``CHANCE``.
     """
     a, b = F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)
-    found = cut(terms.groupBy("term").agg(a.alias("a"), b.alias("b")))
+    found = written(terms.groupBy("term").agg(a.alias("a"), b.alias("b")), "toxic-terms")
     least = NormalDist().inv_cdf(1 - CHANCE / max(1, found.count()))
     share = (F.col("a") + F.col("b")) / F.lit(float(n_pos + n_neg))
     spread = F.sqrt(share * (1 - share) * F.lit(1 / n_pos + 1 / n_neg))
@@ -258,7 +258,7 @@ class Scorer:
 
 def fit_scorer(docs: DataFrame, labels: DataFrame) -> Scorer:
     examples, counts = sample_examples(docs, labels)
-    terms = cut(example_terms(examples))
+    terms = written(example_terms(examples), "toxic-examples")
     seen = {c: 0 for c in (0, 1)}
     for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect():
         seen[r["toxic"]] = r["n"]
