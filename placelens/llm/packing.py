@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -23,47 +24,95 @@ from pyspark.sql import functions as F
 
 from placelens.llm.registry import query, table
 from placelens.llm.tables import written
+from placelens.llm.textbytes import slices, text_bytes
 
 CAPACITY = 4096
 END = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
+MARKS = ".,!?;:"
 RANK_BLOCK = 200_000
 
 
 class WordEncoder:
-    """Token ids of whole texts as little-endian 32-bit bytes, one tokenizer call per distinct word.
+    """Token ids of whole texts as little-endian 32-bit bytes, each word tokenised once.
 
     The tokenizer's own rules never join characters across ASCII white space, so the ids of a text are those of its
-    words in a row. The cache holds at most ``CACHE_WORDS`` words and starts anew when full.
+    words in a row. A word of letters, with or without sentence marks after it, is lower-cased and goes to the
+    merges directly; all others take the tokenizer's whole way. Words are kept until ``CACHE_WORDS`` are known.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        words = text.split(" ") if text.isascii() and not any(c in text for c in "\t\n\x0b\x0c\r") else _split(text)
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        unknown = list({w for w in words if w not in known})
-        if len(known) + len(unknown) > CACHE_WORDS:
-            known.clear()
-            unknown = list(set(words))
-        encoded = self.tokenizer.encode_batch(unknown, add_special_tokens=False)
-        new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(unknown, encoded)}
-        if len(new) <= CACHE_WORDS:
-            known.update(new)
-        return b"".join([known[w] if w in known else new[w] for w in words])
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _any(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of any words by the tokenizer's own rules."""
+        if not words:
+            return {}
+        found = self.whole.encode(words, is_pretokenized=True, add_special_tokens=False)
+        data = np.array(found.ids, "<u4").tobytes()
+        cuts = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1))).tolist()
+        return {w: data[a:b] for w, a, b in zip(words, cuts, cuts[1:])}
+
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of lower-case words of letters; the last token of each is marked as a word's end."""
+        if not words:
+            return {}
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+        if len(cuts) != len(words) + 1:
+            return self._any(words)
+        data = ids.tobytes()
+        return {w: data[a:b] for w, a, b in zip(words, cuts, cuts[1:])}
+
+    def _resolve(self, words: list[str]) -> dict[str, bytes]:
+        joined = "\n".join(words)
+        low = joined.lower()
+        if "\u03a3" in joined or not (is_normalized("NFC", joined) and is_normalized("NFC", low)):
+            simple = [w.isascii() for w in words]
+            odd = [w for w, ok in zip(words, simple) if not ok]
+            words = [w for w, ok in zip(words, simple) if ok]
+            return self._any(odd) | (self._resolve(words) if words else {})
+        parts, lows = self.parts, low.split("\n")
+        cores = [w.rstrip(MARKS) for w in lows]
+        fits = [c.isalpha() for c in cores]
+        tails = [w[len(c) :] if len(c) < len(w) else "" for w, c in zip(lows, cores)]
+        found = self._letters(list({c for c, ok in zip(cores, fits) if ok and c not in parts}))
+        found |= self._any([t for t in set(tails) if t and t not in parts])
+        found[""] = b""
+        if len(parts) + len(found) <= CACHE_WORDS:
+            parts.update(found)
+            found = parts
+        out = {
+            w: (found[c] if c in found else parts[c]) + (found[t] if t in found else parts[t])
+            for w, c, t, ok in zip(words, cores, tails, fits)
+            if ok
+        }
+        out |= self._any([w for w, ok in zip(words, fits) if not ok])
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split, words = [_split(t) for t in texts], self.words
+        missing = set().union(*split).difference(words)
+        new = self._resolve(list(missing)) if missing else {}
+        if len(words) + len(new) <= CACHE_WORDS:
+            words.update(new)
+            return [b"".join([words[w] for w in s]) for s in split]
+        return [b"".join([words[w] if w in words else new[w] for w in s]) for s in split]
 
 
 def _split(text: str) -> list[str]:
     for c in "\t\n\x0b\x0c\r":
-        text = text.replace(c, " ")
+        if c in text:
+            text = text.replace(c, " ")
     return text.split(" ")
 
 
@@ -77,8 +126,10 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         tail, step = np.array([end], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             at, out = [], {"piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
-            for i, value in enumerate(batch.column("text")):
-                ids = encode(value.as_py()) + tail
+            offsets = text_bytes(batch.column("text"))[1]
+            encoded = (ids for a, b in slices(offsets) for ids in encode(batch.column("text").slice(a, b - a).to_pylist()))
+            for i, ids in enumerate(encoded):
+                ids += tail
                 for n, start in enumerate(range(0, len(ids), step)):
                     part = ids[start : start + step]
                     at.append(i)

@@ -74,8 +74,9 @@ def test_sequences_hold_the_ids(spark, tokenizer):
 def test_words_in_a_row_are_the_text(tokenizer, monkeypatch):
     encode = WordEncoder(tokenizer_path())
     monkeypatch.setattr(packing, "CACHE_WORDS", 4)
-    for t in TEXTS * 2:
-        assert np.frombuffer(encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    texts = TEXTS + ["There, THERE. there!? don't 's. İstanbul, ΟΔΟΣ, é́t \u212a K\u0301, ﬁne. ǅ ª² x1, <|startoftext|>.", "naïve, Naïve. NAÏVE"]
+    for part in (texts, texts[::-1], texts[:1]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(part)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
 
 
 @settings(max_examples=60, deadline=None)
