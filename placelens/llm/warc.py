@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placelens.llm.registry import query, table
+from placelens.llm.tables import written
 from placelens.session import shared_folder
 
 CRLF = "\r\n"
@@ -123,7 +124,7 @@ def parse_archive(content: bytes):
             if not line:
                 raise ValueError("archive ends inside a record header")
             name, _, value = line.decode("utf-8", "replace").partition(":")
-            headers.setdefault(name.strip().lower(), []).append(value.strip())
+            headers.setdefault(name.lower(), []).append(value.strip())
         length = int(headers["content-length"][0])
         block = stream.read(length)
         if len(block) != length:
@@ -136,46 +137,44 @@ def _fields(block: bytes) -> list[tuple[str, str]]:
     return list({k.strip(): v.strip() for k, _, v in pairs}.items())
 
 
-def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record of all archives under ``folder``; payloads are those of HTTP responses and resources."""
-    batch_rows = 200
+def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+    """One row per record of all archives under ``folder``; payloads are those of HTTP responses and resources.
+
+    Without ``payloads`` their sizes and digests are taken from the bytes all the same, and the bytes stay behind.
+    """
+    fields = [f for f in _ARROW if payloads or f.name != "payload"]
+    arrow, batch_rows = pa.schema(fields), 200 if payloads else 5000
 
     def parse(batches):
         for batch in batches:
             rows = []
             for content in batch.column("content"):
                 for headers, block in parse_archive(content.as_py()):
-                    get = lambda name: headers.get(name, [None])[0]  # noqa: E731, B023
-                    kind, payload, fields = get("warc-type"), None, None
+                    get = lambda name: headers.get(name, (None,))[0]  # noqa: E731, B023
+                    kind, payload, entries = get("warc-type"), None, None
                     if kind == "response":
                         payload = block.partition(b"\r\n\r\n")[2] if (get("content-type") or "").startswith("application/http") else block
                     elif kind == "resource":
                         payload = block
                     elif kind == "metadata":
-                        fields = _fields(block)
+                        entries = _fields(block)
                     digest = get("warc-payload-digest")
-                    rows.append(
-                        {
-                            "record_id": get("warc-record-id"),
-                            "type": kind,
-                            "target_uri": get("warc-target-uri"),
-                            "concurrent_to": headers.get("warc-concurrent-to", []),
-                            "refers_to": get("warc-refers-to"),
-                            "payload_digest": digest and digest.rpartition(":")[2],
-                            "payload": payload,
-                            "payload_bytes": None if payload is None else len(payload),
-                            "payload_sha1": None if payload is None else base64.b32encode(hashlib.sha1(payload).digest()).decode(),
-                            "fields": fields,
-                        }
-                    )
+                    row = [get("warc-record-id"), kind, get("warc-target-uri"), headers.get("warc-concurrent-to", []), get("warc-refers-to"), digest and digest.rpartition(":")[2]]
+                    row += [payload] if payloads else []
+                    row += [None, None] if payload is None else [len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()]
+                    rows.append((*row, entries))
                     if len(rows) >= batch_rows:
-                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                        yield _batch(rows, arrow)
                         rows = []
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                yield _batch(rows, arrow)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
-    return files.mapInArrow(parse, RECORD)
+    return files.mapInArrow(parse, RECORD if payloads else RECORD.replace("payload binary, ", ""))
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -183,8 +182,11 @@ def assemble(records: DataFrame) -> DataFrame:
 
     WARC-Concurrent-To may point either way, and through one record between. Where a record reaches several
     captures, the nearest and then the smallest id owns it. A request or metadata record that reaches none is a
-    capture of its own with a null main record. Repeated record ids count once.
+    capture of its own with a null main record. Repeated record ids count once. All but the payloads is written
+    once, so archives are not parsed for every step.
     """
+    payloads = records.where("payload is not null").select("record_id", "payload") if "payload" in records.columns else None
+    records = written(records.drop("payload"), "warc-records")
     rows = records.dropDuplicates(["record_id"])
     is_main = F.col("type").isin("response", "revisit", "resource")
     main, rest = rows.where(is_main), rows.where(~is_main & F.col("type").isin("request", "metadata"))
@@ -201,14 +203,19 @@ def assemble(records: DataFrame) -> DataFrame:
     sides = owned.groupBy("capture").agg(pick("request").alias("requests"), pick("metadata").alias("metadata"))
     body = main.drop("concurrent_to", "fields")
     out = body.join(sides, F.col("record_id") == F.col("capture"), "full")
-    return out.select(F.coalesce("record_id", "capture").alias("capture_id"), *[c for c in body.columns if c != "record_id"], "requests", "metadata")
+    own = [c for c in body.columns if c != "record_id"]
+    out = out.select(F.coalesce("record_id", "capture").alias("capture_id"), *own, "requests", "metadata")
+    if payloads is None:
+        return out
+    unique = payloads.dropDuplicates(["record_id"]).withColumnRenamed("record_id", "capture_id")
+    return out.join(unique, "capture_id", "left")
 
 
 @query("op1_warc_transactions")
 def op1(spark, folder):
     archives = shared_folder(spark, "warc")
     write_warc(table(spark, folder, "pages"), archives)
-    captures = assemble(read_warc(spark, archives))
+    captures = assemble(read_warc(spark, archives, payloads=False))
     key = F.get(F.filter(F.flatten(F.transform("metadata", lambda m: m["fields"])), lambda e: e["key"] == "page_id"), F.lit(0))["value"]
     rows = captures.select("capture_id", F.col("type").alias("record_type"), F.col("refers_to").alias("target"), key.cast("bigint").alias("page_id"), "payload_bytes", "payload_sha1")
     full = rows.where(F.col("record_type") == "response")
