@@ -90,7 +90,7 @@ def write_warc(captures: DataFrame, folder: str, key: str = "page_id", url: str
     payloads = raw.groupBy(*same).agg(F.first("payload").alias("payload"))
     full = typed.where("fresh").join(payloads, same).select(three(response))
     light = typed.where(~F.col("fresh")).select(three(revisit))
-    writer = full.unionByName(light).write.mode("overwrite").option("lineSep", RECORD_END).option("compression", "gzip")
+    writer = full.unionByName(light).write.mode("overwrite").option("lineSep", RECORD_END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
     writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
 
 
