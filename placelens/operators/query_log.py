@@ -20,8 +20,8 @@ from placelens.functions.lexicons import (
     STATE_CODES,
 )
 
-_NEAR = r"\b(?:near|around|close to)\s+([a-z0-9][a-z0-9\s\-']{1,80})(?:\s|$|,|\.)"
-_IN = r"\bin\s+([a-z][a-z\s\-]{1,60})(?:\s|$|,|\.)"
+_NEAR = r"\b(?:near|around|close to)\s+([a-z0-9][a-z0-9\s\-']+)(?:\s|$|,|\.)"
+_IN = r"\bin\s+([a-z][a-z\s\-]+)(?:\s|$|,|\.)"
 _WITHIN = r"within\s+(\d+(?:\.\d+)?)\s*(km|kilometers?|miles?|mi)\b"
 
 
@@ -98,16 +98,16 @@ def state_code(raw: Column, q: Column, location: Column) -> Column:
 
 
 def semantic_terms(raw: Column, cuisine: Column) -> Column:
-    """Up to ten search words left after budget, distance and place phrases are removed."""
+    """Search words left after budget, distance and place phrases are removed."""
     q = F.lower(raw)
     q = F.regexp_replace(q, "|".join(p for _, p in BUDGET_PATTERNS), " ")
     q = F.regexp_replace(q, r"\bwithin\s+\d+(?:\.\d+)?\s*(km|kilometers?|miles?|mi)\b", " ")
-    q = F.regexp_replace(q, r"\b(?:near|around|close to)\s+[a-z0-9][a-z0-9\s\-']{1,80}", " ")
-    q = F.regexp_replace(q, r"\bin\s+[a-z][a-z\s\-]{1,60}", " ")
+    q = F.regexp_replace(q, r"\b(?:near|around|close to)\s+[a-z0-9][a-z0-9\s\-']+", " ")
+    q = F.regexp_replace(q, r"\bin\s+[a-z][a-z\s\-]+", " ")
     tokens = F.regexp_extract_all(q, F.lit("[a-zA-Z']+"), F.lit(0))
     kept = F.array_distinct(F.filter(tokens, lambda t: (~t.isin(QUERY_STOPWORDS)) & (F.length(t) > 1)))
     spare = F.array(F.coalesce(cuisine, F.lit("restaurant")))
-    return F.when(F.size(kept) > 0, F.slice(kept, 1, 10)).otherwise(spare)
+    return F.when(F.size(kept) > 0, kept).otherwise(spare)
 
 
 def classify_intent(text: Column) -> Column:

@@ -35,27 +35,30 @@ def select_candidates_global(places: DataFrame, n: int) -> DataFrame:
 
 
 def select_candidates_by_state(places: DataFrame, n: int) -> DataFrame:
-    """Most reviewed places with the budget shared over the states; all places when they fit."""
+    """Most reviewed places with the budget shared over the states, at least 50 for each."""
     state = F.upper(F.trim("state"))
-    totals = places.agg(F.count("*").alias("rows"), F.count_distinct(F.coalesce(state, F.lit(""))).alias("states"))
-    rows, states = totals.select("rows").scalar(), totals.select("states").scalar()
+    states = places.agg(F.count_distinct(F.coalesce(state, F.lit(""))).alias("states")).scalar()
     share = F.greatest(F.lit(50), F.floor(F.lit(n) / F.greatest(states, F.lit(1))))
     # No state is given more than max(50, n) rows, so this cut runs before the shuffle.
     order = [F.desc("review_count"), F.asc("business_id")]
     ranked = top_per_group(places.withColumn("_s", F.coalesce(state, F.lit(""))), ["_s"], order, max(50, n), "_r")
-    shared = ranked.where((F.col("_r") <= share) & (rows > n)).drop("_s", "_r").orderBy(*order).limit(n)
-    return shared.unionByName(places.where(rows <= n))
+    return ranked.where(F.col("_r") <= share).drop("_s", "_r").orderBy(*order).limit(n)
 
 
-def sample_sentiment_reviews(
-    reviews: DataFrame, max_reviews: int, order: Sequence[str] = ("date", "review_id"), places: DataFrame | None = None
-) -> DataFrame:
-    """First positive (stars >= 4) and negative (stars <= 2) texts of each place, half of the budget each."""
+def sentiment_reviews(reviews: DataFrame) -> DataFrame:
+    """All positive (stars >= 4) and negative (stars <= 2) reviews with text."""
     stars = safe_double(F.col("stars"))
     polarity = F.when(stars >= 4, "positive").when(stars <= 2, "negative")
-    rows = reviews.withColumn("polarity", polarity).where(
+    return reviews.withColumn("polarity", polarity).where(
         F.col("polarity").isNotNull() & (F.trim(F.coalesce("text", F.lit(""))) != "")
     )
+
+
+def sample_sentiment_reviews(
+    reviews: DataFrame, max_reviews: int, order: Sequence[str] = ("date", "review_id"), places: DataFrame | None = None
+) -> DataFrame:
+    """First positive and negative texts of each place, half of the budget each. No other operator needs the sample."""
+    rows = sentiment_reviews(reviews)
     if places is not None:
         rows = rows.join(places.select("business_id"), "business_id", "left_semi")
     positive = max(1, max_reviews // 2)
@@ -68,7 +71,7 @@ def sample_sentiment_reviews(
 def synthetic_snippets(places: DataFrame) -> DataFrame:
     """Positive pseudo-review of second-source places from name, address, categories and detail text."""
     text = lambda c: F.when(F.col(c) != "", F.col(c))
-    detail = F.when(~F.col("detail").isin("", "{}", "nan"), F.substring("detail", 1, 400))
+    detail = F.when(~F.col("detail").isin("", "{}", "nan"), F.col("detail"))
     rows = places.where(F.col("business_id").startswith("gm_")).select(
         "business_id",
         F.lit("positive").alias("polarity"),
@@ -120,13 +123,13 @@ def index_terms(text: Column, stopwords: Sequence[str], ngrams: int = 2) -> Colu
 
 def fit_tfidf(
     docs: DataFrame,
-    max_features: int = 50_000,
+    max_features: int | None = None,
     stopwords: Sequence[str] = tuple(INDEX_STOPWORDS),
     ngrams: int = 2,
     min_df: int = 1,
     cut: bool = False,
 ) -> TextIndex:
-    """TF-IDF over (doc_id, text): smoothed idf, unit-length rows, vocabulary capped by corpus count, then term.
+    """TF-IDF over (doc_id, text): smoothed idf, unit-length rows. ``max_features`` keeps the most counted terms.
 
     Documents are spread by id once; counting terms and the row norms then need no further shuffle, and only
     one row per distinct term and task leaves for the vocabulary. A document is one input row, so its terms fit
@@ -143,15 +146,13 @@ def fit_tfidf(
         counts.groupBy("term")
         .agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
         .where(F.col("df") >= min_df)
-        .orderBy(F.desc("total"), F.asc("term"))
-        .limit(max_features)
     )
+    if max_features is not None:
+        frequent = frequent.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
     vocabulary = frequent.select("term", (F.ln((n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     if cut:
         vocabulary = checkpointed(vocabulary)
-    # The vocabulary has at most ``max_features`` rows by the limit above.
-    small = F.broadcast(vocabulary) if max_features <= 100_000 else vocabulary
-    raw = counts.join(small, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
+    raw = counts.join(vocabulary, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("doc_id")))
     postings = raw.select("doc_id", "term", (F.col("raw") / norm).alias("w"))
     return TextIndex(checkpointed(postings) if cut else postings, vocabulary)

@@ -256,7 +256,7 @@ def spatial_transforms(df: DataFrame, radii: Sequence[float] = RADII) -> DataFra
         t = _tag(r)
         n_all, n_same = f"`count_all_{t}`", f"`count_same_cat_{t}`"
         new = {
-            "log_count_all": f"log1p(least(greatest({n_all}, 0), 5000))",
+            "log_count_all": f"log1p(greatest({n_all}, 0))",
             "log_count_same_cat": f"log1p({n_same})",
             "has_any": f"double({n_all} > 0)",
             "has_same_cat": f"double({n_same} > 0)",
@@ -304,14 +304,14 @@ def score_sites_features(sites: DataFrame, ref: DataFrame, by: str | None = None
     return all_features(sites, ref, key="site_id", exclude_self=False, by=by)
 
 
-def local_reference(ref: DataFrame, city: str | None, state: str | None = None, max_rows: int = 2000) -> DataFrame:
-    """Places of one city, or the first places by id when no city is asked for."""
+def local_reference(ref: DataFrame, city: str | None, state: str | None = None) -> DataFrame:
+    """Places of one city, or all places when no city is asked for."""
     if city and city.strip():
         local = ref.where(F.lower("city") == city.strip().lower())
         if state and state.strip():
             local = local.where(F.upper(F.trim("state")) == state.strip().upper())
         return local
-    return ref.orderBy("business_id").limit(max_rows)
+    return ref
 
 
 def city_catalog(ref: DataFrame, min_rows: int = 10) -> DataFrame:

@@ -116,7 +116,7 @@ def _transforms_sql() -> str:
     cols = ["business_id"]
     for r in ("0_5km", "1_0km", "3_0km"):
         cols += [
-            f"round(ln(1 + least(count_all_{r}, 5000)), 5) AS log_count_all_{r}",
+            f"round(ln(1 + count_all_{r}), 5) AS log_count_all_{r}",
             f"round(ln(1 + count_same_cat_{r}), 5) AS log_count_same_cat_{r}",
             f"(count_all_{r} > 0)::INT::DOUBLE AS has_any_{r}",
             f"(count_same_cat_{r} > 0)::INT::DOUBLE AS has_same_cat_{r}",
@@ -201,11 +201,11 @@ def site_features(spark, sf):
 
 
 @check("sp11_local_reference", with_views("places", """SELECT business_id, 'city' AS part FROM places WHERE lower(city) = 'tampa' AND state = 'FL'
- UNION ALL SELECT * FROM (SELECT business_id, 'first' FROM places ORDER BY business_id LIMIT 100)"""))
+ UNION ALL SELECT business_id, 'all' FROM places"""))
 def local_reference(spark, sf):
     p = v.places(spark, sf)
     city = spatial.local_reference(p, " Tampa", "fl").select("business_id", F.lit("city").alias("part"))
-    return city.unionByName(spatial.local_reference(p, None, None, 100).select("business_id", F.lit("first").alias("part")))
+    return city.unionByName(spatial.local_reference(p, None).select("business_id", F.lit("all").alias("part")))
 
 
 @check("sp12_city_catalog", with_views("places", """SELECT city, state, count(*) AS row_count, round(avg(latitude), 6) AS center_lat,

@@ -94,14 +94,14 @@ def write_table(spark, sf):
     return spark.read.parquet(folder).select("business_id", "state", "stars")
 
 
-@check("sr10_save_and_load_index", "WITH " + tfidf_sql("documents", "doc_id", "text", 5000) + " SELECT term, round(idf, 6) AS idf FROM vocab")
+@check("sr10_save_and_load_index", "WITH " + tfidf_sql("documents", "doc_id", "text") + " SELECT term, round(idf, 6) AS idf FROM vocab")
 def save_index(spark, sf):
     from placelens.operators.retrieval import fit_tfidf
 
-    folder, config = shared_folder(spark, "index"), {"max_features": 5000, "ngrams": 2}
+    folder, config = shared_folder(spark, "index"), {"ngrams": 2}
     documents = v.table(spark, sf, "documents")
     if not writers.index_is_current(spark, folder, config):
-        writers.save_index(fit_tfidf(documents, max_features=5000), documents.select("doc_id", "lang"), folder, config)
+        writers.save_index(fit_tfidf(documents), documents.select("doc_id", "lang"), folder, config)
     if not writers.index_is_current(spark, folder, config):
         raise ValueError("the saved index does not match its configuration")
     return rounded(writers.load_index(spark, folder)[0].vocabulary)
@@ -427,13 +427,12 @@ def _gallery_sql() -> str:
     return with_views("places photos", f"""SELECT p.business_id, coalesce(g.urls, f.urls) AS photo_urls,
  string_split(coalesce(g.urls, f.urls), ' ')[1] AS photo_url FROM places p
  LEFT JOIN (SELECT business_id, string_agg('{head}' || photo_id || '{tail}', ' ' ORDER BY seq, photo_id) AS urls FROM (SELECT *,
-   row_number() OVER (PARTITION BY business_id ORDER BY seq, photo_id) AS r FROM photos WHERE seq % 3 = 0) WHERE r <= 8 GROUP BY 1) g USING (business_id)
+   row_number() OVER (PARTITION BY business_id ORDER BY seq, photo_id) AS r FROM photos) WHERE r <= 8 GROUP BY 1) g USING (business_id)
  JOIN (SELECT business_id, string_agg({pics}[('0x' || substr(md5(business_id || '|' || j), 1, 8))::BIGINT % 5 + 1], ' ' ORDER BY j)
    AS urls FROM places, range(0, 4) t(j) GROUP BY 1) f USING (business_id)""")
 
 
 @check("fx17_photo_gallery", _gallery_sql())
 def gallery(spark, sf):
-    listed = v.photos(spark, sf).where("seq % 3 = 0")
-    rows = features.photo_gallery(v.places(spark, sf), listed)
+    rows = features.photo_gallery(v.places(spark, sf), v.photos(spark, sf))
     return rows.select("business_id", F.array_join("photo_urls", " ").alias("photo_urls"), "photo_url")

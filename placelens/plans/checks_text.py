@@ -167,8 +167,8 @@ _WITHIN = "'within\\s+(\\d+(?:\\.\\d+)?)\\s*(km|kilometers?|miles?|mi)\\b'"
 _RADIUS = f"""CASE WHEN regexp_matches(q, {_WITHIN}) THEN regexp_extract(q, {_WITHIN}, 1)::DOUBLE
  * CASE WHEN starts_with(regexp_extract(q, {_WITHIN}, 2), 'mi') THEN 1.60934::DOUBLE ELSE 1.0::DOUBLE END
  WHEN contains(q, 'near') OR contains(q, 'around') OR contains(q, 'close to') THEN 2.0::DOUBLE END"""
-_LOC0 = """coalesce(nullif(trim(regexp_extract(q, '\\b(?:near|around|close to)\\s+([a-z0-9][a-z0-9\\s\\-'']{1,80})(?:\\s|$|,|\\.)', 1)), ''),
- nullif(trim(regexp_extract(q, '\\bin\\s+([a-z][a-z\\s\\-]{1,60})(?:\\s|$|,|\\.)', 1)), ''))"""
+_LOC0 = """coalesce(nullif(trim(regexp_extract(q, '\\b(?:near|around|close to)\\s+([a-z0-9][a-z0-9\\s\\-'']+)(?:\\s|$|,|\\.)', 1)), ''),
+ nullif(trim(regexp_extract(q, '\\bin\\s+([a-z][a-z\\s\\-]+)(?:\\s|$|,|\\.)', 1)), ''))"""
 _LOC = f"""coalesce(nullif(trim(regexp_replace({_LOC0}, '(?:(?:^|\\s+)(?:{'|'.join(BUDGET_TAIL_WORDS)}))+$', '')), ''), {_LOC0})"""
 _CODES = _list(STATE_CODES.values())
 _NAMES = sorted(STATE_CODES, key=len, reverse=True)
@@ -185,8 +185,8 @@ _STATE = (
 )
 _BUDGET_ALL = "|".join(p for _, p in BUDGET_PATTERNS)
 _TERMS = f"""list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(raw), '{_BUDGET_ALL}', ' ', 'g'),
- '\\bwithin\\s+\\d+(?:\\.\\d+)?\\s*(km|kilometers?|miles?|mi)\\b', ' ', 'g'), '\\b(?:near|around|close to)\\s+[a-z0-9][a-z0-9\\s\\-'']{{1,80}}', ' ', 'g'),
- '\\bin\\s+[a-z][a-z\\s\\-]{{1,60}}', ' ', 'g'), '[a-zA-Z'']+'), lambda t: NOT list_contains({_list(QUERY_STOPWORDS)}, t) AND length(t) > 1)"""
+ '\\bwithin\\s+\\d+(?:\\.\\d+)?\\s*(km|kilometers?|miles?|mi)\\b', ' ', 'g'), '\\b(?:near|around|close to)\\s+[a-z0-9][a-z0-9\\s\\-'']+', ' ', 'g'),
+ '\\bin\\s+[a-z][a-z\\s\\-]+', ' ', 'g'), '[a-zA-Z'']+'), lambda t: NOT list_contains({_list(QUERY_STOPWORDS)}, t) AND length(t) > 1)"""
 _LABEL = "CASE cuisine " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in CUISINE_LABELS.items()) + " END"
 _INTENT = """CASE WHEN regexp_matches(query_text, '\\bfast\\b|\\bquick\\b|\\bcheap\\b|\\bgrab[\\s-]?and[\\s-]?go\\b') THEN 'intent_quick'
  WHEN regexp_matches(query_text, '\\bdate\\b|\\bromantic\\b|\\bcozy\\b|\\banniversary\\b') THEN 'intent_romantic' ELSE 'intent_default' END"""
@@ -204,7 +204,7 @@ _DEDUP = "list_filter(t, lambda x, i: list_position(t, x) = i)"
 ANNOTATED = _NORM + f""", texts AS (SELECT DISTINCT raw, q FROM n), a1 AS (SELECT *, {_CUISINE} AS cuisine, {_BUDGET} AS budget, {_RADIUS} AS radius_km,
   {_LOC} AS loc, {_TERMS} AS t FROM texts),
  a2 AS (SELECT *, CASE WHEN raw = '' THEN NULL ELSE {_STATE} END AS state_code, CASE WHEN raw = '' THEN '' WHEN len(t) = 0
-  THEN coalesce(cuisine, 'restaurant') ELSE array_to_string(list_slice({_DEDUP}, 1, 10), ' ') END AS semantic_query,
+  THEN coalesce(cuisine, 'restaurant') ELSE array_to_string({_DEDUP}, ' ') END AS semantic_query,
   {_LABEL} AS label, {_geo(1)} AS ref_lat, {_geo(2)} AS ref_lon FROM a1),
  a3 AS (SELECT *, CASE WHEN semantic_query = '' THEN 'restaurants' WHEN label IS NOT NULL AND label <> semantic_query
   THEN semantic_query || ' ' || label ELSE semantic_query END AS query_text FROM a2),
@@ -293,9 +293,10 @@ def candidates_by_state(spark, sf):
     return retrieval.select_candidates_by_state(v.places(spark, sf), 150).select("business_id", "state")
 
 
-SAMPLED = """sampled AS (SELECT *, row_number() OVER (PARTITION BY business_id, polarity ORDER BY date, review_id) AS pos FROM (
-  SELECT *, CASE WHEN stars >= 4 THEN 'positive' WHEN stars <= 2 THEN 'negative' END AS polarity FROM reviews)
-  WHERE polarity IS NOT NULL AND trim(text) <> '' QUALIFY pos <= CASE polarity WHEN 'positive' THEN 1 ELSE 2 END)"""
+POLAR = """polar AS (SELECT * FROM (SELECT *, CASE WHEN stars >= 4 THEN 'positive' WHEN stars <= 2 THEN 'negative' END AS polarity FROM reviews)
+  WHERE polarity IS NOT NULL AND trim(text) <> '')"""
+SAMPLED = POLAR + """, sampled AS (SELECT *, row_number() OVER (PARTITION BY business_id, polarity ORDER BY date, review_id) AS pos FROM polar
+  QUALIFY pos <= CASE polarity WHEN 'positive' THEN 1 ELSE 2 END)"""
 
 
 @check("rt3_sample_sentiment_reviews", with_views("reviews", "SELECT review_id, polarity, pos FROM sampled", SAMPLED))
@@ -303,7 +304,7 @@ def sampled(spark, sf):
     return retrieval.sample_sentiment_reviews(v.reviews(spark, sf), 3).select("review_id", "polarity", "pos")
 
 
-PROFILES = SAMPLED + ", " + _themes("business_id, polarity", "sampled") + """,
+PROFILES = POLAR + ", " + _themes("business_id, polarity", "polar") + """,
  top AS (SELECT business_id, polarity, string_agg(phrase, ', ' ORDER BY n DESC, phrase) AS phrases FROM (SELECT *, row_number() OVER (
   PARTITION BY business_id, polarity ORDER BY n DESC, phrase) AS r FROM (SELECT business_id, polarity, phrase, count(*) AS n FROM phrases
   GROUP BY ALL)) WHERE r <= 6 GROUP BY 1, 2),
@@ -315,7 +316,7 @@ PROFILES = SAMPLED + ", " + _themes("business_id, polarity", "sampled") + """,
 
 
 def profiles(spark, sf):
-    texts = retrieval.sample_sentiment_reviews(v.reviews(spark, sf), 3)
+    texts = retrieval.sentiment_reviews(v.reviews(spark, sf))
     return retrieval.build_profiles(v.places(spark, sf), texts)
 
 
@@ -325,7 +326,7 @@ def build_profiles(spark, sf):
 
 
 @check("rt5_synthetic_snippets", with_views("map_export", """SELECT business_id, 'positive' AS polarity, concat_ws(' ', nullif(name, ''),
- nullif(address, ''), 'Restaurants, Food', CASE WHEN detail NOT IN ('', '{}', 'nan') THEN substr(detail, 1, 400) END) AS text FROM mapped""",
+ nullif(address, ''), 'Restaurants, Food', CASE WHEN detail NOT IN ('', '{}', 'nan') THEN detail END) AS text FROM mapped""",
  MAPPED))
 def snippets(spark, sf):
     from placelens.sources import readers
@@ -333,21 +334,21 @@ def snippets(spark, sf):
     return retrieval.synthetic_snippets(readers.map_export_places(v.map_export(spark, sf)))
 
 
-@check("rt6_fit_tfidf", "WITH " + tfidf_sql("documents", "doc_id", "text", 50000) + " SELECT doc_id, term, round(w, 6) AS w FROM postings")
+@check("rt6_fit_tfidf", "WITH " + tfidf_sql("documents", "doc_id", "text") + " SELECT doc_id, term, round(w, 6) AS w FROM postings")
 def tfidf(spark, sf):
     index = retrieval.fit_tfidf(v.table(spark, sf, "documents"))
     return rounded(index.postings)
 
 
-@check("rt6_vocabulary", "WITH " + tfidf_sql("documents", "doc_id", "text", 5000) + " SELECT term, round(idf, 6) AS idf FROM vocab")
+@check("rt6_vocabulary", "WITH " + tfidf_sql("documents", "doc_id", "text") + " SELECT term, round(idf, 6) AS idf FROM vocab")
 def vocabulary(spark, sf):
-    return rounded(retrieval.fit_tfidf(v.table(spark, sf, "documents"), max_features=5000).vocabulary)
+    return rounded(retrieval.fit_tfidf(v.table(spark, sf, "documents")).vocabulary)
 
 
-@check("rt7_doc_norms", "WITH " + tfidf_sql("documents", "doc_id", "text", 20000)
+@check("rt7_doc_norms", "WITH " + tfidf_sql("documents", "doc_id", "text")
  + " SELECT doc_id, round(sqrt(sum(w * w)), 6) AS norm FROM postings GROUP BY 1")
 def doc_norms(spark, sf):
-    return rounded(retrieval.doc_norms(retrieval.fit_tfidf(v.table(spark, sf, "documents"), max_features=20000).postings))
+    return rounded(retrieval.doc_norms(retrieval.fit_tfidf(v.table(spark, sf, "documents")).postings))
 
 
 COSINE = f"""qwords AS (SELECT query_text, list_filter(regexp_extract_all(lower(query_text), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
@@ -357,7 +358,7 @@ COSINE = f"""qwords AS (SELECT query_text, list_filter(regexp_extract_all(lower(
  qraw AS (SELECT query_text, term, count(*) * any_value(idf) AS r FROM qterms JOIN vocab USING (term) GROUP BY 1, 2),
  qw AS (SELECT query_text, term, r / sqrt(sum(r * r) OVER (PARTITION BY query_text)) AS w FROM qraw),
  sims AS MATERIALIZED (SELECT query_text, doc_id, sum(qw.w * p.w) / (1 + 1e-9) AS similarity FROM qw JOIN postings p USING (term) GROUP BY 1, 2)"""
-INDEXED = PROFILES + ", " + tfidf_sql("profiles", "business_id", "profile", 50000)
+INDEXED = PROFILES + ", " + tfidf_sql("profiles", "business_id", "profile")
 
 
 def place_index(spark, sf) -> retrieval.TextIndex:

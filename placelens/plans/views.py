@@ -278,7 +278,7 @@ def sql_list(words) -> str:
     return "[" + ", ".join(_q(w) for w in words) + "]"
 
 
-def tfidf_sql(source: str, key: str, text: str, cap: int) -> str:
+def tfidf_sql(source: str, key: str, text: str) -> str:
     """Common table expressions postings(doc_id, term, w) and vocab(term, idf)."""
     return f"""words AS (SELECT {key} AS doc_id, list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
   lambda x: NOT list_contains({sql_list(INDEX_STOPWORDS)}, x)) AS w FROM {source}),
@@ -286,6 +286,6 @@ def tfidf_sql(source: str, key: str, text: str, cap: int) -> str:
   SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words),
  counts AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2),
  vocab AS MATERIALIZED (SELECT term, ln((n + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1.0::DOUBLE AS idf FROM counts, (SELECT count(*) AS n FROM {source})
-  GROUP BY term, n ORDER BY sum(tf) DESC, term LIMIT {cap}),
+  GROUP BY term, n),
  raw_w AS (SELECT doc_id, term, tf * idf AS r FROM counts JOIN vocab USING (term)),
  postings AS MATERIALIZED (SELECT doc_id, term, r / sqrt(sum(r * r) OVER (PARTITION BY doc_id)) AS w FROM raw_w)"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,19 +28,18 @@ def build_session(app_name: str = "placelens", **extra: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for reliable checkpoints: the one the cluster names in spark.checkpoint.dir.
-
-    Only a local session without that setting gets a folder of its own.
-    """
+    """Folder for reliable checkpoints: the one the cluster names in spark.checkpoint.dir, which has to be set."""
     context = spark.sparkContext
     folder = context.getCheckpointDir()
     if folder:
         return folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
+        # A session of one machine, as in tests, may keep its tables on it.
+        if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="placelens-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return folder
 

@@ -11,7 +11,7 @@ from placelens.functions.columns import safe_double
 from placelens.functions.frames import conform
 
 
-def _read(spark: SparkSession, path: str, fmt: str, schema: StructType, limit: int | None = None) -> DataFrame:
+def _read(spark: SparkSession, path: str, fmt: str, schema: StructType) -> DataFrame:
     if fmt == "json":
         df = spark.read.schema(schema).json(path)
     elif fmt == "csv":
@@ -22,7 +22,7 @@ def _read(spark: SparkSession, path: str, fmt: str, schema: StructType, limit: i
         df = conform(spark.read.parquet(path), schema)
     else:
         raise ValueError(f"unknown format: {fmt}")
-    return df if limit is None else df.limit(limit)
+    return df
 
 
 def read_places(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -30,20 +30,20 @@ def read_places(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     return _read(spark, path, fmt, schemas.PLACES)
 
 
-def read_reviews(spark: SparkSession, path: str, fmt: str = "json", limit: int | None = None) -> DataFrame:
-    return _read(spark, path, fmt, schemas.REVIEWS, limit)
+def read_reviews(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    return _read(spark, path, fmt, schemas.REVIEWS)
 
 
-def read_users(spark: SparkSession, path: str, fmt: str = "json", limit: int | None = None) -> DataFrame:
-    return _read(spark, path, fmt, schemas.USERS, limit)
+def read_users(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    return _read(spark, path, fmt, schemas.USERS)
 
 
-def read_checkins(spark: SparkSession, path: str, fmt: str = "json", limit: int | None = None) -> DataFrame:
-    return _read(spark, path, fmt, schemas.CHECKINS, limit)
+def read_checkins(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    return _read(spark, path, fmt, schemas.CHECKINS)
 
 
-def read_tips(spark: SparkSession, path: str, fmt: str = "json", limit: int | None = None) -> DataFrame:
-    return _read(spark, path, fmt, schemas.TIPS, limit)
+def read_tips(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    return _read(spark, path, fmt, schemas.TIPS)
 
 
 def read_photo_manifest(spark: SparkSession, path: str) -> DataFrame:
