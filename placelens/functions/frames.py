@@ -48,69 +48,53 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def hot_key_salts(df: DataFrame, key: str, min_rows: int = 100_000, max_keys: int = 512) -> Column:
-    """Number of salts for the current row's key: 1, or more where the key holds over ``min_rows`` rows of ``df``.
-
-    Only the ``max_keys`` largest keys are listed, so the lookup is bounded whatever the size of the table; any
-    other key holds less than 1/``max_keys`` of the rows.
-    """
+def hot_keys(df: DataFrame, key: str, min_rows: int = 100_000) -> DataFrame:
+    """Keys with more than ``min_rows`` rows in ``df`` and the number of salts each gets, one per ``min_rows`` rows."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
-    hot = counts.where(F.col("rows") > min_rows).orderBy(F.desc("rows")).limit(max_keys)
-    entries = F.collect_list(F.struct(F.col(key), F.ceil(F.col("rows") / F.lit(float(min_rows))).cast("int")))
-    lookup = hot.agg(F.map_from_entries(entries)).scalar()
-    return F.coalesce(F.try_element_at(lookup, F.col(key)), F.lit(1))
+    return counts.where(F.col("rows") > min_rows).select(key, F.ceil(F.col("rows") / float(min_rows)).alias("salts"))
 
 
 def salted_join(probe: DataFrame, build: DataFrame, key: str, min_rows: int = 100_000) -> DataFrame:
-    """Inner equi-join on ``key`` that splits the build rows of hot keys and repeats their probe rows."""
-    salts = hot_key_salts(build, key, min_rows)
-    spread = build.withColumn("salt", F.pmod(F.xxhash64(*build.columns), salts.cast("bigint")))
-    repeated = probe.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts.cast("bigint") - 1)))
-    return repeated.join(spread, [key, "salt"]).drop("salt")
+    """Inner equi-join on ``key`` that splits the build rows of hot keys and repeats their probe rows.
+
+    The salt counts are joined like any table, so every hot key is split however many there are; Spark broadcasts
+    them where their measured size allows it. Adaptive skew handling splits the probe side.
+    """
+    hot = hot_keys(build, key, min_rows)
+    salts = F.coalesce("salts", F.lit(1).cast("bigint"))
+    spread = build.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(*build.columns), salts))
+    repeated = probe.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
+    return repeated.drop("salts").join(spread.drop("salts"), [key, "salt"]).drop("salt")
 
 
 def with_running_totals(
-    hist: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], step: int = 8
+    hist: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], rows_per_segment: int = 1_000_000
 ) -> DataFrame:
     """Add, per key, the total of each measure and its sum over all smaller values.
 
-    ``hist`` has one row per (keys, value). The value range of each key is cut into step x step slices at
-    approximate quantiles, found in two steps of ``step`` comparisons; sums run inside a slice and the few slice totals are chained, so no task sees a whole key.
+    ``hist`` has one row per (keys, value). Its rows are cut into ranges of (keys, value) of a stated size; sums
+    run inside a range and the range totals are chained, so no task sees a whole key.
     """
     keys = list(keys)
-    # Tying the cut points to a measure keeps all columns in this branch, so Spark computes ``hist`` once.
-    seen = F.when(F.col(measures[0]).isNotNull(), F.col(value))
-    cuts = [i / step**2 for i in range(1, step**2)]
-    bounds = hist.groupBy(*keys).agg(F.percentile_approx(seen, cuts, 2000).alias("bounds"))
-    every = F.transform(F.sequence(F.lit(1), F.lit(step - 1)), lambda i: F.element_at("bounds", i * step))
-    below = lambda array: F.size(F.filter(array, lambda b: b < F.col(value)))
-    sliced = (
-        hist.join(bounds.withColumn("coarse", every), keys)
-        .withColumn("c", below(F.col("coarse")) * step)
-        .withColumn("slice", F.col("c") + below(F.slice("bounds", F.col("c") + 1, F.lit(step - 1))))
-        .drop("bounds", "coarse", "c")
-    )
-    totals = sliced.groupBy(*keys, "slice").agg(*[F.sum(m).alias(f"slice_{m}") for m in measures])
-    ordered = W.partitionBy(*keys).orderBy("slice")
+    sliced = ordered_segments(hist, [*keys, value], rows_per_segment)
+    totals = sliced.groupBy(*keys, "segment").agg(*[F.sum(m).alias(f"segment_{m}") for m in measures])
+    ordered = W.partitionBy(*keys).orderBy("segment")
     whole = W.partitionBy(*keys)
     chained = totals.select(
         *keys,
-        "slice",
+        "segment",
         *[
             c
             for m in measures
             for c in (
-                (F.sum(f"slice_{m}").over(ordered) - F.col(f"slice_{m}")).alias(f"base_{m}"),
-                F.sum(f"slice_{m}").over(whole).alias(f"total_{m}"),
+                (F.sum(f"segment_{m}").over(ordered) - F.col(f"segment_{m}")).alias(f"base_{m}"),
+                F.sum(f"segment_{m}").over(whole).alias(f"total_{m}"),
             )
         ],
     )
-    inside = W.partitionBy(*keys, "slice").orderBy(value)
-    out = sliced
-    for m in measures:
-        out = out.withColumn(f"run_{m}", F.sum(m).over(inside) - F.col(m))
-    out = out.join(chained, [*keys, "slice"])
-    return out.select(
+    inside = W.partitionBy(*keys, "segment").orderBy(value)
+    run = sliced.withColumns({f"run_{m}": F.sum(m).over(inside) - F.col(m) for m in measures})
+    return run.join(chained, [*keys, "segment"]).select(
         *hist.columns,
         *[(F.col(f"base_{m}") + F.col(f"run_{m}")).alias(f"before_{m}") for m in measures],
         *[F.col(f"total_{m}") for m in measures],
@@ -147,13 +131,18 @@ def exact_quantiles(
     )
 
 
+def range_count(df: DataFrame, rows_per_segment: int = 1_000_000) -> int:
+    """Number of ranges that keeps a range near ``rows_per_segment`` rows, at least one per shuffle partition."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_per_segment))
+
+
 def ordered_segments(df: DataFrame, order: Sequence[str], rows_per_segment: int = 1_000_000) -> DataFrame:
     """Range-partition by a total order and number the ranges in column ``segment``.
 
-    The number of ranges follows a count of the table, so a range stays near its size. The result is a reliable checkpoint: the ranges come from sampling, and the segment of a row must not
-    change when a lost task is run again.
+    The number of ranges follows a count of the table. The result is a reliable checkpoint: the ranges come from
+    sampling, and the segment of a row must not change when a lost task is run again. The rows are cut before as
+    well, because counting, sampling and ranging each read them.
     """
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_per_segment))
-    ranged = df.repartitionByRange(n, *order).withColumn("segment", F.spark_partition_id())
-    return cut(ranged)
+    rows = cut(df)
+    ranged = rows.repartitionByRange(range_count(rows, rows_per_segment), *order)
+    return cut(ranged.withColumn("segment", F.spark_partition_id()))

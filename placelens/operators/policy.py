@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placelens.functions.columns import literal_map
-from placelens.functions.frames import ordered_segments, top_per_group
+from placelens.functions.frames import ordered_segments, range_count, top_per_group
 from placelens.functions.lexicons import (
     ACTION_REWARDS,
     ALPHA,
@@ -122,10 +122,8 @@ def fold_events(events: DataFrame, order: Sequence[str] = ("ts", "event_id"), al
 
     Nine groups hold all events, so the order is cut into ranges first and each range is folded on its own.
     """
-    spark = events.sparkSession
     rows = known_arms(events).select(clean_intent(F.col("intent")).alias("intent"), "arm", "reward", *order)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, *order).withColumn("segment", F.spark_partition_id())
+    ranged = rows.repartitionByRange(range_count(rows), *order).withColumn("segment", F.spark_partition_id())
     return chain_segments(segment_values(ranged, order, alpha), alpha)
 
 

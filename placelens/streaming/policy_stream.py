@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from placelens.functions.frames import range_count
 from placelens.functions.lexicons import ALPHA
 from placelens.operators.policy import chain_segments, clean_intent, complete_state, known_arms, segment_values
 
@@ -45,8 +46,8 @@ class QStateStream:
         if clock is not None and self.late_seconds is not None:
             newest = clock.select("max_ts").scalar()
             late = F.coalesce(F.unix_micros("ts") < F.unix_micros(newest) - self.late_seconds * 1_000_000, F.lit(False))
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ranged = rows.where(~late).repartitionByRange(n, "ts", "event_id").withColumn("segment", F.spark_partition_id())
+        kept = rows.where(~late)
+        ranged = kept.repartitionByRange(range_count(kept), "ts", "event_id").withColumn("segment", F.spark_partition_id())
         state = chain_segments(segment_values(ranged, ["ts", "event_id"], self.alpha), self.alpha, before)
         state.coalesce(1).write.mode("overwrite").parquet(self._path("state", batch_id))
         seen = rows.agg(F.max("ts").alias("max_ts"), F.count_if(late).alias("late_events"))

@@ -126,7 +126,7 @@ def test_exact_quantiles(spark):
 
 def test_running_totals(spark):
     df = spark.createDataFrame([("a", float(i % 97), i) for i in range(97)], "k string, x double, n long")
-    for r in frames.with_running_totals(df, ["k"], "x", ["n"], step=3).collect():
+    for r in frames.with_running_totals(df, ["k"], "x", ["n"], rows_per_segment=9).collect():
         assert r["before_n"] == sum(i for i in range(97) if i < r["x"]) and r["total_n"] == sum(range(97))
 
 
