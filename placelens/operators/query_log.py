@@ -153,10 +153,13 @@ def geocode_landmarks(queries: DataFrame, gazetteer: Sequence[tuple[str, float,
 
 
 def geocode_table(queries: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Fill missing points from a table (place_text, lat, lon) by the normalised user location."""
-    table = gazetteer.select(
-        normalize_query(F.col("place_text")).alias("_key"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")
-    ).dropDuplicates(["_key"])
+    """Fill missing points from a table (place_text, lat, lon) by the normalised user location.
+
+    Of several points for one text the smallest (place_text, lat, lon) is used.
+    """
+    point = F.min(F.struct("place_text", "lat", "lon")).alias("_p")
+    named = gazetteer.groupBy(normalize_query(F.col("place_text")).alias("_key")).agg(point)
+    table = named.select("_key", F.col("_p.lat").alias("_lat"), F.col("_p.lon").alias("_lon"))
     keyed = queries.withColumn("_key", normalize_query(F.col("user_location")))
     missing = F.col("ref_lat").isNull() & F.col("ref_lon").isNull()
     return (

@@ -334,6 +334,79 @@ def top_k_per_query(scored: DataFrame, top_k: int = 10, pool_k: int | None = 45)
     return top_per_group(scored, ["sig"], [F.desc("final_score"), F.asc("business_id")], size)
 
 
+# What the ranking of a request depends on besides its text.
+FRAME = [c for c in SIGNATURE if c != "query_text"]
+
+
+def _frame_candidates(frames: DataFrame, meta: DataFrame, ref_reviews: float) -> DataFrame:
+    """Filtered places of each request frame with the part of the score that no text changes, and the set's size."""
+    facts = meta.select(
+        "business_id", "state_norm", "city_norm", "categories_norm", "latitude", "longitude", "stars", "review_count", "price_tier"
+    )
+    match = price_match(F.col("price_tier"), F.col("budget"))
+    near = distance_score(F.col("distance_km"), F.col("radius_km"))
+    trust = trust_shrunk_stars(F.col("stars"), F.col("review_count"), ref_reviews)
+    fixed = F.col("w_rating") * trust + F.col("w_price") * match + F.col("w_distance") * near
+    pairs = candidate_pairs(frames, facts).select(
+        "frame", "business_id", "distance_km", "w_popularity", "cuisine_match", _in_reach().alias("reach"),
+        (F.coalesce(F.size("cuisine_filter"), F.lit(0)) > 0).alias("filtered"),
+        F.log1p(F.greatest(F.col("review_count").cast("double"), F.lit(0.0))).alias("pop"),
+        match.alias("price_match"), fixed.alias("fixed"),
+    )
+    pairs = checkpointed(pairs)
+    both = F.col("reach") & F.col("cuisine_match")
+    stats = pairs.groupBy("frame").agg(
+        (F.any_value("filtered") & F.bool_or("cuisine_match")).alias("strict"),
+        *[
+            c
+            for name, rows in (("any", F.col("reach")), ("match", both))
+            for c in (
+                F.min(F.when(rows, F.col("pop"))).alias(f"lo_{name}"),
+                F.max(F.when(rows, F.col("pop"))).alias(f"hi_{name}"),
+                F.count_if(rows).alias(f"n_{name}"),
+            )
+        ],
+    )
+    pick = lambda name: F.when(F.col("strict"), F.col(f"{name}_match")).otherwise(F.col(f"{name}_any"))
+    bounds = stats.select("frame", "strict", pick("lo").alias("lo"), pick("hi").alias("hi"), pick("n").alias("n_set"))
+    kept = pairs.join(bounds, "frame").where(F.col("reach") & (~F.col("strict") | F.col("cuisine_match")))
+    scaled = (F.col("pop") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-9)
+    base = F.col("fixed") + F.col("w_popularity") * scaled
+    return kept.select("frame", "business_id", "distance_km", "price_match", "n_set", base.alias("base"))
+
+
+def rank_candidates(requests: DataFrame, meta: DataFrame, sims: DataFrame, size: int, ref_reviews: float = 150.0) -> DataFrame:
+    """The ``size`` best candidates per signature, as ``score_candidates`` and a cut would give them.
+
+    Requests that differ only in their text share a frame, and the places of a frame are filtered and scored once.
+    A text changes the score only of places it shares a term with; the others keep the frame's order, so the
+    frame's own first ``size`` rows are all of them that can be among the best. This needs weights of 0 or more.
+    Names and addresses are joined to the ranked rows only.
+    """
+    asked = requests.withColumn("frame", F.sha2(F.to_json(F.struct(*FRAME)), 256))
+    places = _frame_candidates(asked.select("frame", *FRAME).distinct(), meta, ref_reviews)
+    keyed = asked.select("sig", "frame", "query_text", "w_semantic")
+    hits = keyed.join(sims.select("query_text", F.col("doc_id").alias("business_id"), "similarity"), "query_text")
+    touched = checkpointed(hits.drop("query_text").join(places, ["frame", "business_id"]))
+    first = top_per_group(places, ["frame"], [F.desc("base"), F.asc("business_id")], size, "_r").drop("_r")
+    others = (
+        keyed.drop("query_text").join(first, "frame")
+        .join(touched.select("sig", "business_id"), ["sig", "business_id"], "left_anti")
+        .withColumn("similarity", F.lit(0.0))
+    )
+    ends = touched.groupBy("sig").agg(
+        F.min("similarity").alias("low"), F.max("similarity").alias("hi"), F.count("*").alias("n_touched")
+    )
+    lo = F.when(F.col("n_touched") < F.col("n_set"), F.lit(0.0)).otherwise(F.col("low"))
+    scaled = (F.col("similarity") - lo) / (F.col("hi") - lo + 1e-9)
+    rows = touched.unionByName(others).join(ends, "sig", "left")
+    final = F.col("w_semantic") * F.coalesce(scaled, F.lit(0.0)) + F.col("base")
+    rows = rows.select("sig", "business_id", "similarity", "distance_km", "price_match", final.alias("final_score"))
+    best = top_per_group(rows, ["sig"], [F.desc("final_score"), F.asc("business_id")], size)
+    shown = [c for c in RESULT_COLUMNS if c not in ("similarity", "final_score", "distance_km", "price_match")]
+    return best.join(meta.select(*shown), "business_id").select("sig", *RESULT_COLUMNS, "rank")
+
+
 def keyword_match_mvp(
     queries: DataFrame, places: DataFrame, min_stars: float = 3, max_price: int | None = 4, top_k: int = 5
 ) -> DataFrame:

@@ -183,6 +183,45 @@ def search_meta(spark, sf):
     return plan.search_meta(plan.search(log, index, m, s), pools)
 
 
+def form_requests(spark, sf):
+    """The log as it comes from the request form: filters, extra words, own sizes and weights, some of it unusable."""
+    k = F.col("query_id")
+    weights = {n: F.when(k % 5 == 0, F.lit(0.3 * (i + 1))) for i, n in enumerate(WEIGHT_NAMES)}
+    return v.query_log(spark, sf).withColumns({
+        "state": F.when(k % 50 == 7, " ").when(k % 50 == 8, "all").otherwise(F.col("state")),
+        "city": F.when(k % 3 == 0, F.upper("browse_city")),
+        "extra": F.when(k % 4 == 1, "cheap patio"),
+        "cuisines": F.when(k % 6 == 2, F.array(F.lit("Sushi"), F.lit("Mexican"))),
+        "discover": k % 10 == 3,
+        "user_location": F.when(k % 2 == 0, F.concat(F.lit(" "), F.upper("browse_city"))),
+        "top_k": F.when(k % 7 == 0, (k % 20 + 1).cast("int")).when(k % 50 == 9, 0),
+        "pool_k": F.when(k % 11 == 0, 20),
+        "rl_user_overrode": k % 5 == 0,
+        **weights,
+    })
+
+
+def city_points(spark, sf):
+    """Gazetteer of the cities: the mean position of their places."""
+    return v.places(spark, sf).groupBy(F.col("city").alias("place_text")).agg(
+        F.round(F.avg("latitude"), 4).alias("lat"), F.round(F.avg("longitude"), 4).alias("lon")
+    )
+
+
+@check("rt13_search_form")
+def search_form(spark, sf):
+    rows = plan.search(
+        form_requests(spark, sf), place_index(spark, sf), meta(spark, sf), state(spark, sf), gazetteer=city_points(spark, sf)
+    )
+    return rounded(rows.select("query_id", "business_id", "rank", "final_score", "similarity", "distance_km", "intent", "arm"))
+
+
+@check("rt13_rejected_requests", with_views("query_log", """SELECT query_id, CASE WHEN query_id % 50 IN (7, 8) THEN 'no state'
+ ELSE 'top_k outside 1 to 100' END AS reject_reason FROM query_log WHERE query_id % 50 IN (7, 8) OR (query_id % 50 = 9 AND query_id % 7 <> 0)"""))
+def rejected(spark, sf):
+    return plan.rejected_requests(form_requests(spark, sf))
+
+
 @check("sr11_align_meta", with_views("places", """SELECT business_id, upper(state) AS state_norm, lower(city) AS city_norm,
  lower(categories) AS categories_norm FROM places WHERE is_open = 1"""))
 def align(spark, sf):

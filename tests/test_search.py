@@ -105,11 +105,34 @@ def test_radius_filter_drops_places_without_position(spark):
 def test_search_reranks_only_sessions_with_preferences(spark):
     index, meta = checks_text.place_index(spark, SF), checks_search.meta(spark, SF)
     wish = spark.createDataFrame([(1, "b3", "like")], "session_id long, business_id string, preference string")
-    rows = plan.search(v.query_log(spark, SF), index, meta, None, wish, top_k=5)
+    rows = plan.search(v.query_log(spark, SF).withColumn("top_k", F.lit(5)), index, meta, None, wish)
+    assert rows.agg(F.max("rank")).first()[0] == 5
     seen = {(r["session_id"], r["reranked"]) for r in rows.select("session_id", "reranked").distinct().collect()}
     assert (1, 1) in seen and all(flag == (1 if s == 1 else 0) for s, flag in seen)
 
 
+def test_ranking_by_frames_equals_the_scored_candidates(spark):
+    index, meta = checks_text.place_index(spark, SF), checks_search.meta(spark, SF)
+    log = checks_search.form_requests(spark, SF)
+    requests = plan.plan_requests(log, checks_search.state(spark, SF), checks_search.city_points(spark, SF))
+    sizes = requests.groupBy("sig").agg(F.max("pool_size").alias("size"))
+    asked = requests.select("sig", *retrieval.SIGNATURE).distinct()
+    scored = retrieval.score_candidates(asked, meta, retrieval.cosine_scores(asked, index))
+    want = frames.top_per_group(scored, ["sig"], [F.desc(F.round("final_score", 9)), F.asc("business_id")], 500)
+    want = want.join(sizes, "sig").where("rank <= size")
+    got = plan.rank_pools(requests, index, meta)
+
+    def rows(df, score):
+        cols = [c for c in retrieval.RESULT_COLUMNS if c not in ("final_score", "business_id")]
+        picked = df.select("sig", "rank", *([F.round("final_score", 6)] if score else ["business_id", *cols])).collect()
+        return sorted(map(tuple, picked), key=repr)
+
+    assert rows(got, True) == rows(want, True) and len(rows(got, True)) > 1000
+    assert len(set(rows(got, False)) ^ set(rows(want, False))) <= 0.001 * len(rows(want, False))
+    counts = got.groupBy("sig").count().join(sizes, "sig")
+    assert counts.where("count > size").count() == 0
+
+
 def test_exact_quantiles(spark):
     import numpy as np
 
