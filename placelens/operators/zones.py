@@ -30,14 +30,16 @@ def fit_components(places: DataFrame, max_categories: int = 4096) -> PipelineMod
     return PipelineModel(stages=[vocabulary, *fitted.stages])
 
 
-def cluster_features(places: DataFrame, model: PipelineModel | None = None) -> DataFrame:
-    """The nine clustering columns; missing base columns or prices are an error."""
+def cluster_features(places: DataFrame, model: PipelineModel | None = None, missing_price: int | None = None) -> DataFrame:
+    """The nine clustering columns; missing base columns are an error, and so are missing prices unless
+    ``missing_price`` gives the tier of places without one."""
     missing = [c for c in (*BASE, "attributes", "categories") if c not in places.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
     model = model or fit_components(places)
     price = price_tier(F.col("attributes"))
-    checked = F.when(price.isNull(), F.raise_error(F.concat(F.lit("no price for place "), F.col("business_id")))).otherwise(price)
+    absent = F.raise_error(F.concat(F.lit("no price for place "), F.col("business_id"))) if missing_price is None else F.lit(missing_price)
+    checked = F.when(price.isNull(), absent).otherwise(price)
     scored = model.transform(places.withColumn("cats", F.transform(category_set(F.col("categories")), F.lower)))
     parts = vector_to_array("components")
     return scored.select(

@@ -109,7 +109,7 @@ def survival(spark, sf):
 @check("ml7_ablation_select")
 def ablation(spark, sf):
     train, test = _parts(training_table(spark, sf))
-    _, steps = modeling.ablation_select(train, test, ("Distances", "Counts"), rounds=2)
+    _, steps = modeling.ablation_select(train, test, rounds=ROUNDS)
     return spark.createDataFrame(steps, "family string, auc double, kept boolean")
 
 
@@ -137,7 +137,7 @@ def multi_target_table(spark, sf):
 
 
 MULTI_FEATURES = ["latitude", "longitude", "review_count", "is_open", "attr_price_range", *text_signals.REVIEW_SIGNALS]
-TARGETS = ["stars", "target_food"]
+TARGETS = ["stars", *[f"target_{a}" for a in ASPECTS]]
 
 
 @check("ml9_train_multi_target")
@@ -151,7 +151,7 @@ def multi_target(spark, sf):
 @check("ml10_tiered_regression")
 def tiered(spark, sf):
     table = multi_target_table(spark, sf)
-    rows = modeling.tiered_regression(table.where("split = 'train'"), table.where("split = 'test'"), "stars", MULTI_FEATURES, rounds=3)
+    rows = modeling.tiered_regression(table.where("split = 'train'"), table.where("split = 'test'"), "stars", MULTI_FEATURES, rounds=ROUNDS)
     return rows.select("business_id", "stars", "predicted", "pred_tier", "true_tier")
 
 
@@ -241,26 +241,27 @@ def samples(spark, sf):
 @check("ev8_feature_importance")
 def importance(spark, sf):
     train, test = _parts(training_table(spark, sf))
-    model = modeling.train_stars(train, rounds=3, kinds=["forest"])["forest"]
+    model = modeling.train_stars(train, rounds=ROUNDS, kinds=["forest"])["forest"]
     return modeling.feature_importance(model, test)
 
 
 # --- zones -------------------------------------------------------------------------------------------------
 
 
-def priced(spark, sf):
-    return v.places(spark, sf).where(F.col("attributes").isNotNull())
+def zone_features(spark, sf):
+    """Places without a price form a tier of their own."""
+    return zones.cluster_features(v.places(spark, sf), missing_price=0)
 
 
 @check("cu1_cluster_features")
 def cluster_features(spark, sf):
-    return rounded(zones.cluster_features(priced(spark, sf)), 4)
+    return rounded(zone_features(spark, sf), 4)
 
 
 @check("cu2_kmeans_zones")
 def kmeans(spark, sf):
-    rows = cut(zones.cluster_features(priced(spark, sf)))
-    return zones.kmeans_zones(rows, starts=3).select("business_id", "cluster")
+    rows = cut(zone_features(spark, sf))
+    return zones.kmeans_zones(rows).select("business_id", "cluster")
 
 
 @check("cu2_state_zones")
@@ -270,7 +271,7 @@ def state_zones(spark, sf):
 
 @check("cu3_elbow_curve")
 def elbow(spark, sf):
-    return zones.elbow_curve(cut(zones.cluster_features(priced(spark, sf))), ks=(2, 3, 4))
+    return zones.elbow_curve(cut(zone_features(spark, sf)))
 
 
 _CLUSTERED = "c AS (SELECT *, substr(business_id, 2)::BIGINT % 4 AS cluster FROM places)"
@@ -403,8 +404,8 @@ def score_sites(spark, sf):
     table = training_table(spark, sf)
     train = table.where("split = 'train'")
     names = modeling.feature_families()
-    survival_model = modeling.train_survival(train, names["Base"] + names["Distances"] + names["Counts"], 3, ["boosted_shallow"])["boosted_shallow"]
-    star_model = modeling.train_stars(train, rounds=3, kinds=["boosted"])["boosted"]
+    survival_model = modeling.train_survival(train, names["Base"] + names["Distances"] + names["Counts"], ROUNDS, ["boosted_shallow"])["boosted_shallow"]
+    star_model = modeling.train_stars(train, rounds=ROUNDS, kinds=["boosted"])["boosted"]
     return sites.score_sites(site_table(spark, sf), v.places(spark, sf), survival_model, star_model)
 
 
