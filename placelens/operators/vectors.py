@@ -19,6 +19,8 @@ from placelens.functions.frames import top_per_group
 
 QUERY_BLOCK = 2048
 CORPUS_BLOCK = 8192
+# Pairs whose differences are held at once.
+PAIR_SLICE = 65_536
 
 
 def fit_norms(corpus: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -104,15 +106,25 @@ def radius_neighbors(queries: DataFrame, corpus: DataFrame, radius: float) -> Da
     """All corpus rows within a Euclidean distance of each query; inputs as for ``cosine_top_k``."""
 
     def step(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        points = _matrix(c["vec"])
-        for query_id, vec in zip(q["query_id"], q["vec"]):
-            distance = np.sqrt(((points - np.asarray(vec)) ** 2).sum(axis=1)) if len(c) else np.empty(0)
-            hit = distance <= radius
-            found.append(
-                pd.DataFrame({"query_id": query_id, "vec_id": c["vec_id"][hit], "distance": distance[hit]})
-            )
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
+        if q.empty or c.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
+        asked, points = _matrix(q["vec"]), _matrix(c["vec"])
+        squares = (asked**2).sum(axis=1)[:, None] + (points**2).sum(axis=1)[None, :]
+        # The product form rounds, so it only picks pairs that may lie within; their differences decide.
+        rows, cols = np.nonzero(squares - 2.0 * (asked @ points.T) <= radius**2 + 1e-9 * (squares + 1.0))
+        parts = []
+        for at in range(0, len(rows), PAIR_SLICE):
+            r, k = rows[at : at + PAIR_SLICE], cols[at : at + PAIR_SLICE]
+            parts.append(np.sqrt(((asked[r] - points[k]) ** 2).sum(axis=1)))
+        distance = np.concatenate(parts) if parts else np.empty(0)
+        hit = distance <= radius
+        return pd.DataFrame(
+            {
+                "query_id": q["query_id"].to_numpy()[rows[hit]],
+                "vec_id": c["vec_id"].to_numpy()[cols[hit]],
+                "distance": distance[hit],
+            }
+        )
 
     schema = _pair_schema(queries, corpus, "distance")
     return block_join(_query_side(queries), _corpus_side(corpus), step, schema)

@@ -288,3 +288,16 @@ def norms(spark, sf):
 @check("kn4_approx_neighbors")
 def approx(spark, sf):
     return rounded(vectors.approx_neighbors(v.label_centroids(spark, sf), v.vectors(spark, sf), 0.97))
+
+
+@check("kn4_recall", with_views("centroids", """SELECT count(*) AS pairs, 1 AS recall_reached FROM centroids q, e
+ WHERE list_distance(q.vec, e.v) <= 0.97""", _VEC))
+def approx_recall(spark, sf):
+    """Whether the approximate search finds at least nine tenths of the exact pairs, and none besides them."""
+    exact = radius_vectors(spark, sf).select("query_id", "vec_id", F.lit(1).alias("exact"))
+    found = approx(spark, sf).select("query_id", "vec_id", F.lit(1).alias("found"))
+    both = exact.join(found, ["query_id", "vec_id"], "full_outer")
+    wrong = F.count_if(F.col("exact").isNull())
+    hits = F.count_if(F.col("exact").isNotNull() & F.col("found").isNotNull())
+    reached = (hits >= 0.9 * F.count("exact")) & (wrong == 0)
+    return both.agg(F.count("exact").alias("pairs"), reached.cast("int").alias("recall_reached"))
