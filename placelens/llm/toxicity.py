@@ -1,17 +1,19 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over whole texts through a block-max inverted index.
 
-A bounded sample of labelled texts (``MAX_EXAMPLES`` per label) gives the vocabulary (the terms that go with the
-label beyond chance) and the examples; document frequencies are counted over all documents. Every document looks
-up its nearest examples, blocks of examples in the order of their upper bounds until no block can improve the
-result. Votes are weighted by cosine and calibrated on the examples, each scored without itself.
+A bounded sample of labelled texts (``MAX_EXAMPLES`` per label) gives the examples, which are indexed with all their
+terms; document frequencies are counted over all documents. Terms that go with the label beyond chance weigh
+``STRESS`` times as much. Every document looks up its nearest examples; only blocks of examples whose upper bound
+reaches the result are scored. The norm of a document is taken over all its terms: those that no example has are
+counted and joined as a table. Votes are weighted by cosine and calibrated on the examples, each scored without itself.
 
-Null text counts as empty; a text without vocabulary terms gets the share of toxic ones among such examples.
-Repeated rows are scored alike. Extra columns are not read. Without labels every score is 0. Without documents the
-result is empty.
+Null text counts as empty; a text without neighbours has the share of toxic ones among the examples without stressed
+terms as its vote. Repeated rows are scored alike. Extra columns are not read. Without labels every score is 0.
+Without documents the result is empty.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -25,13 +27,17 @@ from placelens.llm.tables import written
 from placelens.llm.textbytes import Hasher, mix, slices, text_bytes
 
 MAX_EXAMPLES = 4000
-MAX_TERMS = 4096
+STRESS = 3.0
 CHANCE = 0.05
 LEAST_SEEN = 3
 LEAST_RATIO = 4.0
 PREFIXES = (4, 5)
 NEIGHBOURS = 15
 BLOCK = 64
+# Terms of this share of the examples are scored as a matrix, others through their postings.
+COMMON = 0.1
+FIRST_BLOCKS = 4
+BATCH = 128
 THRESHOLD = 0.7
 SMOOTH = 0.05
 
@@ -82,7 +88,9 @@ class Terms:
             at[at == len(self.vocabulary)] = 0
             known = self.vocabulary[at] == hashes if len(self.vocabulary) else np.zeros(len(hashes), bool)
             rows, hashes = rows[known], hashes[known]
-        order = np.lexsort((hashes, rows))
+        order = np.argsort(hashes)
+        small = rows.astype(np.uint16) if not len(rows) or rows.max() < 2**16 else rows
+        order = order[np.argsort(small[order], kind="stable")]
         rows, hashes = rows[order], hashes[order]
         new = np.ones(len(rows), bool)
         new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
@@ -105,102 +113,150 @@ def sample_examples(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict
 
 
 def example_terms(examples: DataFrame) -> DataFrame:
+    """(doc_id, toxic, terms, counts) of each example."""
+
     def run(batches):
         terms = Terms()
         for batch in batches:
             for a, b in slices(text_bytes(batch.column("text"))[1]):
                 here = batch.slice(a, b - a)
                 rows, hashes, counts = terms(here.column("text"))
-                take = pa.array(rows)
+                sizes = np.bincount(rows, minlength=here.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [here.column("doc_id").take(take), here.column("toxic").take(take), pa.array(hashes.astype(np.int64)), pa.array(counts, pa.int64())],
-                    ["doc_id", "toxic", "term", "n"],
+                    [here.column("doc_id"), here.column("toxic"), lists(sizes, pa.array(hashes.astype(np.int64))), lists(sizes, pa.array(counts, pa.int32()))],
+                    ["doc_id", "toxic", "terms", "counts"],
                 )
 
     kind = examples.schema["doc_id"].dataType.simpleString()
-    return examples.mapInArrow(run, f"doc_id {kind}, toxic int, term bigint, n bigint")
+    return examples.mapInArrow(run, f"doc_id {kind}, toxic int, terms array<bigint>, counts array<int>")
+
+
+def lists(sizes, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values)
 
 
-def choose_terms(terms: DataFrame, n_pos: int, n_neg: int) -> np.ndarray:
-    """Terms that go with toxic examples, the strongest ``MAX_TERMS`` at most.
+def stressed_terms(toxic: np.ndarray, clean: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Which terms go with toxic examples, from the number of toxic and of clean examples of each term.
 
     A term has to be ``LEAST_RATIO`` times as frequent in toxic examples, and so far above the other ones that
     among all terms tested a single one would get there by chance with probability ``CHANCE``.
     """
-    a, b = F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)
-    found = written(terms.groupBy("term").agg(a.alias("a"), b.alias("b")), "toxic-terms")
-    least = NormalDist().inv_cdf(1 - CHANCE / max(1, found.count()))
-    share = (F.col("a") + F.col("b")) / F.lit(float(n_pos + n_neg))
-    spread = F.sqrt(share * (1 - share) * F.lit(1 / n_pos + 1 / n_neg))
-    z = F.when(spread > 0, (F.col("a") / n_pos - F.col("b") / n_neg) / spread).otherwise(F.lit(0.0))
-    often = (F.col("a") >= LEAST_SEEN) & (F.col("a") / n_pos >= LEAST_RATIO * F.col("b") / n_neg)
-    strong = found.withColumn("z", z).where((F.col("z") >= least) & often).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
-    return np.sort(np.array([r["term"] for r in strong.collect()], np.int64).astype(np.uint64))
+    if not n_pos or not n_neg:
+        return np.zeros(len(toxic), bool)
+    least = NormalDist().inv_cdf(1 - CHANCE / max(1, len(toxic)))
+    share = (toxic + clean) / (n_pos + n_neg)
+    spread = np.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_neg))
+    gap = toxic / n_pos - clean / n_neg
+    z = np.divide(gap, spread, out=np.zeros(len(toxic)), where=spread > 0)
+    return (z >= least) & (toxic >= LEAST_SEEN) & (toxic / n_pos >= LEAST_RATIO * clean / n_neg)
 
 
 def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
     """Number of documents, and in how many each term occurs, counted over all of them."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        terms = Terms(vocabulary)
+        known = sent.value
+        terms = Terms(known)
+        total = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
-            total = np.zeros(len(vocabulary) + 1, np.int64)
             for a, b in slices(text_bytes(batch.column("text"))[1]):
                 _, hashes, _ = terms(batch.slice(a, b - a).column("text"))
-                total[:-1] += np.bincount(np.searchsorted(vocabulary, hashes), minlength=len(vocabulary))
-            total[-1] = batch.num_rows
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["i", "n"])
+                np.add.at(total, np.searchsorted(known, hashes), 1)
+            total[-1] += batch.num_rows
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["i", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(run, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in counted.collect():
-        out[r["i"]] = r["n"]
+    out[counted["i"].to_numpy()] = counted["n"].to_numpy()
     return int(out[-1]), out[:-1]
 
 
+def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of all ranges end to end."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
 class BlockMaxIndex:
     """Unit vectors of examples in blocks, with the largest weight of each term in each block.
 
-    Examples are ordered by their strongest terms, so a block holds similar ones and its bounds are close.
+    Examples are ordered by their strongest terms, so a block holds similar ones and its bounds are close. Terms of
+    many examples are rows of a matrix; the others have postings, cut into runs by block.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list, n_terms: int):
         order = sorted(range(len(vectors)), key=lambda i: [int(t) for t in vectors[i][0][np.argsort(-vectors[i][1], kind="stable")][:3]])
         self.vectors = [vectors[i] for i in order]
         self.labels, self.ids = labels[order], [ids[i] for i in order]
-        n_blocks = -(-len(order) // BLOCK)
-        self.bounds = np.zeros((n_terms, n_blocks))
-        self.blocks = []
-        for b in range(n_blocks):
-            members = self.vectors[b * BLOCK : (b + 1) * BLOCK]
-            terms = np.unique(np.concatenate([t for t, _ in members]))
-            weights = np.zeros((len(terms), len(members)))
-            for j, (t, w) in enumerate(members):
-                weights[np.searchsorted(terms, t), j] = w
-            self.bounds[terms, b] = weights.max(axis=1)
-            self.blocks.append((terms, weights))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples with a cosine over 0; equal ones by position. Exact."""
-        limits = weights @ self.bounds[terms] if len(terms) else np.empty(0)
-        best_at, best = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-limits, kind="stable"):
-            if limits[b] <= 0 or (len(best) == k and limits[b] < best[-1] - 1e-12):
-                break
-            mine, matrix = self.blocks[b]
-            at = np.searchsorted(mine, terms)
-            at[at == len(mine)] = 0
-            known = mine[at] == terms
-            scores = np.round(weights[known] @ matrix[at[known]], 12)
-            found = np.flatnonzero(scores > 0)
-            places = found + b * BLOCK
-            if skip >= 0:
-                found, places = found[places != skip], places[places != skip]
-            best_at, best = np.concatenate((best_at, places)), np.concatenate((best, scores[found]))
-            order = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[order], best[order]
-        return best_at, best
+        self.n, self.n_blocks = len(order), -(-len(order) // BLOCK)
+        terms = np.concatenate([t for t, _ in self.vectors])
+        weights = np.concatenate([w for _, w in self.vectors])
+        examples = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in self.vectors])
+        common = np.flatnonzero(np.bincount(terms, minlength=n_terms) >= COMMON * self.n)
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), self.n))
+        often = self.row[terms] >= 0
+        self.matrix[self.row[terms[often]], examples[often]] = weights[often]
+        terms, weights, examples = terms[~often], weights[~often], examples[~often]
+        by = np.argsort(terms, kind="stable")
+        terms, self.weights, self.examples = terms[by], weights[by], examples[by]
+        blocks = self.examples // BLOCK
+        new = np.ones(len(terms), bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])
+        self.run_start = np.flatnonzero(new)
+        self.run_length = np.diff(np.append(self.run_start, len(terms))).astype(np.int32)
+        self.run_block = blocks[self.run_start]
+        self.run_most = np.maximum.reduceat(self.weights, self.run_start) if len(terms) else np.empty(0)
+        self.first_run = np.searchsorted(terms[self.run_start], np.arange(n_terms + 1))
+
+    def common_scores(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_rows: int) -> np.ndarray:
+        """The part of the common terms in the products of ``n_rows`` vectors with all examples."""
+        at = self.row[terms]
+        dense = np.zeros((n_rows, len(self.matrix)))
+        dense[rows[at >= 0], at[at >= 0]] = weights[at >= 0]
+        return dense @ self.matrix
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and products of the k nearest examples with a product over 0; equal ones by position. Exact."""
+        if common is None:
+            common = self.common_scores(np.zeros(len(terms), np.int64), terms, weights, 1)[0]
+        scores = common.copy()
+        rare = self.row[terms] < 0
+        starts, n = self.first_run[terms[rare]], self.first_run[terms[rare] + 1] - self.first_run[terms[rare]]
+        runs, factor = spans(starts, n), np.repeat(weights[rare], n)
+        blocks = self.run_block[runs]
+        limits = np.maximum.reduceat(common, np.arange(0, self.n, BLOCK)) + np.bincount(blocks, factor * self.run_most[runs], self.n_blocks)
+
+        def add(chosen: np.ndarray) -> None:
+            mine = chosen[blocks]
+            lengths = self.run_length[runs[mine]]
+            at = spans(self.run_start[runs[mine]], lengths)
+            scores[:] += np.bincount(self.examples[at], self.weights[at] * np.repeat(factor[mine], lengths), self.n)
+
+        def best(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.flatnonzero(np.repeat(chosen, BLOCK)[: self.n])
+            at = at[at != skip]
+            found = np.round(scores[at], 12)
+            if len(at) > k:
+                near = found >= np.partition(found, len(at) - k)[len(at) - k]
+                at, found = at[near], found[near]
+            at, found = at[found > 0], found[found > 0]
+            order = np.lexsort((at, -found))[:k]
+            return at[order], found[order]
+
+        chosen = np.zeros(self.n_blocks, bool)
+        chosen[np.argsort(-limits, kind="stable")[:FIRST_BLOCKS]] = True
+        add(chosen)
+        at, found = best(chosen)
+        least = found[-1] - 1e-9 if len(found) == k else 0.0
+        more = ~chosen & (limits > 0) & (limits >= least)
+        if not more.any():
+            return at, found
+        add(more)
+        return best(chosen | more)
 
 
 def rising_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,89 +272,164 @@ def rising_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return np.array([s[0] for s in stack]), np.array([s[1] / s[2] for s in stack])
 
 
+class Lookup:
+    """The terms of the examples as counts, which are a few MB; every worker lays out the index once."""
+
+    def __init__(self, vocabulary: np.ndarray, factors: np.ndarray, sizes: np.ndarray, at: np.ndarray, counts: np.ndarray):
+        self.vocabulary, self.factors, self.sizes, self.at, self.counts = vocabulary, factors, sizes, at, counts
+        self.laid = None
+
+    @property
+    def index(self) -> BlockMaxIndex:
+        if self.laid is None:
+            weights, ends = self.weigh(self.at, self.counts), np.cumsum(self.sizes)
+            vectors = [(self.at[a:b], weights[a:b] / np.sqrt((weights[a:b] ** 2).sum())) for a, b in zip(ends - self.sizes, ends)]
+            n = len(self.sizes)
+            self.laid = BlockMaxIndex(vectors, np.zeros(n, np.int64), list(range(n)), len(self.vocabulary))
+            self.order = np.array(self.laid.ids)
+        return self.laid
+
+    def weigh(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return (1 + np.log(counts, dtype=np.float64)) * self.factors[at]
+
+    def nearest(self, rows: np.ndarray, at: np.ndarray, weights: np.ndarray, n_rows: int, skip: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The nearest examples of each row and their products with its vector, whose length is not divided out."""
+        index = self.index
+        ends = np.searchsorted(rows, np.arange(n_rows + 1))
+        for a in range(0, n_rows, BATCH):
+            b = min(a + BATCH, n_rows)
+            here = slice(ends[a], ends[b])
+            common = index.common_scores(rows[here] - a, at[here], weights[here], b - a)
+            for r in range(a, b):
+                mine = slice(ends[r], ends[r + 1])
+                places, products = index.nearest(at[mine], weights[mine], NEIGHBOURS, -1 if skip is None else skip[r], common[r - a])
+                yield self.order[places], products
+
+
 class Scorer:
-    """Calibrated scores of texts; built once on the bounded sample and sent to the tasks."""
+    """Calibrated scores of texts, and the look-up of their nearest examples as a broadcast."""
 
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, examples: dict, counts: dict[int, int], empty: dict[int, int]):
-        self.vocabulary, self.idf = vocabulary, idf
-        n = {c: max(1, sum(1 for e in examples.values() if e["toxic"] == c) + empty[c]) for c in (0, 1)}
+    def __init__(self, examples: dict, plain: dict[int, int], counts: dict[int, int], n_docs: int):
+        self.ids = sorted(examples)
+        self.labels = np.array([examples[i] for i in self.ids], np.int64)
+        n = {c: max(1, int((self.labels == c).sum())) for c in (0, 1)}
         self.weight = np.array([counts.get(c, 0) / n[c] for c in (0, 1)])
-        mass = [self.weight[c] * empty[c] for c in (0, 1)]
+        mass = [self.weight[c] * plain[c] for c in (0, 1)]
         self.base = (mass[1] + 0.5) / (sum(mass) + 1) if sum(counts.values()) else 0.0
-        ids = sorted(examples)
-        vectors = [self.vector(np.array(sorted(examples[i]["terms"])), np.array([examples[i]["terms"][t] for t in sorted(examples[i]["terms"])])) for i in ids]
-        labels = np.array([examples[i]["toxic"] for i in ids], np.int64)
-        self.index = BlockMaxIndex(vectors, labels, ids, len(vocabulary)) if ids else None
-        self.starts = np.array([0.0])
-        self.values = np.array([self.base])
-        if ids:
-            own = np.array([self.votes(*self.index.vectors[i], skip=i)[0] for i in range(len(ids))])
-            self.starts, self.values = rising_fit(own, self.index.labels, self.weight[self.index.labels])
-
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(counts)) * self.idf[terms]
-        return terms, w / np.sqrt((w * w).sum())
-
-    def votes(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        at, cosine = self.index.nearest(terms, weights, NEIGHBOURS, skip)
-        y = self.index.labels[at]
+        self.starts, self.values = np.array([0.0]), np.array([self.base])
+        self.n_docs, self.sent = n_docs, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"sent": None}
+
+    def calibrate(self, spark, lookup: Lookup) -> None:
+        """Each example scored without itself."""
+        self.sent = sent = spark.sparkContext.broadcast(lookup)
+
+        def run(batches):
+            tool = sent.value
+            for batch in batches:
+                places = batch.column("id").to_numpy()
+                vectors = [tool.index.vectors[i] for i in places]
+                at, weights = (np.concatenate(x) for x in zip(*vectors))
+                found = list(tool.nearest(np.repeat(np.arange(len(places)), [len(t) for t, _ in vectors]), at, weights, len(places), places))
+                yield pa.RecordBatch.from_arrays([pa.array(tool.order[places]), pa.array([self.votes(*f) for f in found], pa.float64())], ["i", "vote"])
+
+        own = spark.range(len(self.ids)).mapInArrow(run, "i bigint, vote double").toArrow().sort_by("i")["vote"].to_numpy()
+        self.starts, self.values = rising_fit(own, self.labels, self.weight[self.labels])
+
+    def votes(self, at: np.ndarray, cosine: np.ndarray) -> float:
+        y = self.labels[at]
         w = cosine * self.weight[y]
         smooth = SMOOTH * self.weight.max()
-        return float(((w * y).sum() + smooth * self.base) / (w.sum() + smooth)), at, cosine
+        return float(((w * y).sum() + smooth * self.base) / (w.sum() + smooth))
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[dict]]:
-        if self.index is None or not len(terms):
-            return float(self.base), []
-        raw, at, cosine = self.votes(*self.vector(terms, counts))
+    def score(self, at: np.ndarray, cosine: np.ndarray) -> tuple[float, list[dict]]:
+        raw = self.votes(at, cosine)
         fit = self.values[max(0, int(np.searchsorted(self.starts, raw, "right")) - 1)]
         # A trace of the raw vote keeps the order of texts that share a calibrated value.
         total = 0.98 * fit + 0.02 * raw
-        return float(total), [{"example": self.index.ids[a], "cosine": float(c), "toxic": int(self.index.labels[a])} for a, c in zip(at[:3], cosine[:3])]
+        return float(total), [{"example": self.ids[a], "cosine": float(c), "toxic": int(self.labels[a])} for a, c in zip(at[:3], cosine[:3])]
 
 
 def fit_scorer(docs: DataFrame, labels: DataFrame) -> Scorer:
-    examples, counts = sample_examples(docs, labels)
-    terms = written(example_terms(examples), "toxic-examples")
-    seen = {c: 0 for c in (0, 1)}
-    for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect():
-        seen[r["toxic"]] = r["n"]
-    vocabulary = choose_terms(terms, seen[1], seen[0]) if seen[0] and seen[1] else np.empty(0, np.uint64)
+    sample, counts = sample_examples(docs, labels)
+    # The terms of at most 2 x MAX_EXAMPLES texts.
+    found = example_terms(sample).toArrow().sort_by("doc_id").combine_chunks()
+    examples = dict(zip(found["doc_id"].to_pylist(), found["toxic"].to_pylist()))
+    sizes = pc.list_value_length(found["terms"]).to_numpy().astype(np.int64)
+    hashes = pc.list_flatten(found["terms"]).to_numpy().view(np.uint64)
+    seen = pc.list_flatten(found["counts"]).to_numpy()
+    seen = seen.astype(np.min_scalar_type(int(seen.max(initial=1))))
+    del found
+    vocabulary = np.unique(hashes)
+    at = np.searchsorted(vocabulary, hashes).astype(np.int32)
+    del hashes
+    toxic = np.array(list(examples.values()), bool)
+    of_toxic = np.repeat(toxic, sizes)
+    stressed = stressed_terms(*(np.bincount(at[kind], minlength=len(vocabulary)) for kind in (of_toxic, ~of_toxic)), int(toxic.sum()), int((~toxic).sum()))
+    marked = np.zeros(len(sizes), bool)
+    marked[np.repeat(np.arange(len(sizes)), sizes)[stressed[at]]] = True
     n_docs, df = document_frequencies(docs, vocabulary)
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
-    wanted = docs.sparkSession.createDataFrame([(int(t), i) for i, t in enumerate(vocabulary.astype(np.int64))], "term bigint, i int")
-    found: dict = {}
-    # At most 2 x MAX_EXAMPLES examples with terms of the bounded vocabulary.
-    for r in terms.join(F.broadcast(wanted), "term").collect():
-        one = found.setdefault(r["doc_id"], {"toxic": r["toxic"], "terms": {}})
-        one["terms"][r["i"]] = r["n"]
-    empty = {c: seen[c] - sum(1 for e in found.values() if e["toxic"] == c) for c in (0, 1)}
-    return Scorer(vocabulary, idf, found, counts, empty)
+    factors = (np.log((1 + n_docs) / (1 + df)) + 1) * np.where(stressed, STRESS, 1.0)
+    scorer = Scorer(examples, {c: int((~marked & (toxic == c)).sum()) for c in (0, 1)}, counts, n_docs)
+    if len(at):
+        scorer.calibrate(docs.sparkSession, Lookup(vocabulary, factors, sizes, at, seen))
+    return scorer
 
 
-def score_toxicity(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """(doc_id, score, evidence) of every row; evidence lists the three nearest examples."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(scorer)
-    kind = docs.schema["doc_id"].dataType
+def nearest_examples(docs: DataFrame, sent) -> DataFrame:
+    """(row, doc_id, places, products, squares, others, counts): nearest examples, sum of squares of the known terms, and the terms no example has."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         tool = sent.value
-        terms = Terms(tool.vocabulary)
-        nobody = tool.score(np.empty(0, np.int64), np.empty(0))[0]
+        tool.index.vectors = []
+        terms = Terms()
         for batch in batches:
             for a, b in slices(text_bytes(batch.column("text"))[1]):
                 here = batch.slice(a, b - a)
+                n = here.num_rows
                 rows, hashes, counts = terms(here.column("text"))
-                at = np.searchsorted(tool.vocabulary, hashes)
-                scores, evidence = np.full(here.num_rows, nobody), [[] for _ in range(here.num_rows)]
-                first = np.flatnonzero(np.diff(rows, prepend=-1)) if len(rows) else []
-                for s, e in zip(first, [*first[1:], len(rows)]):
-                    scores[rows[s]], evidence[rows[s]] = tool.score(at[s:e], counts[s:e])
-                yield pa.RecordBatch.from_arrays([here.column("doc_id"), pa.array(scores), pa.array(evidence, shown)], ["doc_id", "score", "evidence"])
-
-    shown = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-    schema = f"doc_id {kind.simpleString()}, score double, evidence array<struct<example: bigint, cosine: double, toxic: int>>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+                at = np.minimum(np.searchsorted(tool.vocabulary, hashes), len(tool.vocabulary) - 1)
+                known = tool.vocabulary[at] == hashes
+                weights = tool.weigh(at[known], counts[known])
+                near = list(tool.nearest(rows[known], at[known], weights, n))
+                sizes, rest = [len(x) for x, _ in near], np.bincount(rows[~known], minlength=n)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        here.column("row"), here.column("doc_id"),
+                        lists(sizes, pa.array(np.concatenate([x for x, _ in near]), pa.int32())), lists(sizes, pa.array(np.concatenate([x for _, x in near]), pa.float64())),
+                        pa.array(np.bincount(rows[known], weights**2, n).astype(float)), lists(rest, pa.array(hashes[~known].astype(np.int64))), lists(rest, pa.array(counts[~known], pa.int32())),
+                    ],
+                    ["row", "doc_id", "places", "products", "squares", "others", "counts"],
+                )
+
+    numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    return numbered.mapInArrow(run, f"row bigint, doc_id {kind}, places array<int>, products array<double>, squares double, others array<bigint>, counts array<int>")
+
+
+def score_toxicity(docs: DataFrame, scorer: Scorer) -> DataFrame:
+    """(doc_id, score, evidence) of every row; evidence lists the three nearest examples."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shown = "array<struct<example: bigint, cosine: double, toxic: int>>"
+    if scorer.sent is None:
+        return docs.select("doc_id", F.lit(float(scorer.base)).alias("score"), F.array().cast(shown).alias("evidence"))
+    near = written(nearest_examples(docs, scorer.sent), "toxic-nearest")
+    # Terms outside the index move no product, but they lengthen the document.
+    pairs = near.select("row", F.inline(F.arrays_zip("others", "counts"))).toDF("row", "term", "n")
+    idf = pairs.groupBy("term").agg((F.log((1.0 + scorer.n_docs) / (1.0 + F.count("*"))) + 1).alias("idf"))
+    rest = pairs.join(idf, "term").groupBy("row").agg(F.sum(F.pow((1 + F.log("n")) * F.col("idf"), F.lit(2.0))).alias("rest"))
+    whole = near.join(rest, "row", "left").select("doc_id", "places", "products", F.sqrt(F.col("squares") + F.coalesce("rest", F.lit(0.0))).alias("norm"))
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(batch.column("places").to_pylist(), batch.column("products").to_pylist(), batch.column("norm").to_pylist())
+            done = [scorer.score(np.array(at, np.int64), np.round(np.array(products) / norm if at else np.empty(0), 12)) for at, products, norm in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in done], pa.float64()), pa.array([x for _, x in done], listed)], ["doc_id", "score", "evidence"])
+
+    listed = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+    return whole.mapInArrow(run, f"doc_id {kind}, score double, evidence {shown}")
 
 
 @query("op9_toxicity_neighbours")

@@ -1,9 +1,11 @@
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from placelens.llm.queries import QUERIES
-from placelens.llm.toxicity import NEIGHBOURS, BlockMaxIndex, fit_scorer, rising_fit, score_toxicity
+from placelens.llm.toxicity import NEIGHBOURS, BlockMaxIndex, Terms, fit_scorer, rising_fit, score_toxicity
 from tests.llm.rows import ODD, documents, table
 
 
@@ -56,3 +58,30 @@ def test_odd_rows_and_missing_labels(spark):
 def test_rising_fit():
     x, y = rising_fit(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert x.tolist() == [1, 2, 4] and y.tolist() == [0, 0.5, 1]
+
+
+def test_cosine_is_over_whole_texts(spark):
+    """Evidence has the cosines over all terms of the texts, also of texts without any stressed term."""
+    rows = [(i, f"filler{i % 7} story{i % 11} of plain words number{i}" + (" idiot scum" if i % 2 else ""), "en", "a") for i in range(80)]
+    rows += [(500, "unmarked yet labelled toxic", "en", "a"), (501, "unmarked yet labelled toxic", "en", "a"), (502, "idiot " + " ".join(f"rare{i}" for i in range(200)), "en", "a")]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(80)] + [(500, 1, 1)], "doc_id bigint, quality int, toxic int")
+    assert zlib.crc32(b"500") % 3 != 1
+    scorer = fit_scorer(docs, labels)
+    got = {r["doc_id"]: r["evidence"] for r in score_toxicity(docs, scorer).collect()}
+    terms = Terms()
+    bags = {}
+    for i, text, *_ in rows:
+        _, hashes, counts = terms(pa.array([text]))
+        bags[i] = dict(zip(hashes.tolist(), counts.tolist()))
+    df = Counter(t for bag in bags.values() for t in bag)
+    factor = dict(zip((lookup := scorer.sent.value).vocabulary.tolist(), lookup.factors.tolist()))
+    plain = {t: np.log((1 + len(rows)) / (1 + n)) + 1 for t, n in df.items()}
+    weigh = lambda bag: {t: (1 + np.log(n)) * factor.get(t, plain[t]) for t, n in bag.items()}
+    norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    for i in bags:
+        v = weigh(bags[i])
+        cosine = {j: sum(x * w.get(t, 0) for t, x in v.items()) / norm(v) / norm(w) for j in bags if (w := weigh(bags[j])) and (j < 80 or j == 500) and zlib.crc32(str(j).encode()) % 3 != 1}
+        assert np.allclose([e["cosine"] for e in got[i]], sorted((c for c in cosine.values() if c > 0), reverse=True)[:3], atol=1e-9)
+    assert got[501][0]["example"] == 500 and got[501][0]["cosine"] > 1 - 1e-9
+    assert got[502][0]["cosine"] < 0.2
