@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 EARTH_RADIUS_KM = 6371.0
 
+# The size of a CountVectorizer that keeps every term; it counts the distinct terms and takes the smaller number.
+WHOLE_VOCABULARY = 2**31 - 1
+
 
 def safe_double(c: Column) -> Column:
     """Numeric value or NULL; text that is no number and NaN both become NULL."""

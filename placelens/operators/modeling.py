@@ -14,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelens.functions.columns import bigrams, split_categories, stable_bucket
+from placelens.functions.columns import WHOLE_VOCABULARY, bigrams, split_categories, stable_bucket
 from placelens.functions.frames import exact_quantiles
 from placelens.operators.spatial import RADII
 
@@ -79,9 +79,9 @@ def standardize(df: DataFrame, scaling: Scaling) -> DataFrame:
     )
 
 
-def category_text_stages(max_terms: int = 120, min_df: int = 2, dims: int = 24) -> tuple[list, str]:
+def category_text_stages(min_df: int = 2, dims: int = 24) -> tuple[list, str]:
     """TF-IDF of category words and word pairs reduced to a dense vector; input column category_terms."""
-    counts = CountVectorizer(inputCol="category_terms", outputCol="category_tf", vocabSize=max_terms, minDF=min_df)
+    counts = CountVectorizer(inputCol="category_terms", outputCol="category_tf", vocabSize=WHOLE_VOCABULARY, minDF=min_df)
     idf = IDF(inputCol="category_tf", outputCol="category_tfidf")
     pca = PCA(k=dims, inputCol="category_tfidf", outputCol="category_vec")
     return [counts, idf, pca], "category_vec"
@@ -95,7 +95,7 @@ def with_category_terms(df: DataFrame) -> DataFrame:
 
 def category_text_vectors(train: DataFrame, others: Sequence[DataFrame] = (), dims: int = 24) -> list[DataFrame]:
     """Fit on the training rows and apply to them and to the other tables."""
-    counts = CountVectorizer(inputCol="category_terms", outputCol="category_tf", vocabSize=120, minDF=2)
+    counts = CountVectorizer(inputCol="category_terms", outputCol="category_tf", vocabSize=WHOLE_VOCABULARY, minDF=2)
     prepared = with_category_terms(train)
     vocabulary = len(counts.fit(prepared).vocabulary)
     stages, _ = category_text_stages(dims=min(dims, vocabulary))
@@ -136,7 +136,7 @@ def assemble_stages(features: Sequence[str], categories: bool = True, state: boo
     """Vector of numeric columns and, as asked, the category one-hot, state one-hot and category text parts."""
     stages, inputs = [], list(features)
     if categories:
-        stages.append(CountVectorizer(inputCol="cats", outputCol="cats_vec", binary=True, vocabSize=4096))
+        stages.append(CountVectorizer(inputCol="cats", outputCol="cats_vec", binary=True, vocabSize=WHOLE_VOCABULARY))
         inputs.append("cats_vec")
     if state:
         stages.append(StringIndexer(inputCol="state", outputCol="state_ix", handleInvalid="keep", stringOrderType="alphabetAsc"))
@@ -286,7 +286,10 @@ def star_tier(stars):
 def tiered_regression(
     train: DataFrame, test: DataFrame, target: str, features: Sequence[str], weight: str = "weight", rounds: int = 20
 ) -> DataFrame:
-    """Classify the star tier, then predict with the tier's own model; small tiers use the model of all rows."""
+    """Classify the star tier, then predict with the tier's own model; tiers under ``MIN_TIER_ROWS`` use that of all rows.
+
+    ``tier_rows`` is the number of training rows of the predicted tier, ``model_used`` is "tier" or "all".
+    """
     prep = Pipeline(stages=assemble_stages(features)).fit(train)
     ready = prep.transform(train).withColumn("tier", star_tier(F.col("stars")))
     classifier = RandomForestClassifier(
@@ -304,7 +307,9 @@ def tiered_regression(
     for tier in (0.0, 1.0, 2.0):
         enough = counts.get(tier, 0) >= MIN_TIER_ROWS
         model = regressor().fit(ready.where(F.col("tier") == tier)) if enough else fallback
-        part = model.transform(scored.where(F.col("pred_tier") == tier))
+        part = model.transform(scored.where(F.col("pred_tier") == tier)).withColumns(
+            {"tier_rows": F.lit(counts.get(tier, 0)).cast("bigint"), "model_used": F.lit("tier" if enough else "all")}
+        )
         out = part if out is None else out.unionByName(part)
     return out.withColumn("true_tier", star_tier(F.col("stars")))
 

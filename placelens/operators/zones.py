@@ -11,17 +11,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelens.functions.columns import category_set, price_tier, safe_double
+from placelens.functions.columns import WHOLE_VOCABULARY, category_set, price_tier, safe_double
 
 COMPONENTS = ["pc1_score", "pc2_score", "pc3_score", "pc4_score"]
 BASE = ["latitude", "longitude", "stars", "review_count"]
 ZONE_FEATURES = [*BASE, "price_range", *COMPONENTS]
 
 
-def fit_components(places: DataFrame, max_categories: int = 4096) -> PipelineModel:
+def fit_components(places: DataFrame) -> PipelineModel:
     """Principal components of the category one-hot matrix around its mean, at most four."""
     cats = places.select(F.transform(category_set(F.col("categories")), F.lower).alias("cats"))
-    counts = CountVectorizer(inputCol="cats", outputCol="onehot", binary=True, vocabSize=max_categories)
+    counts = CountVectorizer(inputCol="cats", outputCol="onehot", binary=True, vocabSize=WHOLE_VOCABULARY)
     vocabulary = counts.fit(cats)
     k = min(len(COMPONENTS), len(vocabulary.vocabulary))
     center = StandardScaler(inputCol="onehot", outputCol="centered", withMean=True, withStd=False)

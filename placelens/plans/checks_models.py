@@ -152,7 +152,7 @@ def multi_target(spark, sf):
 def tiered(spark, sf):
     table = multi_target_table(spark, sf)
     rows = modeling.tiered_regression(table.where("split = 'train'"), table.where("split = 'test'"), "stars", MULTI_FEATURES, rounds=ROUNDS)
-    return rows.select("business_id", "stars", "predicted", "pred_tier", "true_tier")
+    return rows.select("business_id", "stars", "predicted", "pred_tier", "true_tier", "tier_rows", "model_used")
 
 
 # --- evaluation --------------------------------------------------------------------------------------------
