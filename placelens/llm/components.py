@@ -39,21 +39,45 @@ class Forest:
         return both[:, 0], both[:, 1]
 
 
+def one_edge_each(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same components as (member, root), the root the smallest node: one edge of every node but the roots."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    up = np.arange(len(nodes))
+    while len(x):
+        low = np.minimum(up[x], up[y])
+        np.minimum.at(up, up[x], low)
+        np.minimum.at(up, up[y], low)
+        while ((further := up[up]) != up).any():
+            up = further
+        apart = up[x] != up[y]
+        x, y = x[apart], y[apart]
+    members = np.flatnonzero(up != np.arange(len(nodes)))
+    return nodes[members], nodes[up[members]]
+
+
 def _thin(edges: DataFrame) -> DataFrame:
     """The same components with at most one edge per node of a task.
 
-    The edges of a node meet in one task first, else each task that has some would keep one.
+    The edges of a node meet in one task, which leaves it one. Nodes that were roots of several of its neighbours may
+    get one from each such task, so the rows go through twice.
     """
 
     def run(batches):
-        forest = Forest()
+        a, b, waiting = np.empty(0, np.int64), np.empty(0, np.int64), []
         for batch in batches:
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                forest.join(a, b)
-        a, b = forest.edges()
+            waiting.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+            # Work on as many new edges as are kept, so that each is looked at a few times only.
+            if sum(len(x) for x, _ in waiting) > max(len(a), 1 << 18):
+                a, b = one_edge_each(*(np.concatenate([kept, *new]) for kept, new in zip((a, b), zip(*waiting))))
+                waiting = []
+        a, b = one_edge_each(*(np.concatenate([kept, *new]) for kept, new in zip((a, b), zip(*waiting) if waiting else ((), ()))))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return edges.select("a", "b").repartition("a").mapInArrow(run, "a bigint, b bigint")
+    rows = edges.select("a", "b")
+    for _ in range(2):
+        rows = rows.repartition("a").mapInArrow(run, "a bigint, b bigint")
+    return rows
 
 
 def components(edges: DataFrame) -> DataFrame:

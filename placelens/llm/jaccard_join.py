@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from placelens.llm.components import Forest, components
+from placelens.llm.components import Forest, components, one_edge_each
 from placelens.llm.packed import bucket_count, pack, runs, text_size, unpack
 from placelens.llm.registry import fresh, query, table
 from placelens.llm.tables import written
@@ -198,7 +198,8 @@ def regions_and_sizes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     A task links the holders of a key among its own rows and sends on one of them, so a key that a third of all
     rows hold is one entry per task at the exchange.
     """
-    n_buckets = bucket_count(text_size(docs), BUCKET_BYTES)
+    size = text_size(docs)
+    n_buckets = bucket_count(size, BUCKET_BYTES)
     everywhere = common_shingles(docs, width)
     columns = {"keys": np.uint64, "ids": None, "src": None, "dst": None, "info": None}
 
@@ -225,12 +226,13 @@ def regions_and_sizes(docs: DataFrame, width: int, percent: int) -> DataFrame:
             yield _row_set(pack((mix(members.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64), {"src": members, "dst": centres}, ["src", "dst"]), columns)
             yield _row_set(pack(spread, {"info": info}), columns)
 
-    n_members = bucket_count(text_size(docs), MEMBER_BYTES)
+    n_members = bucket_count(size, MEMBER_BYTES)
     packed = "bucket int, src binary, dst binary, info binary"
 
     def reduce_bucket(group: pa.Table) -> pa.Table:
         _, members, centres = _stars(long_keys(unpack(group, "keys", np.uint8)), unpack(group, "ids"))
-        a, b = np.append(members, unpack(group, "src")), np.append(centres, unpack(group, "dst"))
+        # Every key has its own centre; one edge per member keeps what they connect.
+        a, b = one_edge_each(np.append(members, unpack(group, "src")), np.append(centres, unpack(group, "dst")))
         info = unpack(group, "info", np.int64).reshape(-1, 5)
         by_member = (mix(a.astype(np.uint64)) % np.uint64(n_members)).astype(np.int64)
         by_row = (mix(info[:, 0].astype(np.uint64)) % np.uint64(n_members)).astype(np.int64)
@@ -239,7 +241,7 @@ def regions_and_sizes(docs: DataFrame, width: int, percent: int) -> DataFrame:
         return pa.Table.from_batches([_row_set(p, names) for p in parts])
 
     def settle(group: pa.Table) -> pa.Table:
-        pairs = np.unique(np.stack([unpack(group, "src"), unpack(group, "dst")]), axis=1)
+        pairs = np.stack(one_edge_each(unpack(group, "src"), unpack(group, "dst")))
         info = unpack(group, "info", np.int64).reshape(-1, 5)
         n_e, n_i = pairs.shape[1], len(info)
         none = lambda n: pa.nulls(n, pa.int64())
@@ -250,7 +252,7 @@ def regions_and_sizes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     sent = docs.select("doc_id", "text").mapInArrow(find, "bucket int, keys binary, ids binary, src binary, dst binary, info binary")
     regions = sent.groupBy("bucket").applyInArrow(reduce_bucket, packed)
-    # The same two sets meet in many buckets; each pair is one edge once the buckets' edges are sorted by member.
+    # A set meets others in many buckets; it has one edge once the buckets' edges are sorted by member.
     whole = regions.groupBy("bucket").applyInArrow(settle, "kind int, a bigint, b bigint, n bigint, d1 bigint, d2 bigint")
     return written(whole, "jaccard-regions")
 
@@ -276,17 +278,22 @@ def against_pivot(members: DataFrame, width: int, percent: int) -> DataFrame:
         hasher = Hasher()
         out = {"fam": [], "node": [], "n": [], "pivot": [], "linked": [], "distance": [], "delta": []}
         group = group.select(["fam", "node", "pivot", "text"]).combine_chunks()
-        sets: dict[tuple[int, int], np.ndarray] = {}
+        sets, centres = [], {}
+        pivots = dict(zip(group.column("fam").to_pylist(), group.column("pivot").to_pylist()))
         for batch in group.to_batches():
             fam, node = batch.column("fam").to_pylist(), batch.column("node").to_pylist()
             for i, own in shingle_sets(batch, hasher, width):
-                sets[fam[i], node[i]] = own
-        pivots = dict(zip(group.column("fam").to_pylist(), group.column("pivot").to_pylist()))
-        for (f, x), own in sets.items():
-            if x == pivots[f]:
-                continue
-            centre = sets[f, pivots[f]]
+                sets.append((fam[i], node[i], own))
+                if node[i] == pivots[fam[i]]:
+                    # Of several sets under the id of the pivot every chunk takes the same one.
+                    mark = own.tobytes()
+                    if fam[i] not in centres or mark < centres[fam[i]]:
+                        centres[fam[i]] = mark
+        for f, x, own in sets:
+            centre = np.frombuffer(centres[f], np.uint64)
             delta = np.setxor1d(own, centre, assume_unique=True)
+            if x == pivots[f] and not len(delta):
+                continue
             both = len(own) + len(centre)
             common = (both - len(delta)) // 2
             union = both - common
@@ -391,7 +398,8 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     equal = sets.join(reps.where("copies > 1"), ["d1", "d2", "n"]).where("a <> rep").select("a", F.col("rep").alias("b"))
     equal = written(equal, "jaccard-equal")
     regions = components(found.where("kind = 0").select("a", "b").unionByName(equal))
-    nodes = reps.select(F.col("rep").alias("node")).join(regions, "node").withColumnRenamed("root", "fam")
+    # An id with unlike texts is one node with several sets.
+    nodes = reps.select(F.col("rep").alias("node")).distinct().join(regions, "node").withColumnRenamed("root", "fam")
     sized = nodes.groupBy("fam").agg(F.count("*").alias("m"), F.min("node").alias("pivot")).where("m > 1")
     nodes = nodes.join(sized.withColumn("chunks", F.ceil(F.col("m") / FAMILY_CHUNK).cast("bigint")), "fam")
     nodes = nodes.withColumn("task", F.pmod(F.xxhash64("fam"), F.lit(_tasks(docs))))
@@ -404,17 +412,22 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
 
 
 def keep_first(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row of each component, that with the smallest id; rows without an id stay. Own columns only.
+    """One row of each group of linked rows, the one with the smallest id, then text hash. Own columns only.
 
-    Of rows that repeat the id, one stays: the first by text.
+    Rows are told apart by id and text, so rows that only share an id do not stand for each other; nor do rows
+    without an id, which come last in their group. Of rows equal in both one stays.
     """
-    found = jaccard_components(docs, width, percent)
-    mark, key = fresh(docs, "_first"), fresh(docs, "_id")
-    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    nth = F.row_number().over(W.partitionBy(F.col("`doc_id`")).orderBy(F.xxhash64(F.col("`text`"))))
-    kept = docs.where(F.col("`doc_id`").isNotNull()).join(firsts, F.col("`doc_id`") == F.col(key), "left_semi")
-    kept = kept.withColumn(mark, nth).where(F.col(mark) == 1).drop(mark)
-    return kept.unionByName(docs.where(F.col("`doc_id`").isNull()))
+    key, first = fresh(docs, "_id"), fresh(docs, "_first")
+    # Row numbers are written once, so every later read finds the same.
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "jaccard-rows")
+    found = jaccard_components(rows.select(F.col(key).alias("doc_id"), F.col("`text`").alias("text")), width, percent)
+    order = rows.select(F.col(key).alias("doc_id"), F.col("`doc_id`").alias("id"), F.xxhash64(F.col("`text`")).alias("h"))
+    # Rows without words are linked with nothing, also not with rows equal to them: those go by id and text.
+    alone = F.when(F.col("n_shingles") == 0, F.struct("id", "h"))
+    groups = order.join(found, "doc_id").groupBy(F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component_id"), alone.alias("alone"))
+    firsts = groups.agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h", "doc_id")).alias(first))
+    kept = rows.join(firsts.select(F.col(f"{first}.doc_id").alias(key)), key, "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @query("op10_jaccard_regions")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from placelens.llm import jaccard_join
-from placelens.llm.components import components
+from placelens.llm.components import _thin, components
 from placelens.llm.jaccard_join import Common, SizeBands, jaccard_components, keep_first, region_keys
 from placelens.llm.queries import QUERIES
 from tests.llm.rows import ODD, SF, brute_components, documents, shingles, table
@@ -68,6 +68,17 @@ def test_kept_rows_of_odd_input(spark):
     assert sorted(r["doc_id"] or 0 for r in kept) == [0, 1, 2, 3, 4, 5, 7, 8, 10]
 
 
+def test_unlike_texts_of_one_id(spark):
+    """Links of each text of an id count, and no text stands for another because it has the same id."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a, "en", "s"), (2, b, "en", "s"), (5, a + " more", "en", "s"), (5, b + " more", "en", "s")]
+    check(jaccard_components(documents(spark, rows), 3, 90), [(r[0], r[1]) for r in rows], 3, 90)
+    assert sorted((r["doc_id"], r["text"][0]) for r in keep_first(documents(spark, rows), 3, 90).collect()) == [(1, "a"), (2, "b")]
+    unlike = [(7, a, "en", "s"), (7, b, "en", "s"), (None, a, "en", "s"), (None, b + " more", "en", "s"), (None, "c " * 9, "en", "s"), (7, a, "en", "s")]
+    kept = keep_first(documents(spark, unlike), 3, 90).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][0]) for r in kept) == [(0, "c"), (7, "a"), (7, "b")]
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(1)
     for percent in (80, 90):
@@ -88,6 +99,19 @@ def test_linked_sets_share_a_key():
                     assert set(region_keys(x, rare(x), bands)) & set(region_keys(y, rare(y), bands))
 
 
+def test_edges_per_node_do_not_grow_with_partitions(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LEAST_COMMON", 20)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        docs = documents(spark, cloud(3, 900, 8)).repartition(9)
+        edges = jaccard_join.regions_and_sizes(docs, 5, 80).where("kind = 0").select("a", "b")
+        thin = _thin(edges)
+        nodes = edges.select("a").union(edges.select("b")).distinct().count()
+        assert nodes > 800 and edges.count() < 2 * nodes and thin.count() < 1.2 * nodes
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(9)).collect()}
