@@ -200,6 +200,29 @@ def cosine_scores(
     )
 
 
+def cosine_in_states(
+    asked: DataFrame, index: TextIndex, meta: DataFrame, stopwords: Sequence[str] = tuple(INDEX_STOPWORDS), ngrams: int = 2
+) -> DataFrame:
+    """``cosine_scores`` of each distinct (query_text, state) with the places of that state only.
+
+    Every document takes the state of its place along, so the join is on state and term: a text asked in one state
+    meets none of the postings of the others, and a term that is frequent everywhere is one key per state.
+    """
+    weights = query_weights(asked, index.vocabulary, stopwords, ngrams)
+    q_norms = weights.groupBy("query_text").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("q_norm"))
+    where = asked.select("query_text", F.upper(F.trim("state")).alias("state_norm")).distinct()
+    known = meta.select(F.col("business_id").alias("doc_id"), "state_norm").where(F.col("state_norm").isNotNull())
+    # Only terms that are asked for travel with a state.
+    wanted = index.postings.join(weights.select("term").distinct(), "term", "left_semi")
+    key = F.concat_ws("\n", "state_norm", "term").alias("state_term")
+    postings = wanted.join(known, "doc_id").select("doc_id", "w", key)
+    texts = weights.join(where, "query_text").select("query_text", "state_norm", "wq", key)
+    dots = salted_join(texts, postings, "state_term").groupBy("query_text", "state_norm", "doc_id").agg(F.sum(F.col("wq") * F.col("w")).alias("dot"))
+    return dots.join(q_norms, "query_text").select(
+        "query_text", "state_norm", "doc_id", (F.col("dot") / (F.col("q_norm") + 1e-9)).alias("similarity")
+    )
+
+
 SIGNATURE = [
     "query_text", "state", "city", "cuisine_filter", "budget", "ref_lat", "ref_lon", "radius_km", *WEIGHT_NAMES,
 ]
@@ -385,12 +408,16 @@ def rank_candidates(requests: DataFrame, meta: DataFrame, sims: DataFrame, size:
     """
     asked = requests.withColumn("frame", F.sha2(F.to_json(F.struct(*FRAME)), 256))
     places = _frame_candidates(asked.select("frame", *FRAME).distinct(), meta, ref_reviews)
-    keyed = asked.select("sig", "frame", "query_text", "w_semantic")
-    hits = keyed.join(sims.select("query_text", F.col("doc_id").alias("business_id"), "similarity"), "query_text")
+    keyed = asked.select("sig", "frame", "query_text", "state", "w_semantic")
+    # A place is in one state, so the text and the place settle the similarity.
+    shared = ["query_text", "state_norm"] if "state_norm" in sims.columns else ["query_text"]
+    hits = keyed.withColumn("state_norm", F.upper(F.trim("state"))).join(
+        sims.select(*shared, F.col("doc_id").alias("business_id"), "similarity"), shared
+    ).drop("state", "state_norm")
     touched = checkpointed(hits.drop("query_text").join(places, ["frame", "business_id"]))
     first = top_per_group(places, ["frame"], [F.desc("base"), F.asc("business_id")], size, "_r").drop("_r")
     others = (
-        keyed.drop("query_text").join(first, "frame")
+        keyed.drop("query_text", "state").join(first, "frame")
         .join(touched.select("sig", "business_id"), ["sig", "business_id"], "left_anti")
         .withColumn("similarity", F.lit(0.0))
     )

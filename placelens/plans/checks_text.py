@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placelens.functions.columns import latin_tokens, lexicon_share
@@ -23,6 +26,8 @@ from placelens.plans.checks_tables import _MAP as MAPPED
 from placelens.plans.registry import check, rounded
 from placelens.plans.views import sql_list as _list
 from placelens.plans.views import tfidf_sql, with_views
+from placelens.session import shared_folder
+from placelens.sources import writers
 
 # The test texts are invented prose, so the signals are driven with frequent tokens and letter groups of it.
 POSITIVE = ["the", "that", "with", "from"]
@@ -361,10 +366,25 @@ COSINE = f"""qwords AS (SELECT query_text, list_filter(regexp_extract_all(lower(
 INDEXED = PROFILES + ", " + tfidf_sql("profiles", "business_id", "profile")
 
 
+_SHELVES: dict[str, str] = {}
+
+
 def place_index(spark, sf) -> retrieval.TextIndex:
-    """Index over the place profiles, written once as a checkpoint because several joins read it."""
-    docs = profiles(spark, sf).select(F.col("business_id").alias("doc_id"), F.col("profile").alias("text"))
-    return retrieval.fit_tfidf(docs, cut=True)
+    """Index over the place profiles, built once per state of the tables and then loaded.
+
+    Its configuration names the files it was built from with their sizes and times, so a changed table gets a new
+    version of the index.
+    """
+    files = [spark.read.format("binaryFile").load(f"{sf}/{t}.parquet").select("path", "length", "modificationTime") for t in ("part", "lineitem", "documents")]
+    seen = reduce(DataFrame.unionByName, files)
+    mark = seen.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("digest")).first()
+    config = {"kind": "place profiles", **mark.asDict()}
+    session = spark.sparkContext.applicationId
+    shelf = _SHELVES.setdefault(session, shared_folder(spark, "place-index"))
+    if not writers.index_is_current(spark, shelf, config):
+        docs = profiles(spark, sf).select(F.col("business_id").alias("doc_id"), F.col("profile").alias("text"))
+        writers.save_index(retrieval.fit_tfidf(docs, cut=True), docs.select("doc_id"), shelf, config)
+    return writers.load_index(spark, shelf, config)[0]
 
 
 @check("rt8_cosine_scores", with_views("places reviews query_log", "SELECT query_text, doc_id, round(similarity, 6) AS similarity FROM sims",
