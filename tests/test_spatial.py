@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,7 +129,53 @@ def test_blocks_do_not_change_the_neighbours(spark, monkeypatch):
     queries = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
     whole = {tuple(r)[:2] for r in vectors.cosine_top_k(queries, df, 3).select("query_id", "vec_id").collect()}
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(vectors, "CORPUS_BLOCK", 11)
+    monkeypatch.setattr(vectors, "CELL_ROWS", 11)
     assert whole == {tuple(r)[:2] for r in vectors.cosine_top_k(queries, df, 3).select("query_id", "vec_id").collect()}
     near = {tuple(r) for r in vectors.radius_neighbors(queries, df, 1.2).select("query_id", "vec_id").collect()}
     assert near == {(a, b) for a, x in corpus for b, y in corpus if math.dist(x, y) <= 1.2}
+
+
+def test_far_cells_are_skipped_and_the_corpus_is_dealt_once(spark):
+    rng = random.Random(5)
+    rows = [(i, [100.0 * (i % 8) + rng.gauss(0, 1), rng.gauss(0, 1)]) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    cells = vectors.index_cells(df.select("vec_id", F.col("embedding").alias("vec")))
+    assert cells.rows.count() == 800 and cells.bounds.count.sum() == 800
+    visits = vectors.cells_to_visit(queries, cells.bounds, lambda far: np.full(len(far), 3.0))
+    assert vectors.skipped_share(queries, cells.bounds, visits) > 0.8
+    near = {tuple(r) for r in vectors.radius_neighbors(queries, df, 3.0).select("query_id", "vec_id").collect()}
+    assert near == {(a, b) for a, x in rows[:40] for b, y in rows if math.dist(x, y) <= 3.0}
+    best = vectors.cosine_top_k(queries, df, 4)
+    cos = lambda x, y: sum(a * b for a, b in zip(x, y)) / math.hypot(*x) / math.hypot(*y)
+    for q, x in rows[:40]:
+        want = sorted((round(cos(x, y), 9) for _, y in rows), reverse=True)[:4]
+        assert [round(r["similarity"], 9) for r in best.where(F.col("query_id") == q).orderBy("rank").collect()] == want
+
+
+def _sets(n, seed=8):
+    """Sets of three or four: one category that all hold, and rarer ones whose number grows with n."""
+    rng = random.Random(seed)
+    return sorted({("all", f"m{rng.randrange(n // 12)}", *{f"r{rng.randrange(n // 4)}" for _ in range(rng.randint(1, 2))}) for _ in range(n)})
+
+
+def test_best_sets_against_all_pairs_and_pairs_compared(spark):
+    compared = []
+    for n in (300, 1200):
+        sets = [(f"s{i:05d}", list(x), "a" if i % 10 else "b") for i, x in enumerate(_sets(n))]
+        extra = [("s99998", [], "a"), ("s99999", ["lonely"], "b")]
+        known = spark.createDataFrame(sets + extra, "ref_id string, ref_cats array<string>, slice string")
+        queries = known.select("slice", F.col("ref_cats").alias("cats")).union(spark.createDataFrame([("a", ["new", "m1"])], "slice string, cats array<string>"))
+        pairs = vectors.set_pairs(queries, known, 3)
+        assert pairs.count() == pairs.select("slice", "cats", "ref_id").distinct().count()
+        compared.append(pairs.count() / len(sets))
+        if n == 300:
+            rows = vectors.set_top_k(queries, known, 3).collect()
+            got = {}
+            for r in rows:
+                got.setdefault((r["slice"], tuple(r["cats"])), []).append((-round(r["similarity"], 9), r["set_id"]))
+            for (s, cats), found in got.items():
+                scores = sorted((-round(len({*cats} & {*c}) / math.sqrt(len(cats) * len(c)), 9) if cats and c else 0.0, i) for i, c, t in sets + extra if t == s)
+                assert sorted(found) == scores[:3]
+            assert len(got) == queries.distinct().count()
+    assert compared[1] < 2 * compared[0]
