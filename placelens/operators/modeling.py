@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from placelens.functions.columns import WHOLE_VOCABULARY, bigrams, split_categories, stable_bucket
 from placelens.functions.frames import exact_quantiles
+from placelens.operators.components import SparsePCA
 from placelens.operators.spatial import RADII
 
 MIN_TIER_ROWS = 28
@@ -83,7 +84,7 @@ def category_text_stages(min_df: int = 2, dims: int = 24) -> tuple[list, str]:
     """TF-IDF of category words and word pairs reduced to a dense vector; input column category_terms."""
     counts = CountVectorizer(inputCol="category_terms", outputCol="category_tf", vocabSize=WHOLE_VOCABULARY, minDF=min_df)
     idf = IDF(inputCol="category_tf", outputCol="category_tfidf")
-    pca = PCA(k=dims, inputCol="category_tfidf", outputCol="category_vec")
+    pca = SparsePCA(k=dims, inputCol="category_tfidf", outputCol="category_vec")
     return [counts, idf, pca], "category_vec"
 
 

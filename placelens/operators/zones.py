@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placelens.functions.columns import WHOLE_VOCABULARY, category_set, price_tier, safe_double
+from placelens.operators.components import SparsePCA
+from placelens.session import cut
 
 COMPONENTS = ["pc1_score", "pc2_score", "pc3_score", "pc4_score"]
 BASE = ["latitude", "longitude", "stars", "review_count"]
 ZONE_FEATURES = [*BASE, "price_range", *COMPONENTS]
+# Rows among which starting centres are drawn, passes at most, and the move of a centre that counts as none.
+START_SAMPLE = 4096
+MAX_PASSES = 300
+STILL = 1e-7
+POINT_SLICE = 16_384
 
 
 def fit_components(places: DataFrame) -> PipelineModel:
@@ -24,10 +33,8 @@ def fit_components(places: DataFrame) -> PipelineModel:
     counts = CountVectorizer(inputCol="cats", outputCol="onehot", binary=True, vocabSize=WHOLE_VOCABULARY)
     vocabulary = counts.fit(cats)
     k = min(len(COMPONENTS), len(vocabulary.vocabulary))
-    center = StandardScaler(inputCol="onehot", outputCol="centered", withMean=True, withStd=False)
-    stages = [center, PCA(k=k, inputCol="centered", outputCol="components")]
-    fitted = Pipeline(stages=stages).fit(vocabulary.transform(cats))
-    return PipelineModel(stages=[vocabulary, *fitted.stages])
+    fitted = SparsePCA(k=k, inputCol="onehot", outputCol="components").fit(vocabulary.transform(cats))
+    return PipelineModel(stages=[vocabulary, fitted])
 
 
 def cluster_features(places: DataFrame, model: PipelineModel | None = None, missing_price: int | None = None) -> DataFrame:
@@ -41,12 +48,13 @@ def cluster_features(places: DataFrame, model: PipelineModel | None = None, miss
     absent = F.raise_error(F.concat(F.lit("no price for place "), F.col("business_id"))) if missing_price is None else F.lit(missing_price)
     checked = F.when(price.isNull(), absent).otherwise(price)
     scored = model.transform(places.withColumn("cats", F.transform(category_set(F.col("categories")), F.lower)))
-    parts = vector_to_array("components")
+    parts, offset = vector_to_array("components"), model.stages[-1].offset
+    centred = lambda i: F.get(parts, F.lit(i)) - (float(offset[i]) if i < len(offset) else 0.0)
     return scored.select(
         "business_id",
         *[safe_double(F.col(c)).alias(c) for c in BASE],
         checked.cast("int").alias("price_range"),
-        *[F.coalesce(F.get(parts, F.lit(i)), F.lit(0.0)).alias(c) for i, c in enumerate(COMPONENTS)],
+        *[F.coalesce(centred(i), F.lit(0.0)).alias(c) for i, c in enumerate(COMPONENTS)],
     )
 
 
@@ -72,29 +80,120 @@ def scaled_features(df: DataFrame, features: Sequence[str], log_reviews: bool =
     return Pipeline(stages=stages).fit(rows).transform(rows)
 
 
+def _nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centre, squared distance to it) of each point; ties go to the lower number."""
+    squares = ((points[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+    label = squares.argmin(axis=1)
+    return label, squares[np.arange(len(points)), label]
+
+
+def first_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k points of the sample, each drawn with the square of its distance from those before it."""
+    rng = np.random.default_rng(seed)
+    picked = [sample[rng.integers(len(sample))]]
+    while len(picked) < k:
+        far = _nearest(sample, np.array(picked))[1]
+        picked.append(sample[rng.choice(len(sample), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(sample))])
+    return np.array(picked)
+
+
+@dataclass
+class Clustering:
+    """Fitted centres of one start, the sum of squared distances to them and the passes it took."""
+
+    centres: np.ndarray
+    cost: float
+    passes: int
+
+
+def lloyd(ready: DataFrame, starts: Sequence[tuple[int, int]], points: str = "features") -> list[Clustering]:
+    """k-means for every (k, seed) of ``starts``, all of them in the same passes over the rows.
+
+    Starting centres come from a bounded sample by hash, so a seed gives the same result on every run. Each pass adds
+    up the points of each centre of each start in the tasks; only those sums, bounded by the number of centres,
+    reach the driver. A start is finished when its centres no longer move.
+    """
+    rows = cut(ready.select(vector_to_array(points).alias("x")))
+    picked = rows.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(START_SAMPLE).toPandas()["x"]
+    if not len(picked):
+        raise ValueError("no complete rows to cluster")
+    sample = np.array(picked.tolist(), dtype=np.float64)
+    centres = [first_centres(sample, k, seed) for k, seed in starts]
+    done = [Clustering(c, 0.0, 0) for c in centres]
+    moving = set(range(len(starts)))
+    width = sample.shape[1]
+    while moving:
+        sums = _centre_sums(rows, {i: centres[i] for i in sorted(moving)}, width)
+        for i in sorted(moving):
+            count, cost, total = sums[i]
+            done[i] = Clustering(centres[i], cost, done[i].passes + 1)
+            new = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centres[i])
+            if done[i].passes > MAX_PASSES or np.abs(new - centres[i]).max() <= STILL:
+                moving.discard(i)
+            else:
+                centres[i] = new
+    return done
+
+
+def _centre_sums(rows: DataFrame, centres: dict[int, np.ndarray], width: int) -> dict[int, tuple[np.ndarray, float, np.ndarray]]:
+    """Per start: points per centre, cost, and the sum of the points of each centre."""
+
+    def run(batches):
+        held = {i: (np.zeros(len(c)), 0.0, np.zeros((len(c), width))) for i, c in centres.items()}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            for at in range(0, len(x), POINT_SLICE):
+                part = x[at : at + POINT_SLICE]
+                for i, c in centres.items():
+                    label, far = _nearest(part, c)
+                    count, cost, total = held[i]
+                    total += np.stack([np.bincount(label, part[:, j], len(c)) for j in range(width)], axis=1)
+                    held[i] = (count + np.bincount(label, minlength=len(c)), cost + far.sum(), total)
+        keys = [(i, j) for i, c in centres.items() for j in range(len(c))]
+        start, centre = (pa.array([key[at] for key in keys], pa.int32()) for at in (0, 1))
+        # The cost of a start travels with its first centre.
+        numbers = [[held[i][0][j], held[i][1] if j == 0 else 0.0, *held[i][2][j]] for i, j in keys]
+        yield pa.RecordBatch.from_arrays([start, centre, pa.array(numbers, pa.list_(pa.float64()))], ["start", "centre", "part"])
+
+    parts = rows.mapInArrow(run, "start int, centre int, part array<double>")
+    found = parts.groupBy("start", "centre").agg(F.array(*[F.sum(F.col("part")[i]) for i in range(width + 2)]).alias("part"))
+    out = {i: (np.zeros(len(c)), 0.0, np.zeros((len(c), width))) for i, c in centres.items()}
+    for start, centre, part in found.orderBy("start", "centre").collect():
+        count, cost, total = out[start]
+        count[centre], total[centre] = part[0], part[2:]
+        out[start] = (count, cost + part[1], total)
+    return out
+
+
+def nearest_centre(points: Column, centres: np.ndarray) -> Column:
+    """Number of the nearest centre of an array column."""
+    far = [F.aggregate(F.zip_with(points, F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v) for c in centres]
+    return (F.array_position(F.array(*far), F.array_min(F.array(*far))) - 1).cast("int")
+
+
+def _labelled(ready: DataFrame, fitted: Clustering) -> DataFrame:
+    return ready.withColumn("cluster", nearest_centre(vector_to_array("features"), fitted.centres)).drop("raw_features", "features")
+
+
 def kmeans_zones(
     df: DataFrame, k: int = 4, seed: int = 42, starts: int = 10, features: Sequence[str] = tuple(ZONE_FEATURES)
 ) -> DataFrame:
     """Cluster label per row from the best of several starts."""
     ready = scaled_features(df, features)
-    models = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(ready) for i in range(starts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(ready).drop("raw_features", "features")
+    return _labelled(ready, min(lloyd(ready, [(k, seed + i) for i in range(starts)]), key=lambda c: c.cost))
 
 
 def state_zones(places: DataFrame, state: str, k: int = 4, seed: int = 42) -> DataFrame:
     """Zones of one state from position, stars and review count alone, without the log."""
-    rows = places.where(F.col("state") == state)
-    ready = scaled_features(rows, BASE, log_reviews=False)
-    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(ready).transform(ready).drop(
-        "raw_features", "features"
-    )
+    ready = scaled_features(places.where(F.col("state") == state), BASE, log_reviews=False)
+    return _labelled(ready, lloyd(ready, [(k, seed)])[0])
 
 
 def elbow_curve(df: DataFrame, ks: Sequence[int] = tuple(range(2, 10)), seed: int = 42, features: Sequence[str] = tuple(ZONE_FEATURES)) -> DataFrame:
-    ready = scaled_features(df, features)
-    costs = [(k, KMeans(k=k, seed=seed, featuresCol="features").fit(ready).summary.trainingCost) for k in ks]
-    return df.sparkSession.createDataFrame(costs, "k int, inertia double")
+    fitted = lloyd(scaled_features(df, features), [(k, seed) for k in ks])
+    return df.sparkSession.createDataFrame([(k, c.cost) for k, c in zip(ks, fitted)], "k int, inertia double")
 
 
 def cluster_summary(df: DataFrame, features: Sequence[str], cluster: str = "cluster") -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from placelens.functions.columns import category_set
 from placelens.functions.lexicons import CATEGORY_ALIASES, CATEGORY_FALLBACKS
-from placelens.operators import evaluation, features, modeling, sites, spatial, text_signals, zones
+from placelens.operators import components, evaluation, features, modeling, sites, spatial, text_signals, zones
 from placelens.plans import views as v
 from placelens.plans.checks_spatial import _CATS, _SPLIT, _SPLIT_PAIRS, SITES_SQL
 from placelens.plans.checks_spatial import sites as site_table
@@ -48,8 +50,6 @@ def scaling(spark, sf):
 
 @check("ml3_category_text_vectors")
 def text_vectors(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-
     rows = modeling.category_text_vectors(v.places(spark, sf))[0]
     return rows.select("business_id", F.size(vector_to_array("category_vec")).alias("dims"))
 
@@ -83,7 +83,8 @@ def _parts(table):
     return table.where("split = 'train'"), table.where("split = 'test'")
 
 
-@check("ml4_assemble_features", with_views("places", "SELECT state, count(*) AS n FROM places GROUP BY 1"))
+@check("ml4_assemble_features", with_views("places", """SELECT business_id, state, latitude, stars, review_count::DOUBLE AS review_count,
+ len(list_distinct(list_filter(list_transform(string_split(categories, ','), lambda c: trim(c)), lambda c: c <> ''))) + 1 AS flags FROM places"""))
 def assemble(spark, sf):
     from pyspark.ml import Pipeline
 
@@ -91,7 +92,10 @@ def assemble(spark, sf):
     rows = places.withColumn("cats", category_set(F.col("categories")))
     stages = modeling.assemble_stages(["latitude", "stars", "review_count"], state=True)
     ready = Pipeline(stages=stages).fit(rows).transform(rows)
-    return ready.where(F.col("features").isNotNull()).groupBy("state").agg(F.count("*").alias("n"))
+    x = vector_to_array("features")
+    flags = F.aggregate(F.slice(x, F.lit(4), F.size(x)), F.lit(0.0), lambda a, c: a + c).cast("bigint")
+    named = [x[i].alias(c) for i, c in enumerate(("latitude", "stars", "review_count"))]
+    return ready.select("business_id", "state", *named, flags.alias("flags"))
 
 
 @check("ml6_train_survival")
@@ -293,6 +297,66 @@ def insight(spark, sf):
     return zones.zone_insight(zones.cluster_summary(clustered(spark, sf), ["stars", "review_count"]), "stars")
 
 
+def _as_exact(rows, column, k):
+    """Per component whether it holds as much of the variance as the exact one of the whole covariance matrix."""
+    from pyspark.ml.feature import PCA
+
+    rows = cut(rows.select(column))
+    found = components.SparsePCA(k=k, inputCol=column, outputCol="found").fit(rows)
+    shares = PCA(k=k, inputCol=column, outputCol="exact").fit(rows).explainedVariance.toArray()
+    whole = components.column_sums(rows, found.pc.numRows)
+    n = rows.count()
+    total = (whole[:, 1].sum() - (whole[:, 0] ** 2).sum() / n) / (n - 1)
+    same = [(i + 1, int(abs(found.variances[i] / total - shares[i]) <= 1e-6)) for i in range(k)]
+    return rows.sparkSession.createDataFrame(same, "component int, as_exact int")
+
+
+_EXACT = "SELECT unnest(range(1, 5))::INT AS component, 1 AS as_exact"
+
+
+@check("ml3_component_variance", _EXACT)
+def text_variance(spark, sf):
+    return _as_exact(modeling.category_text_vectors(v.places(spark, sf), dims=4)[0], "category_tfidf", 4)
+
+
+@check("cu1_component_variance", _EXACT)
+def zone_variance(spark, sf):
+    p = v.places(spark, sf).withColumn("cats", F.transform(category_set(F.col("categories")), F.lower))
+    return _as_exact(zones.fit_components(p).stages[0].transform(p), "onehot", 4)
+
+
+@check("cu1_zone_base", with_views("places", """SELECT business_id, latitude, longitude, stars, review_count, 0 AS mean_score
+ FROM places"""))
+def zone_base(spark, sf):
+    """The columns that come from the table, and the mean of the first component, which is zero."""
+    rows = cut(zone_features(spark, sf))
+    mean = rows.agg(F.round(F.avg("pc1_score"), 6).cast("int").alias("mean_score"))
+    return rows.select("business_id", *zones.BASE).crossJoin(F.broadcast(mean))
+
+
+@check("cu2_zone_checks", with_views("places", """SELECT count(*) AS rows, 4 AS zones, 1 AS same_again, 1 AS at_their_means FROM places"""))
+def zone_checks(spark, sf):
+    """All places have a zone, a seed gives the same zones again, and no place is nearer to the mean of another zone."""
+    rows = cut(zone_features(spark, sf))
+    first, again = (cut(zones.kmeans_zones(rows, starts=3)) for _ in range(2))
+    both = first.select("business_id", "cluster").join(again.select("business_id", F.col("cluster").alias("other")), "business_id")
+    same = both.agg(F.count("*").alias("rows"), F.count_distinct("cluster").alias("zones"), F.bool_and(F.col("cluster") == F.col("other")).cast("int").alias("same_again"))
+    scaled = zones.scaled_features(rows, zones.ZONE_FEATURES).select("business_id", vector_to_array("features").alias("x")).join(first.select("business_id", "cluster"), "business_id")
+    width = len(zones.ZONE_FEATURES)
+    means = scaled.groupBy("cluster").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(width)]).alias("mean")).orderBy("cluster").collect()
+    nearest = zones.nearest_centre(F.col("x"), np.array([r["mean"] for r in means]))
+    still = scaled.agg((F.count_if(nearest != F.col("cluster")) <= F.count("*") / 1000).cast("int").alias("at_their_means"))
+    return same.crossJoin(F.broadcast(still))
+
+
+@check("cu3_elbow_checks", "SELECT unnest(range(2, 10))::INT AS k, 1 AS below_total")
+def elbow_checks(spark, sf):
+    """Costs lie below that of one cluster: rows x columns, as columns are standardised by the sample deviation."""
+    rows = cut(zone_features(spark, sf))
+    total = (rows.na.drop().count() - 1) * len(zones.ZONE_FEATURES)
+    return zones.elbow_curve(rows).select("k", (F.col("inertia") < total).cast("int").alias("below_total"))
+
+
 @check("cu6_component_labels")
 def labels(spark, sf):
     return rounded(zones.component_labels(zones.fit_components(v.places(spark, sf)), spark), 4)
