@@ -19,7 +19,6 @@ from placelens.functions.frames import exact_quantiles
 from placelens.operators.components import SparsePCA
 from placelens.operators.spatial import RADII
 
-MIN_TIER_ROWS = 28
 
 
 def split_rows(df: DataFrame, fractions: dict[str, float], seed: int = 42, key: str = "business_id") -> DataFrame:
@@ -285,9 +284,13 @@ def star_tier(stars):
 
 
 def tiered_regression(
-    train: DataFrame, test: DataFrame, target: str, features: Sequence[str], weight: str = "weight", rounds: int = 20
+    train: DataFrame, test: DataFrame, target: str, features: Sequence[str], weight: str = "weight", rounds: int = 20,
+    min_tier_rows: int | None = None,
 ) -> DataFrame:
-    """Classify the star tier, then predict with the tier's own model; tiers under ``MIN_TIER_ROWS`` use that of all rows.
+    """Classify the star tier, then predict with the tier's own model.
+
+    A tier without training rows is an error, unless ``min_tier_rows`` is given: tiers with fewer rows than that use
+    the model of all rows.
 
     ``tier_rows`` is the number of training rows of the predicted tier, ``model_used`` is "tier" or "all".
     """
@@ -306,7 +309,9 @@ def tiered_regression(
     scored = classifier.transform(prep.transform(test))
     out = None
     for tier in (0.0, 1.0, 2.0):
-        enough = counts.get(tier, 0) >= MIN_TIER_ROWS
+        enough = counts.get(tier, 0) >= (1 if min_tier_rows is None else min_tier_rows)
+        if min_tier_rows is None and not enough:
+            raise ValueError(f"no training rows in tier {tier:g}; give min_tier_rows to use the model of all rows")
         model = regressor().fit(ready.where(F.col("tier") == tier)) if enough else fallback
         part = model.transform(scored.where(F.col("pred_tier") == tier)).withColumns(
             {"tier_rows": F.lit(counts.get(tier, 0)).cast("bigint"), "model_used": F.lit("tier" if enough else "all")}

@@ -140,7 +140,8 @@ def fit_tfidf(
         docs = checkpointed(docs.select("doc_id", "text"))
     spread = docs.select("doc_id", "text").repartition("doc_id")
     terms = spread.select("doc_id", F.explode(index_terms(F.col("text"), stopwords, ngrams)).alias("term"))
-    counts = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    # Both the vocabulary and the postings read the counts.
+    counts = checkpointed(terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
     frequent = (
         counts.groupBy("term")

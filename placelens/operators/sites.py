@@ -154,15 +154,15 @@ def check_sites(sites: DataFrame, ref: DataFrame, min_rows: int = 10) -> DataFra
     return joined.withColumns({"reference_rows": n, "reject_reason": reason}).drop("unknown")
 
 
-def score_sites(sites: DataFrame, ref: DataFrame, survival: PipelineModel, stars: PipelineModel) -> DataFrame:
+def score_sites(sites: DataFrame, ref: DataFrame, survival: PipelineModel, stars: PipelineModel, min_rows: int = 10) -> DataFrame:
     """Survival probability and stars of candidate sites (site_id, city, state, latitude, longitude, categories).
 
     Only places of the site's own city count as reference. Model inputs a site does not carry are 0. Sites
-    that fail a check come back with a reason and no scores.
+    that fail a check come back with a reason and no scores; fewer than ``min_rows`` reference places are one.
     """
     slice_of = F.concat_ws("|", F.lower(F.trim("city")), F.upper(F.trim("state")))
     sites, ref = sites.withColumn("slice", slice_of), ref.withColumn("slice", slice_of)
-    checked = check_sites(sites, ref)
+    checked = check_sites(sites, ref, min_rows)
     good = checked.where(F.col("reject_reason").isNull())
     rings = convex_hull(ref, ["slice"])
     features = score_sites_features(good.drop("reference_rows"), ref, by="slice")

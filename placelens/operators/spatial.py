@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -441,16 +442,38 @@ def point_in_polygon(points: DataFrame, rings: DataFrame, slices: Sequence[str]
     return joined.withColumn("inside", flag.cast("int")).drop("ring")
 
 
+POINTS_PER_CHUNK = 1000
+
+
+def point_chunks(ref: DataFrame, slices: Sequence[str]) -> DataFrame:
+    """All places with a point, dealt by id into chunks of about ``POINTS_PER_CHUNK`` per slice."""
+    points = with_point(ref)
+    sizes = points.groupBy(*slices).agg(F.ceil(F.count("*") / POINTS_PER_CHUNK).cast("bigint").alias("_chunks"))
+    same = reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in slices])
+    dealt = points.alias("a").join(sizes.alias("b"), same).select("a.*", "_chunks")
+    return dealt.withColumn("chunk", F.pmod(F.xxhash64("business_id", "longitude", "latitude"), F.col("_chunks"))).drop("_chunks")
+
+
 def sample_points(ref: DataFrame, slices: Sequence[str] = ("city", "state"), max_points: int = 400) -> DataFrame:
     """Per slice a repeatable sample of at most ``max_points`` places, drawn by a hash of the id."""
     order = [F.asc(F.xxhash64("business_id")), F.asc("business_id")]
     return top_per_group(with_point(ref), list(slices), order, max_points, "draw")
 
 
-def geojson_features(ref: DataFrame, hulls: DataFrame, slices: Sequence[str] = ("city", "state"), max_points: int = 400) -> DataFrame:
-    """GeoJSON texts per slice: hull polygon and a multi-point sample."""
+def geojson_features(ref: DataFrame, hulls: DataFrame, slices: Sequence[str] = ("city", "state"), max_points: int | None = None) -> DataFrame:
+    """GeoJSON texts per slice and chunk: the hull polygon, and the places as multi-points.
+
+    All places are given, in chunks of bounded size; with ``max_points`` one chunk holds a sample of that size.
+    """
+    slices = list(slices)
     pair = lambda p: F.array(p["lon"], p["lat"])
-    sample = sample_points(ref, slices, max_points).groupBy(*slices).agg(
+    if max_points is None:
+        points = point_chunks(ref, slices).withColumn("draw", F.col("business_id"))
+    else:
+        points = sample_points(ref, slices, max_points).withColumn("chunk", F.lit(0).cast("bigint"))
+    # Hulls carry empty names where the place has none.
+    points = points.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in slices})
+    sample = points.groupBy(*slices, "chunk").agg(
         F.array_sort(F.collect_list(F.struct("draw", F.col("longitude").alias("lon"), F.col("latitude").alias("lat")))).alias("dots")
     )
 
@@ -465,9 +488,10 @@ def geojson_features(ref: DataFrame, hulls: DataFrame, slices: Sequence[str] = (
 
     polygon = feature("reference_convex_hull", "Polygon", F.array(F.transform("ring", pair)))
     dots = feature("reference_sample", "MultiPoint", F.transform("dots", pair))
-    joined = hulls.join(sample, list(slices), "left")
+    joined = hulls.join(sample, slices, "left")
     return joined.select(
         *slices,
+        F.coalesce("chunk", F.lit(0)).alias("chunk"),
         F.when(F.col("ring").isNotNull(), polygon).alias("hull_geojson"),
         F.when(F.col("dots").isNotNull(), dots).alias("sample_points_geojson"),
         F.col("ring").isNotNull().cast("int").alias("valid_hull"),

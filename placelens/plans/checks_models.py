@@ -155,7 +155,7 @@ def multi_target(spark, sf):
 @check("ml10_tiered_regression")
 def tiered(spark, sf):
     table = multi_target_table(spark, sf)
-    rows = modeling.tiered_regression(table.where("split = 'train'"), table.where("split = 'test'"), "stars", MULTI_FEATURES, rounds=ROUNDS)
+    rows = modeling.tiered_regression(table.where("split = 'train'"), table.where("split = 'test'"), "stars", MULTI_FEATURES, rounds=ROUNDS, min_tier_rows=28)
     return rows.select("business_id", "stars", "predicted", "pred_tier", "true_tier", "tier_rows", "model_used")
 
 

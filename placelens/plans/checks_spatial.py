@@ -9,6 +9,7 @@ from placelens.operators import modeling, spatial, vectors
 from placelens.plans import views as v
 from placelens.plans.registry import check, rounded
 from placelens.plans.views import with_views
+from placelens.session import cut
 
 
 def _hav(a: str, b: str) -> str:
@@ -255,12 +256,44 @@ def in_polygon(spark, sf):
     return spatial.point_in_polygon(p, rings).select("business_id", "inside")
 
 
+@check("sp14_hull_checks", with_views("places", """SELECT city, state, min(longitude) AS west, max(longitude) AS east, min(latitude) AS south,
+ max(latitude) AS north, 1 AS closed, 1 AS corners_are_places, 0 AS left_turns_missing, 0 AS places_outside FROM places GROUP BY city, state"""))
+def hull_checks(spark, sf):
+    """A ring is the hull if it is closed, turns left at every corner, and no place lies to the right of an edge."""
+    p = v.places(spark, sf).select("city", "state", F.col("longitude").alias("x"), F.col("latitude").alias("y"))
+    rings = cut(spatial.convex_hull(v.places(spark, sf)))
+    edges = rings.select("city", "state", F.explode(F.transform(
+        F.sequence(F.lit(1), F.size("ring") - 1),
+        lambda i: F.struct(F.element_at("ring", i).alias("a"), F.element_at("ring", i + 1).alias("b"), F.get("ring", F.pmod(i, F.size("ring") - 1) + 1).alias("c")),
+    )).alias("e")).select("city", "state", "e.*")
+    turn = lambda a, b, x, y: (b["lon"] - a["lon"]) * (y - a["lat"]) - (b["lat"] - a["lat"]) * (x - a["lon"])
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    turns = edges.groupBy("city", "state").agg(F.count_if(turn(a, b, c["lon"], c["lat"]) <= 0).cast("int").alias("left_turns_missing"))
+    outside = p.join(edges, ["city", "state"]).groupBy("city", "state").agg(F.count_if(turn(a, b, F.col("x"), F.col("y")) < -1e-12).cast("int").alias("places_outside"))
+    corners = edges.select("city", "state", "a").join(p.distinct(), ["city", "state"]).groupBy("city", "state", "a").agg(
+        F.bool_or((F.col("x") == a["lon"]) & (F.col("y") == a["lat"])).alias("known")
+    ).groupBy("city", "state").agg(F.bool_and("known").cast("int").alias("corners_are_places"))
+    end = lambda f, part: f(F.transform("ring", lambda q: q[part]))
+    shape = rings.select("city", "state", end(F.array_min, "lon").alias("west"), end(F.array_max, "lon").alias("east"), end(F.array_min, "lat").alias("south"),
+                         end(F.array_max, "lat").alias("north"), (F.col("ring")[0] == F.element_at("ring", -1)).cast("int").alias("closed"))
+    return shape.join(turns, ["city", "state"]).join(outside, ["city", "state"]).join(corners, ["city", "state"])
+
+
 @check("sp16_geojson_features")
 def geojson(spark, sf):
     p = v.places(spark, sf)
     return spatial.geojson_features(p, spatial.convex_hull(p))
 
 
+@check("sp16_geojson_points", with_views("places", "SELECT city, state, longitude, latitude, 1 AS valid_hull FROM places"))
+def geojson_points(spark, sf):
+    """The coordinates read back from the GeoJSON texts: every place once."""
+    shape = "struct<type:string,geometry:struct<type:string,coordinates:array<array<double>>>>"
+    read = F.from_json("sample_points_geojson", shape)["geometry"]["coordinates"]
+    rows = geojson(spark, sf).select("city", "state", "valid_hull", F.explode(read).alias("c"))
+    return rows.select("city", "state", F.col("c")[0].alias("longitude"), F.col("c")[1].alias("latitude"), "valid_hull")
+
+
 # --- vectors -----------------------------------------------------------------------------------------------
 
 _COS = """round(list_inner_product(q.vec, e.v) / (sqrt(list_inner_product(q.vec, q.vec)) * sqrt(list_inner_product(e.v, e.v))), 6)"""

@@ -78,6 +78,45 @@ def read_reviews(spark, sf):
     return readers.read_reviews(spark, folder).select("review_id", "business_id", "stars", F.md5("text").alias("digest"))
 
 
+@check("sr2_read_users", """SELECT 'u' || c_custkey AS user_id, c_name AS name, c_custkey % 90 AS review_count, '2015-01-02' AS yelping_since,
+ round((c_custkey % 41) / 10.0, 1)::DOUBLE AS average_stars FROM customer""")
+def read_users(spark, sf):
+    folder, k = shared_folder(spark, "users"), F.col("c_custkey")
+    v.table(spark, sf, "customer").select(
+        F.concat(F.lit("u"), k).alias("user_id"), F.col("c_name").alias("name"), (k % 90).alias("review_count"),
+        F.lit("2015-01-02").alias("yelping_since"), F.round((k % 41) / 10.0, 1).alias("average_stars"), F.lit("x").alias("elite"),
+    ).write.json(folder)
+    return readers.read_users(spark, folder)
+
+
+@check("sr2_read_checkins", "SELECT 'b' || (event_id % 200) AS business_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS date FROM events")
+def read_checkins(spark, sf):
+    folder = shared_folder(spark, "checkins")
+    rows = v.table(spark, sf, "events")
+    rows.select(F.concat(F.lit("b"), F.col("event_id") % 200).alias("business_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("date")).write.option(
+        "header", "true").csv(folder)
+    return readers.read_checkins(spark, folder, "csv")
+
+
+@check("sr2_read_tips", """SELECT 'u' || (doc_id % 97) AS user_id, 'b' || (doc_id % 200) AS business_id, md5(text) AS digest, doc_id % 5 AS compliment_count
+ FROM documents""")
+def read_tips(spark, sf):
+    folder, k = shared_folder(spark, "tips"), F.col("doc_id")
+    v.table(spark, sf, "documents").select(
+        F.concat(F.lit("u"), k % 97).alias("user_id"), F.concat(F.lit("b"), k % 200).alias("business_id"), "text",
+        F.lit("2024-01-01").cast("timestamp").alias("date"), (k % 5).alias("compliment_count"),
+    ).write.parquet(folder)
+    return readers.read_tips(spark, folder, "parquet").select("user_id", "business_id", F.md5("text").alias("digest"), "compliment_count")
+
+
+@check("sr8_write_merchants", with_views("places", """SELECT business_id, name, latitude, longitude, city, state, stars,
+ review_count, is_open, categories FROM places"""))
+def write_merchants(spark, sf):
+    folder = shared_folder(spark, "merchants")
+    writers.write_merchants(v.places(spark, sf), folder)
+    return spark.read.parquet(folder)
+
+
 @check("sr6_read_photo_manifest", with_views("photos", "SELECT photo_id, business_id FROM photos WHERE seq % 7 <> 0"))
 def read_photos(spark, sf):
     folder = shared_folder(spark, "photos")

@@ -26,7 +26,10 @@ def _read(spark: SparkSession, path: str, fmt: str, schema: StructType) -> DataF
 
 
 def read_places(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Places; attribute and hour objects of JSON lines arrive as their JSON text."""
+    """Places; attribute and hour objects of JSON lines arrive as their JSON text.
+
+    A CSV file may hold line ends inside quotes, so it is read by one task; JSON lines and Parquet are split.
+    """
     return _read(spark, path, fmt, schemas.PLACES)
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
@@ -33,6 +34,10 @@ def test_tiers_name_their_model(spark):
     random.seed(1)
     rows = [(f"b{i}", float(s), random.random() + s, ["a"], 1.0) for i, s in enumerate([2.0] * 40 + [3.5] * 40 + [5.0] * 10)]
     table = spark.createDataFrame(rows, "business_id string, stars double, x double, cats array<string>, weight double")
-    out = modeling.tiered_regression(table, table, "stars", ["x"], rounds=2)
+    out = modeling.tiered_regression(table, table, "stars", ["x"], rounds=2, min_tier_rows=28)
     seen = {(r["pred_tier"], r["tier_rows"], r["model_used"]) for r in out.collect()}
     assert seen == {(0.0, 40, "tier"), (1.0, 40, "tier"), (2.0, 10, "all")}
+    own = modeling.tiered_regression(table, table, "stars", ["x"], rounds=2)
+    assert {r["model_used"] for r in own.collect()} == {"tier"}
+    with pytest.raises(ValueError, match="tier 2"):
+        modeling.tiered_regression(table.where("stars < 5"), table, "stars", ["x"], rounds=2)
