@@ -19,6 +19,7 @@ from placelens.llm.registry import query, table
 from placelens.llm.tables import written
 
 RANGE_ROWS = 100_000
+BOUND_CHARS = 64
 SEGMENT_TURNS = 64
 
 
@@ -38,9 +39,11 @@ def numbered_turns(conversations: DataFrame) -> DataFrame:
     rows = conversations.select("conv_id", "turn", "role", "text")
     for i, h in enumerate(_hash_columns(F.col("role"), F.col("text"))):
         rows = rows.withColumn(f"t{i + 1}", h)
-    order = [F.asc_nulls_last("turn"), F.asc_nulls_last("role"), F.asc("t1"), F.asc("t2")]
+    order = [F.asc_nulls_last("turn"), F.asc_nulls_last("role"), F.asc_nulls_last("text")]
+    # The bounds of the ranges are sampled, so they know texts by their beginning only; inside a range whole texts rank.
+    bounds = [*order[:2], F.asc_nulls_last(F.substring("text", 1, BOUND_CHARS))]
     ranges = max(1, -(-rows.count() // RANGE_ROWS))
-    ranged = rows.repartitionByRange(ranges, F.asc_nulls_last("conv_id"), *order)
+    ranged = rows.repartitionByRange(ranges, F.asc_nulls_last("conv_id"), *bounds)
     ranged = written(ranged.withColumn("range", F.spark_partition_id()), "chat-ranges")
     inside = W.partitionBy("conv_id", "range").orderBy(*order)
     sizes = ranged.groupBy("conv_id", "range").agg(F.count("*").alias("n"))

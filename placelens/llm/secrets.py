@@ -12,12 +12,14 @@ replaces the older findings in results.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,23 +115,31 @@ def scan_blobs(blobs: DataFrame, rules: Sequence[SecretRule]) -> DataFrame:
 
 
 class BlobLedger:
-    """A folder of Parquet parts (blob, rule, version, spans), one part per run; a run never rewrites older parts.
+    """A folder of Parquet parts (blob, rule, version, spans), one part per run, for any number of runs.
 
-    ``parts`` lists the finished ones. A run that died has not been listed, so the next one scans its pairs anew
-    and overwrites what it left.
+    A part is published by one row in ``published``, written when the part is complete. A ledger that is opened again
+    reads the published parts; what a run that died has left is not published, never read and never overwritten.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, parts: Sequence[str] = ()):
-        self.spark, self.folder, self.parts = spark, folder, list(parts)
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        try:
+            rows = spark.read.schema("part string").parquet(f"{folder}/published/*").select("part").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = []
+        self.parts = sorted(r["part"] for r in rows)
 
     def read(self) -> DataFrame:
         if not self.parts:
             return self.spark.createDataFrame([], _SCANNED)
-        return self.spark.read.schema(_SCANNED).parquet(*self.parts)
+        return self.spark.read.schema(_SCANNED).parquet(*[f"{self.folder}/{p}" for p in self.parts])
 
     def append(self, rows: DataFrame) -> None:
-        part = f"{self.folder}/part={len(self.parts):06d}"
-        rows.write.mode("overwrite").parquet(part)
+        part = f"part-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{part}")
+        self.spark.range(1).select(F.lit(part).alias("part")).coalesce(1).write.parquet(f"{self.folder}/published/{part}")
         self.parts.append(part)
 
     def findings(self, rules: Sequence[SecretRule]) -> DataFrame:

@@ -26,6 +26,16 @@ def test_odd_rows(spark):
     assert plain(got) == [(1, chat(("user", ""), ("", ""))), (2, chat(("user", ""))), (None, chat(("user", "x"), ("user", "x")))]
 
 
+def test_ties_go_by_text(spark, monkeypatch):
+    from placelens.llm import chat as module
+
+    monkeypatch.setattr(module, "RANGE_ROWS", 2)
+    long = "same beginning " * 9
+    rows = [(1, 1, "user", t) for t in ("z", "y", long + "b", "x", long + "a", None)] + [(1, 1, "assistant", "zz")]
+    (got,) = collapse_and_render(conversations(spark, rows)).collect()
+    assert got["rendered"] == chat(("assistant", "zz"), *[("user", t) for t in (long + "a", long + "b", "x", "y", "z", "")])
+
+
 def test_empty_table(spark):
     assert collapse_and_render(conversations(spark, [])).count() == 0
 

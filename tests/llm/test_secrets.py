@@ -76,6 +76,18 @@ def test_only_unseen_pairs_are_scanned(spark, tmp_path):
     assert all(f["rule"] != "hex" for r in got for f in r["findings"] or [])
 
 
+def test_a_ledger_that_is_opened_again(spark, tmp_path):
+    scan_unseen(documents(spark, SECRETS[:1]), BlobLedger(spark, str(tmp_path)))
+    # Left behind by a run that died before it published its part.
+    spark.createDataFrame([("x", "hex", 1, [])], "blob string, rule string, version int, spans array<struct<start: bigint, end: bigint>>").write.parquet(f"{tmp_path}/part-dead")
+    again = BlobLedger(spark, str(tmp_path))
+    assert again.read().count() == len(RULES)
+    scan_unseen(documents(spark, SECRETS[:2]), again)
+    assert BlobLedger(spark, str(tmp_path)).read().count() == 2 * len(RULES)
+    got = spans_of(scan_versions(documents(spark, SECRETS), BlobLedger(spark, str(tmp_path))).collect())
+    assert all(found == brute(t) for i, t, *_ in SECRETS for found in got[i])
+
+
 def test_redaction(spark, tmp_path):
     docs = documents(spark, SECRETS + [(8, None, "en", "a"), (9, "clean", "en", "a")], clash=True)
     ledger = BlobLedger(spark, str(tmp_path))
