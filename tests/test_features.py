@@ -99,3 +99,9 @@ def test_join_features_refuses_duplicate_keys(spark):
     right = spark.createDataFrame([("a", 1)], "business_id string, y int")
     with pytest.raises(Exception, match="duplicate join key"):
         joins.join_features(left, right).collect()
+
+
+def test_pivot_indicators(spark):
+    long = spark.createDataFrame([("b1", "cat_tea", 1), ("b1", "cat_bar", 1), ("b2", "cat_tea", 1), ("b3", "cat_else", 1)], "business_id string, cat_key string, flag int")
+    wide = features.pivot_indicators(long, "business_id", "cat_key", "flag", ["cat_bar", "cat_tea"])
+    assert sorted(tuple(r) for r in wide.collect()) == [("b1", 1, 1), ("b2", 0, 1), ("b3", 0, 0)]
