@@ -18,6 +18,9 @@ from placelens.operators.modeling import model_columns
 from placelens.operators.query_log import trim_space
 from placelens.operators.spatial import convex_hull, inside_ring, score_sites_features
 
+# Characters of an index entry; stems are as long.
+GRAM = 4
+
 
 def category_keys(places: DataFrame, slices: Sequence[str] = ("city", "state")) -> DataFrame:
     """Category keys in use per slice."""
@@ -25,12 +28,14 @@ def category_keys(places: DataFrame, slices: Sequence[str] = ("city", "state"))
     return places.select(*slices, keys).distinct()
 
 
+def _request_words(q: Column) -> Column:
+    return F.filter(F.split(q, "[^a-z0-9&]+"), lambda t: (F.length(t) >= 2) & ~t.isin("or", "and", "the", "a", "an"))
+
+
 def _phrase_score(q: Column, p: Column) -> Column:
     """How well a lowered phrase names a label: exact, prefix, substring, words, stems."""
     n = F.length(q)
-    words = F.filter(
-        F.split(q, "[^a-z0-9&]+"), lambda t: (F.length(t) >= 2) & ~t.isin("or", "and", "the", "a", "an")
-    )
+    words = _request_words(q)
     label_words = F.filter(F.split(p, "[^a-z0-9&]+"), lambda w: w != "")
     spaced = F.filter(F.split(F.replace(p, F.lit("&"), F.lit(" ")), r"\s+"), lambda w: w != "")
     hits = F.size(
@@ -54,30 +59,91 @@ def _phrase_score(q: Column, p: Column) -> Column:
     )
 
 
+def _key_forms(key: Column) -> tuple[Column, Column]:
+    """A key as a label with spaces and as it is written."""
+    bare = F.lower(F.regexp_replace(key, "^cat_", ""))
+    return F.replace(bare, F.lit("_"), F.lit(" ")), bare
+
+
+def _alias_in_text(low: Column, phrase: str) -> Column:
+    return low.contains(phrase) if " " in phrase else low.rlike(f"(?<![a-z0-9]){re.escape(phrase)}(?![a-z0-9])")
+
+
+def _alias_in_key(label: Column, bare: Column, words: Sequence[str]) -> Column:
+    return any_of([label.contains(w) | bare.contains(w) for w in words])
+
+
 def score_category_match(text: Column, key: Column) -> Column:
     """Score of a request text against a category key, lifted to 90 by an alias phrase."""
-    bare = F.lower(F.regexp_replace(key, "^cat_", ""))
-    label = F.replace(bare, F.lit("_"), F.lit(" "))
+    label, bare = _key_forms(key)
     low = F.lower(text)
     q = trim_space(low)
     scores = [_phrase_score(q, trim_space(label)), _phrase_score(q, trim_space(bare))]
-    lifted = []
-    for phrase, words in CATEGORY_ALIASES:
-        hit = low.contains(phrase) if " " in phrase else low.rlike(f"(?<![a-z0-9]){re.escape(phrase)}(?![a-z0-9])")
-        lifted.append(hit & any_of([label.contains(w) | bare.contains(w) for w in words]))
+    lifted = [_alias_in_text(low, phrase) & _alias_in_key(label, bare, words) for phrase, words in CATEGORY_ALIASES]
     return F.greatest(*scores, F.when(any_of(lifted), 90.0).otherwise(0.0))
 
 
+def _grams(s: Column, n: int) -> Column:
+    """All substrings of n characters."""
+    at = F.sequence(F.lit(1), F.length(s) - n + 1)
+    return F.when(F.length(s) >= n, F.transform(at, lambda i: s.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def _entries(kind: str, grams: Column) -> Column:
+    return F.transform(grams, lambda g: F.concat(F.lit(kind), g))
+
+
+def _key_entries(key: Column) -> Column:
+    """Index entries of a key: what it contains, how it begins, the aliases that stand for it."""
+    label, bare = _key_forms(key)
+    parts = []
+    for p in (trim_space(label), trim_space(bare)):
+        parts += [_entries("in:", _grams(p, n)) for n in range(2, GRAM + 1)]
+        parts.append(F.when(p != "", F.array(F.concat(F.lit("head:"), F.substring(p, 1, GRAM)))).otherwise(F.array().cast("array<string>")))
+    aliases = [F.when(_alias_in_key(label, bare, words), F.lit(f"alias:{i}")) for i, (_, words) in enumerate(CATEGORY_ALIASES)]
+    return F.array_distinct(F.concat(*parts, F.array_compact(F.array(*aliases))))
+
+
+def _text_entries(text: Column) -> Column:
+    """Entries of which a key has to have one to score above 0.
+
+    A key that contains the text or a word of it, or has a word with its stem, contains the first ``GRAM`` characters
+    of the text or of that word. A key inside the text begins with one of its substrings. The rest are alias phrases.
+    """
+    low = F.lower(text)
+    q = trim_space(low)
+    begins = F.filter(F.concat(F.array(q), _request_words(q)), lambda t: F.length(t) >= 2)
+    parts = [_entries("in:", F.transform(begins, lambda t: F.substring(t, 1, GRAM)))]
+    parts += [_entries("head:", _grams(q, n)) for n in range(1, GRAM + 1)]
+    aliases = [F.when(_alias_in_text(low, phrase), F.lit(f"alias:{i}")) for i, (phrase, _) in enumerate(CATEGORY_ALIASES)]
+    return F.array_distinct(F.concat(*parts, F.array_compact(F.array(*aliases))))
+
+
+def candidate_keys(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Pairs (chunk_id, cat_key) that share an index entry; all pairs with a score above 0 are among them.
+
+    ``texts`` has (chunk_id, chunk), ``keys`` distinct values of cat_key. Entries travel with ids, not with texts.
+    """
+    index = keys.select("cat_key", F.explode(_key_entries(F.col("cat_key"))).alias("entry"))
+    probes = texts.select("chunk_id", F.explode(_text_entries(F.col("chunk"))).alias("entry"))
+    return probes.join(index, "entry").select("chunk_id", "cat_key").distinct()
+
+
 def _scored(requests: DataFrame, keys: DataFrame, chunks: Column, slices: Sequence[str]) -> DataFrame:
-    """Best score of each distinct (slice, text) against the keys of its slice."""
+    """Best score above 0 of each distinct (slice, text) with the keys of its slice.
+
+    Each distinct chunk is looked up and scored once for all slices that ask for it.
+    """
     slices = list(slices)
-    # The keys of a slice are a vocabulary, not data rows.
-    vocabulary = keys.groupBy(*slices).agg(F.collect_set("cat_key").alias("keys"))
+    used = keys.select(*slices, "cat_key").distinct()
     texts = requests.select(*slices, "text").distinct().where(trim_space(F.col("text")) != "")
-    rows = texts.join(vocabulary, slices).select(*slices, "text", F.explode(chunks).alias("chunk"), "keys")
-    rows = rows.select(*slices, "text", "chunk", F.explode("keys").alias("cat_key"))
+    asked = texts.select(*slices, "text", F.explode(chunks).alias("chunk")).withColumn("chunk_id", F.sha2("chunk", 256))
+    distinct = asked.select("chunk_id", "chunk").dropDuplicates(["chunk_id"])
+    pairs = candidate_keys(distinct, used.select("cat_key").distinct()).join(distinct, "chunk_id")
     score = score_category_match(F.col("chunk"), F.col("cat_key"))
-    return rows.groupBy(*slices, "text", "cat_key").agg(F.max(score).alias("score"))
+    hits = pairs.select("chunk_id", "cat_key", score.alias("score")).where(F.col("score") > 0)
+    rows = asked.drop("chunk").join(hits, "chunk_id").join(used, [*slices, "cat_key"])
+    return rows.groupBy(*slices, "text", "cat_key").agg(F.max("score").alias("score"))
 
 
 def _collapse(text: Column) -> Column:
@@ -119,16 +185,19 @@ def suggest_categories(
     """The n best keys scoring 8 or more; else listed fallbacks in use; else the first keys by name."""
     slices = list(slices)
     scored = _scored(requests, keys, F.array(_collapse(trim_space(F.col("text")))), slices)
-    hits = scored.where(F.col("score") >= 8).withColumn("tier", F.lit(0))
-    order = F.coalesce(F.nullif(F.array_position(F.lit(CATEGORY_FALLBACKS), F.col("cat_key")), F.lit(0)), F.lit(999))
-    spare = scored.where(F.col("score") < 8).withColumn("tier", F.when(order < 999, 1).otherwise(2))
-    rows = hits.unionByName(spare).withColumn("place", F.when(F.col("tier") == 1, order).otherwise(F.lit(0)))
-    sort = [F.asc("tier"), F.asc("place"), F.desc(F.when(F.col("tier") == 0, F.col("score"))), F.asc("cat_key")]
-    ranked = top_per_group(rows, [*slices, "text"], sort, n)
-    # A text is served from one tier only, the best one it has.
-    best = ranked.groupBy(*slices, "text").agg(F.min("tier").alias("best_tier"))
-    kept = ranked.join(best, [*slices, "text"]).where(F.col("tier") == F.col("best_tier"))
-    return requests.join(kept.select(*slices, "text", "rank", "cat_key"), [*slices, "text"])
+    hits = scored.where(F.col("score") >= 8)
+    order = [F.desc("score"), F.asc("cat_key")]
+    best = top_per_group(hits, [*slices, "text"], order, n).select(*slices, "text", "rank", "cat_key")
+    place = F.coalesce(F.nullif(F.array_position(F.lit(CATEGORY_FALLBACKS), F.col("cat_key")), F.lit(0)), F.lit(999))
+    used = keys.select(*slices, "cat_key").distinct().withColumn("place", place)
+    spare = top_per_group(used, slices, [F.asc("place"), F.asc("cat_key")], n)
+    # A slice with a listed fallback in use offers nothing else; its first row is one then.
+    listed = spare.where((F.col("rank") == 1) & (F.col("place") < 999)).select(*slices, F.lit(True).alias("listed"))
+    spare = spare.join(listed, slices, "left").where(F.col("listed").isNull() | (F.col("place") < 999))
+    texts = requests.select(*slices, "text").distinct().where(trim_space(F.col("text")) != "")
+    missed = texts.join(best.select(*slices, "text"), [*slices, "text"], "left_anti")
+    kept = best.unionByName(missed.join(spare, slices).select(*slices, "text", "rank", "cat_key"))
+    return requests.join(kept, [*slices, "text"])
 
 
 def feature_aliases(df: DataFrame) -> DataFrame:
