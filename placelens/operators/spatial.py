@@ -9,12 +9,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placelens.functions.columns import category_set, haversine_km, safe_double
+from placelens.functions.columns import EARTH_RADIUS_KM, any_of, category_set, haversine_km, safe_double
 from placelens.functions.frames import salted_join, top_per_group
 from placelens.functions.grid import home_cell, nearby_cells
 from placelens.operators.vectors import set_top_k
+from placelens.session import cut
 
 RADII = (0.5, 1.0, 3.0)
+SPOT = ["slice", "latitude", "longitude"]
+MEASURES = ("n", "stars", "open", "n_stars", "n_open")
+# Cells of ring sums: so many to the largest radius, none larger than this, and none beyond this latitude.
+CELLS_PER_RADIUS = 32
+MAX_CELL_KM = 10.0
+CELL_LATITUDE = 80
 
 
 def with_point(df: DataFrame) -> DataFrame:
@@ -55,10 +62,7 @@ def _slice(by: str | None) -> Column:
 
 
 def reference_profiles(ref: DataFrame, by: str | None = None) -> DataFrame:
-    """Places that share coordinates and category set, as one row with their count and sums.
-
-    Stars and is_open are set in cleaned place tables; a missing value would count as 0.
-    """
+    """Places that share coordinates and category set, as one row with their count, sums and numbers of known values."""
     rows = with_point(ref).select(
         _slice(by), "latitude", "longitude", category_set(F.col("categories")).alias("cats"), "stars", "is_open"
     )
@@ -66,6 +70,8 @@ def reference_profiles(ref: DataFrame, by: str | None = None) -> DataFrame:
         F.count("*").alias("n"),
         F.expr("coalesce(sum(double(stars)), 0D) AS stars"),
         F.expr("coalesce(sum(double(is_open)), 0D) AS open"),
+        F.expr("count(double(stars)) AS n_stars"),
+        F.expr("count(double(is_open)) AS n_open"),
     )
 
 
@@ -90,13 +96,13 @@ def neighbour_totals(
     pairs = radius_join(profiles, near, max(radii)).where("slice = ref_slice")
     own = "latitude = ref_latitude AND longitude = ref_longitude AND cats = ref_cats"
     pairs = pairs.selectExpr(
-        *key, "ref_cats", "distance_km", "n", "stars", "open", "arrays_overlap(cats, ref_cats) AS same", f"{own} AS own"
+        *key, "ref_cats", "distance_km", *MEASURES, "arrays_overlap(cats, ref_cats) AS same", f"{own} AS own"
     )
     sums = {
         f"{scope}_{m}_{_tag(r)}": f"if(distance_km <= {float(r)}D{' AND same' if scope == 'same' else ''}, {m}, 0)"
         for r in radii
         for scope in ("all", "same")
-        for m in ("n", "stars", "open")
+        for m in MEASURES
     }
     # The sums of a neighbour ride on its first category, so one pass over the pairs serves both.
     opened = pairs.select("*", F.posexplode_outer("ref_cats").alias("pos", "cat"))
@@ -131,6 +137,29 @@ def with_global_means(df: DataFrame, ref: DataFrame, by: str | None = None) -> D
     return df.withColumns({c: means.select(c).scalar() for c in ("global_stars", "global_open")})
 
 
+def _target_rows(targets: DataFrame, key: str, exclude_self: bool, by: str | None) -> DataFrame:
+    own = [F.expr("double(stars) AS own_stars"), F.expr("double(is_open) AS own_open")] if exclude_self else []
+    return with_point(targets).select(key, _slice(by), "latitude", "longitude", category_set(F.col("categories")).alias("cats"), *own)
+
+
+def _ring_columns(scope: str, r: float, exclude_self: bool) -> list[str]:
+    """Count and means of one radius from its totals, less the row's own share; missing values enter no mean."""
+    mine = {"n": "1", "stars": "coalesce(own_stars, 0)", "open": "coalesce(own_open, 0)", "n_stars": "int(own_stars IS NOT NULL)", "n_open": "int(own_open IS NOT NULL)"}
+
+    def total(m: str) -> str:
+        known = f"coalesce(`{scope}_{m}_{_tag(r)}`, 0)"
+        if not exclude_self:
+            return known
+        return f"({known} - {mine[m] if scope == 'all' else f'if(size(cats) > 0, {mine[m]}, 0)'})"
+
+    end = f"{'all' if scope == 'all' else 'same_cat'}_{_tag(r)}"
+    means = [
+        f"if({total(f'n_{m}')} > 0, {total(m)} / {total(f'n_{m}')}, global_{m}) AS `{label}_{end}`"
+        for m, label in (("stars", "avg_rating"), ("open", "survival"))
+    ]
+    return [f"bigint({total('n')}) AS `count_{end}`", *means]
+
+
 def competition_features(
     targets: DataFrame,
     ref: DataFrame,
@@ -146,33 +175,14 @@ def competition_features(
     neighbour is left the means are those of the whole reference set and the distance is the largest radius.
     With ``by`` only places of the target's own slice count, for neighbours and for those means.
     """
-    rows = with_point(targets).select(
-        key,
-        _slice(by),
-        "latitude",
-        "longitude",
-        category_set(F.col("categories")).alias("cats"),
-        *([F.expr("double(stars) AS own_stars"), F.expr("double(is_open) AS own_open")] if exclude_self else []),
-    )
+    rows = _target_rows(targets, key, exclude_self, by)
     totals = neighbour_totals(targets, ref, radii, by)
     joined = rows.join(totals, ["slice", "latitude", "longitude", "cats"], "left")
     joined = with_global_means(joined, ref, by)
-
-    def total(scope: str, m: str, r: float) -> str:
-        known = f"coalesce(`{scope}_{m}_{_tag(r)}`, 0)"
-        if not exclude_self:
-            return known
-        mine = {"n": "1", "stars": "own_stars", "open": "own_open"}[m]
-        return f"({known} - {mine if scope == 'all' else f'if(size(cats) > 0, {mine}, 0)'})"
-
     out = []
     for r in radii:
         t = _tag(r)
-        for scope, suffix in (("all", "all"), ("same", "same_cat")):
-            n = total(scope, "n", r)
-            out.append(f"bigint({n}) AS `count_{suffix}_{t}`")
-            for m, label in (("stars", "avg_rating"), ("open", "survival")):
-                out.append(f"if({n} > 0, {total(scope, m, r)} / {n}, global_{m}) AS `{label}_{suffix}_{t}`")
+        out += _ring_columns("all", r, exclude_self) + _ring_columns("same", r, exclude_self)
         kinds = f"if(own_n >= 2, `cats_any_{t}`, `cats_other_{t}`)" if exclude_self else f"`cats_any_{t}`"
         out.append(f"coalesce({kinds}, 0) AS `diversity_{t}`")
     twins = 2 if exclude_self else 1
@@ -185,9 +195,90 @@ def _pick(df: DataFrame, key: str, prefixes: Sequence[str]) -> DataFrame:
     return df.select(key, *[F.col(f"`{c}`") for c in names])
 
 
+def _cells(spots: DataFrame, cell_km: float) -> DataFrame:
+    """Positions with ``node``, the small cell of their slice they lie in.
+
+    Up to ``CELL_LATITUDE`` degrees cells are about as wide as they are high; beyond, every position is its own node.
+    """
+    polar = F.abs("latitude") > CELL_LATITUDE
+    alone = [F.when(polar, F.col(c)).otherwise(0.0).alias(f"polar_{c}") for c in ("latitude", "longitude")]
+    cell = home_cell("latitude", "longitude", cell_km).alias("cell")
+    return spots.where(F.col("slice").isNotNull()).withColumn("node", F.struct("slice", cell, *alone))
+
+
+def _node_table(spots: DataFrame, sums: Sequence[str] = ()) -> DataFrame:
+    """Middle, reach and totals of each node. No member is farther from the middle than the reach: half the height
+    along a meridian and half the width along the widest parallel lead there."""
+    lon = F.pmod(F.col("longitude") + 180.0, F.lit(360.0)) - 180.0
+    box = spots.groupBy("node").agg(
+        F.min("latitude").alias("south"), F.max("latitude").alias("north"), F.min(lon).alias("west"), F.max(lon).alias("east"),
+        F.min(F.abs("latitude")).alias("inner"), *[F.sum(m).alias(m) for m in sums],
+    )
+    widest = "cos(radians(if(south < 0 AND north > 0, 0D, inner)))"
+    reach = F.expr(f"{EARTH_RADIUS_KM}D * (radians(north - south) + {widest} * radians(east - west)) / 2")
+    one = F.expr("south = north AND west = east")
+    return box.select(
+        "node", F.expr("(south + north) / 2 AS latitude"), F.expr("(west + east) / 2 AS longitude"),
+        F.when(one, 0.0).otherwise(reach * (1 + 1e-6) + 1e-6).alias("reach"), *sums,
+    )
+
+
+def _settle(pairs: DataFrame, slack: Column, radii: Sequence[float]) -> DataFrame:
+    """Which radii a pair is wholly inside of (``in_i``) and for which it has to be looked at closer (``open_i``)."""
+    d = haversine_km(F.col("latitude"), F.col("longitude"), F.col("ref_latitude"), F.col("ref_longitude"))
+    pairs = pairs.withColumns({"d": d, "slack": slack})
+    inside = {f"in_{i}": F.col(f"open_{i}") & (F.col("d") + F.col("slack") <= float(r)) for i, r in enumerate(radii)}
+    border = {f"open_{i}": F.col(f"open_{i}") & ~F.col(f"in_{i}") & (F.col("d") - F.col("slack") <= float(r)) for i, r in enumerate(radii)}
+    return pairs.withColumns(inside).withColumns(border).drop("d", "slack")
+
+
+def _inside_sums(pairs: DataFrame, keys: Sequence[str], radii: Sequence[float]) -> DataFrame:
+    any_in = any_of([F.col(f"in_{i}") for i in range(len(radii))])
+    return pairs.where(any_in).groupBy(*keys).agg(
+        *[F.sum(F.when(F.col(f"in_{i}"), F.col(m)).otherwise(0)).alias(f"all_{m}_{_tag(r)}") for i, r in enumerate(radii) for m in MEASURES]
+    )
+
+
+def ring_steps(
+    targets: DataFrame, ref: DataFrame, radii: Sequence[float] = RADII, by: str | None = None
+) -> tuple[DataFrame, list[tuple[DataFrame, list[str]]]]:
+    """Target positions, and the pairs that each step of ``ring_totals`` looks at with the keys they are added up by."""
+    cell_km = min(max(radii) / CELLS_PER_RADIUS, MAX_CELL_KM)
+    spots = cut(_cells(with_point(targets).select(_slice(by), *SPOT[1:]).distinct(), cell_km))
+    places = reference_profiles(ref, by).groupBy(*SPOT).agg(*[F.sum(m).alias(m) for m in MEASURES])
+    places = cut(_cells(places, cell_km))
+    borders = [f"open_{i}" for i in range(len(radii))]
+    undecided = any_of([F.col(c) for c in borders])
+    nodes = _node_table(places, MEASURES).withColumnsRenamed({"node": "ref_node", "reach": "ref_reach"})
+    # Reaches are below 1.25 cells.
+    near = radius_join(_node_table(spots), nodes, max(radii) + 2.5 * cell_km).where("node.slice = ref_node.slice")
+    first = _settle(near.withColumns({c: F.lit(True) for c in borders}), F.col("reach") + F.col("ref_reach"), radii)
+    rest = cut(first.where(undecided).select("node", "ref_node", "ref_latitude", "ref_longitude", "ref_reach", *MEASURES, *borders))
+    second = _settle(salted_join(rest, spots, "node"), F.col("ref_reach"), radii)
+    rest = second.where(undecided).select("ref_node", *SPOT, *borders)
+    members = places.drop("slice").withColumnsRenamed({"node": "ref_node", "latitude": "ref_latitude", "longitude": "ref_longitude"})
+    third = _settle(salted_join(rest, members, "ref_node"), F.lit(0.0), radii)
+    return spots, [(first, ["node"]), (second, SPOT), (third, SPOT)]
+
+
+def ring_totals(targets: DataFrame, ref: DataFrame, radii: Sequence[float] = RADII, by: str | None = None) -> DataFrame:
+    """Counts and sums of the places within each radius of every distinct target position.
+
+    Cells are small against the radius. A pair of cells that lies wholly inside a ring adds the total of one to
+    all members of the other; pairs on a border are looked at target by target, and only cells on the border of
+    a target's own ring point by point. A spot where most places lie costs one pair per cell.
+    """
+    spots, steps = ring_steps(targets, ref, radii, by)
+    cells, *single = [_inside_sums(pairs, keys, radii) for pairs, keys in steps]
+    rows = salted_join(cells, spots, "node").drop("node")
+    for part in single:
+        rows = rows.unionByName(part)
+    return rows.groupBy(*SPOT).agg(*[F.sum(f"`{c}`").alias(c) for c in rows.columns if c not in SPOT])
+
+
 def ring_stats(targets: DataFrame, ref: DataFrame, key: str = "business_id", exclude_self: bool = False) -> DataFrame:
-    full = competition_features(targets, ref, key, RADII, exclude_self)
-    return _pick(full, key, ["count_all_", "avg_rating_all_", "survival_all_"])
+    rows = _target_rows(targets, key, exclude_self, None).join(ring_totals(targets, ref), SPOT, "left")
+    return with_global_means(rows, ref).selectExpr(key, *[c for r in RADII for c in _ring_columns("all", r, exclude_self)])
 
 
 def ring_diversity(targets: DataFrame, ref: DataFrame, key: str = "business_id", exclude_self: bool = False) -> DataFrame:

@@ -179,3 +179,45 @@ def test_best_sets_against_all_pairs_and_pairs_compared(spark):
                 assert sorted(found) == scores[:3]
             assert len(got) == queries.distinct().count()
     assert compared[1] < 2 * compared[0]
+
+
+RING_SCHEMA = "business_id long, latitude double, longitude double, categories string, stars double, is_open int"
+
+
+def _ring_places(points, seed):
+    rng = random.Random(seed)
+    return [(i, a, o, "Pizza", rng.choice([1.0, 2.5, 4.0, None]), rng.choice([0, 1, None])) for i, a, o in points]
+
+
+@pytest.mark.parametrize("lat,lon,spread", [(40, -75, 0.05), (0, 180, 0.03), (79.99, 10, 0.1), (89.98, 0, 0.05), (-60, 30, 0.004)])
+def test_ring_sums_equal_brute_force(spark, lat, lon, spread):
+    places = _ring_places(cloud(260, lat, lon, spread, 4), 5)
+    lat, lon = float(lat), float(lon)
+    places += [(300, lat, lon, None, 3.0, 1), (301, lat, lon, "Bar", None, None), (302, None, lon, "Bar", 1.0, 1)]
+    got = {r["business_id"]: r.asDict() for r in spatial.ring_stats(*[spark.createDataFrame(places, RING_SCHEMA)] * 2, exclude_self=True).collect()}
+    usable = [p for p in places if p[1] is not None]
+    assert set(got) == {p[0] for p in usable}
+    mean = lambda xs: sum(xs) / len(xs)
+    known = lambda rows, c: [p[c] for p in rows if p[c] is not None]
+    for me in usable:
+        for r in (0.5, 1.0, 3.0):
+            near = [p for p in usable if p[0] != me[0] and km(me[1:3], p[1:3]) <= r]
+            row = got[me[0]]
+            assert row[f"count_all_{r}km"] == len(near)
+            for c, name in ((4, "avg_rating"), (5, "survival")):
+                want = mean(known(near, c) or known(places, c))
+                assert row[f"{name}_all_{r}km"] == pytest.approx(want, abs=1e-9)
+
+
+def test_pairs_of_ring_sums_with_most_places_in_one_cell(spark):
+    """Four times the places in one cell of a town: pairs of cells stay, all pairs grow in step with the places."""
+    pairs = []
+    for n in (400, 1600):
+        points = cloud(n, 40.0003, -75.0003, 0.0002, 6) + [(n + i, a, o) for i, a, o in cloud(100, 40, -75, 0.02, 7)]
+        places = spark.createDataFrame(_ring_places(points, 8), RING_SCHEMA)
+        _, steps = spatial.ring_steps(places, places)
+        pairs.append([rows.count() for rows, _ in steps])
+    # Pairs of cells stay; the places of the dense cell are looked at one by one only where a ring's border meets it.
+    assert abs(pairs[0][0] - pairs[1][0]) <= 0.1 * pairs[0][0]
+    assert sum(pairs[1]) < 0.05 * 1700 * 1700
+    assert sum(pairs[1]) < 5 * sum(pairs[0])
