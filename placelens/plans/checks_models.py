@@ -454,11 +454,11 @@ def suggest(spark, sf):
 
 @check("st1_check_sites", with_views("places", """SELECT s.business_id AS site_id, coalesce(n, 0) AS reference_rows, CASE WHEN coalesce(n, 0) < 10 THEN 'too few reference places'
  WHEN EXISTS (SELECT 1 FROM (SELECT unnest(s.cats) AS c) WHERE c NOT IN (SELECT u.c FROM used u WHERE u.city = s.city)) THEN 'unknown category' END AS reject_reason
- FROM sites s LEFT JOIN (SELECT city, count(*) AS n FROM places WHERE city <> 'Tucson' OR latitude < 32.105 GROUP BY 1) r USING (city)""", SITES_SQL + """,
- used AS (SELECT DISTINCT city, trim(unnest(string_split(categories, ','))) AS c FROM places WHERE city <> 'Tucson' OR latitude < 32.105)"""))
+ FROM sites s LEFT JOIN (SELECT city, count(*) AS n FROM places GROUP BY 1) r USING (city)""", SITES_SQL + """,
+ used AS (SELECT DISTINCT city, trim(unnest(string_split(categories, ','))) AS c FROM places)"""))
 def check_sites(spark, sf):
     slice_of = F.concat_ws("|", F.lower("city"), "state")
-    ref = v.places(spark, sf).where("city <> 'Tucson' OR latitude < 32.105").withColumn("slice", slice_of)
+    ref = v.places(spark, sf).withColumn("slice", slice_of)
     rows = sites.check_sites(site_table(spark, sf).withColumn("slice", slice_of), ref)
     return rows.select("site_id", "reference_rows", "reject_reason")
 

@@ -74,3 +74,14 @@ def test_no_rows(spark):
     for call in (sites.resolve_categories, sites.suggest_categories):
         assert call(_requests(spark, []), keys).count() == 0
         assert call(_requests(spark, [(1, "a", "s", "pizza")]), keys).count() == 0
+
+
+def test_sites_are_rejected_with_a_reason(spark):
+    ref = spark.createDataFrame([("big", "Tea, Bars")] * 10 + [("small", "Tea")] * 9, "slice string, categories string")
+    asked = [(1, "big", "Tea"), (2, "big", "Tea, Pizza"), (3, "small", "Tea"), (4, "none", "Pizza"), (5, "big", None), (6, None, "Tea"), (7, "big", "")]
+    rows = sites.check_sites(spark.createDataFrame(asked, "site_id int, slice string, categories string"), ref).collect()
+    few = "too few reference places"
+    got = {r["site_id"]: (r["reference_rows"], r["reject_reason"]) for r in rows}
+    assert got == {1: (10, None), 2: (10, "unknown category"), 3: (9, few), 4: (0, few), 5: (10, None), 6: (0, few), 7: (10, None)}
+    assert len(rows) == len(asked)
+    assert all(r["reject_reason"] is None for r in sites.check_sites(spark.createDataFrame(asked[:1], "site_id int, slice string, categories string"), ref, 10).collect())
