@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from placelens.functions.lexicons import ARMS, INTENTS
 from placelens.operators import policy, query_log
 from placelens.session import shared_folder
-from placelens.streaming.policy_stream import QStateStream
+from placelens.streaming.policy_stream import QStateStream, feedback_log_sink
 
 EVENTS = "event_id long, ts timestamp, intent string, arm string, reward double, query_text string"
 
@@ -112,6 +112,30 @@ def test_stream_in_batches_equals_batch_and_counts_late_events(spark):
     assert job.late_events(spark, last).first()["late_events"] == 1
 
 
+def test_feedback_log_keeps_every_row_once_across_restarts(spark):
+    """Each start takes the files that came since the last one; rows of earlier runs are not written again."""
+    folder = shared_folder(spark, "log")
+    rows = make_events(90) + [(90, None, None, None, None, None)]
+
+    def arrive(part):
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(f"{folder}/events")
+
+    def run():
+        events = spark.readStream.schema(EVENTS).parquet(f"{folder}/events")
+        query = feedback_log_sink(events, f"{folder}/out", f"{folder}/progress")
+        assert query.awaitTermination(120)
+
+    key = lambda r: r[0]
+    seen = []
+    for part in (rows[:50], rows[50:], []):
+        if part:
+            arrive(part)
+        seen += part
+        run()
+        got = [tuple(r) for r in spark.read.schema(EVENTS).parquet(f"{folder}/out").collect()]
+        assert sorted(got, key=key) == sorted(seen, key=key)
+
+
 def test_replay_settings_run_side_by_side(spark):
     rng = random.Random(9)
     log = [(i, rng.choice(INTENTS), rng.choice(ARMS), rng.randint(0, 1)) for i in range(900)]
