@@ -105,3 +105,20 @@ def test_pivot_indicators(spark):
     long = spark.createDataFrame([("b1", "cat_tea", 1), ("b1", "cat_bar", 1), ("b2", "cat_tea", 1), ("b3", "cat_else", 1)], "business_id string, cat_key string, flag int")
     wide = features.pivot_indicators(long, "business_id", "cat_key", "flag", ["cat_bar", "cat_tea"])
     assert sorted(tuple(r) for r in wide.collect()) == [("b1", 1, 1), ("b2", 0, 1), ("b3", 0, 0)]
+
+
+def test_attribute_values_are_not_broadcast(spark, tmp_path):
+    """The estimate for opened attributes is that of a small file, whatever they unfold to."""
+    rows = [(f"b{i % 6}", "{'HasTV': 'True', 'WiFi': \"u'free'\"}" if i % 3 else None) for i in range(8)] + [(None, "{'HasTV': 'True'}")]
+    spark.createDataFrame(rows, "business_id string, attributes string").write.parquet(str(tmp_path / "places"))
+    places = spark.read.parquet(str(tmp_path / "places"))
+    flat = features.flatten_attributes(places)
+    filled = features.fill_attributes(places, flat, ["attr_hastv", "attr_wifi"])
+    dummies = features.categorical_dummies(places, flat, ["attr_wifi", "attr_none"])
+    for df in (filled, dummies):
+        joins = [line for line in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join [business_id" in line]
+        assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+    plain = places.selectExpr("business_id", "explode(array('attr_hastv', 'attr_wifi')) AS attr_key").join(flat, ["business_id", "attr_key"], "left")
+    expected = plain.selectExpr("business_id", "attr_key", "coalesce(value, '0')")
+    assert sorted(map(str, filled.collect())) == sorted(map(str, expected.toDF(*filled.columns).collect()))
+    assert {r["dummy"] for r in dummies.collect()} == {"attr_wifi_free", "attr_wifi_unknown"}
