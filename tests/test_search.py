@@ -35,6 +35,32 @@ def test_tfidf_equals_plain_python(spark):
             assert got[(i, t)] == pytest.approx(x / norm)
 
 
+def test_index_blocks_follow_the_text_and_keep_ids_whole(spark, monkeypatch):
+    """Tasks hold a bounded amount of text; rows that share an id, or have none, are one document, kept or not."""
+    rows = [(i % 40 if i % 50 else None, f"w{i % 7} w{i % 3} und w{i % 11}") for i in range(120)] + [(3, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    plain = retrieval.fit_tfidf(docs, stopwords=["und"])
+    monkeypatch.setattr(retrieval, "TEXT_BLOCK", 100)
+    many, kept = retrieval.fit_tfidf(docs, stopwords=["und"]), retrieval.fit_tfidf(docs, stopwords=["und"], cut=True)
+    assert many.postings.rdd.getNumPartitions() == -(-sum(len(t or "") for _, t in rows) // 100)
+    whole = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else str(x) for x in r) for r in df.collect())
+    texts = collections.defaultdict(collections.Counter)
+    for i, t in rows:
+        words = [w for w in (t or "").split() if w != "und"]
+        texts[i].update(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+    df = collections.Counter(t for c in texts.values() for t in c)
+    idf = {t: math.log((len(rows) + 1) / (n + 1)) + 1 for t, n in df.items()}
+    norm = {i: math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items())) for i, c in texts.items()}
+    expected = sorted((str(i), t, round(n * idf[t] / norm[i], 9)) for i, c in texts.items() for t, n in c.items())
+    for index in (plain, many, kept):
+        assert whole(index.postings) == expected
+        assert whole(index.vocabulary) == sorted((t, round(x, 9)) for t, x in idf.items())
+    capped = [retrieval.fit_tfidf(docs, max_features=5, stopwords=["und"], cut=c) for c in (False, True)]
+    assert whole(capped[0].postings) == whole(capped[1].postings) and len(whole(capped[0].vocabulary)) == 5
+    rare = [retrieval.fit_tfidf(docs, min_df=9, stopwords=["und"], cut=c).vocabulary.count() for c in (False, True)]
+    assert rare == [sum(n >= 9 for n in df.values())] * 2
+
+
 def test_vocabulary_cap_takes_most_frequent_then_alphabetical(spark):
     index = retrieval.fit_tfidf(spark.createDataFrame(DOCS, "doc_id int, text string"), max_features=4, stopwords=[])
     assert {r["term"] for r in index.vocabulary.collect()} == {"noodles", "pizza", "thai", "curry"}
