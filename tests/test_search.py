@@ -184,3 +184,15 @@ def test_split_is_stable_and_disjoint(spark):
     a = modeling.split_rows(df, {"train": 0.6, "val": 0.2, "test": 0.2})
     b = modeling.split_rows(df.repartition(5), {"train": 0.6, "val": 0.2, "test": 0.2})
     assert a.exceptAll(b).count() == 0 and modeling.split_overlap(a.union(b)).count() == 0
+
+
+def test_texts_are_split_once_for_words_and_pairs(spark):
+    """The pairs name the words several times; each name would split the text again. Null and short texts stay whole."""
+    docs = spark.createDataFrame([(1, "Spicy noodles, spicy noodles"), (1, "noodles"), (2, None), (None, "it")], "doc_id int, text string")
+    themes = text_signals.extract_themes(docs, ["doc_id"])
+    counts = retrieval._block_counts(docs, 2, ["und"], 2)
+    for df in (themes, counts):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    assert {tuple(r) for r in themes.collect()} == {(1, "noodles", 3, 1), (1, "spicy", 2, 2), (1, "spicy noodles", 2, 3), (1, "noodles spicy", 1, 4)}
+    single = retrieval._block_counts(docs, 2, ["und"], 1)
+    assert {(r["doc_id"], r["term"], r["tf"]) for r in single.collect()} == {(1, "spicy", 2), (1, "noodles", 3), (None, "it", 1)}
