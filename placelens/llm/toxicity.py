@@ -1,10 +1,9 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over whole texts through a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over whole texts through matrices and postings.
 
 A bounded sample of labelled texts (``MAX_EXAMPLES`` per label) gives the examples, which are indexed with all their
 terms; document frequencies are counted over all documents. Terms that go with the label beyond chance weigh
-``STRESS`` times as much. Every document looks up its nearest examples; only blocks of examples whose upper bound
-reaches the result are scored. The norm of a document is taken over all its terms: those that no example has are
-counted and joined as a table. Votes are weighted by cosine and calibrated on the examples, each scored without itself.
+``STRESS`` times as much. Every document looks up its nearest examples in an exact search. The
+norm of a document is taken over all its terms: those that no example has are counted and joined as a table. Votes are weighted by cosine and calibrated on the examples, each scored without itself.
 
 Null text counts as empty; a text without neighbours has the share of toxic ones among the examples without stressed
 terms as its vote. Repeated rows are scored alike. Extra columns are not read. Without labels every score is 0.
@@ -33,11 +32,13 @@ LEAST_SEEN = 3
 LEAST_RATIO = 4.0
 PREFIXES = (4, 5)
 NEIGHBOURS = 15
-BLOCK = 64
-# Terms of this share of the examples are scored as a matrix, others through their postings.
-COMMON = 0.1
-FIRST_BLOCKS = 4
-BATCH = 128
+# Examples are searched in so many groups, found in so many rounds. Terms of this share of the examples of a group are
+# scored as a matrix, others through their postings.
+GROUPS = 6
+ROUNDS = 5
+COMMON = 0.08
+WHOLE_TILE = 0.7
+BATCH = 512
 THRESHOLD = 0.7
 SMOOTH = 0.05
 
@@ -61,11 +62,11 @@ class Terms:
     Terms are words and, so that forms of one stem count together, the first ``PREFIXES`` bytes of longer words.
     """
 
-    def __init__(self, vocabulary: np.ndarray | None = None):
+    def __init__(self):
         self.hasher, self.letters = Hasher(seed=9), _letters()
-        self.vocabulary = vocabulary
 
-    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def hashes(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Row and hash of every occurrence of a term."""
         data, offsets = text_bytes(pc.utf8_lower(column.fill_null("")))
         inside = self.letters[data]
         edge = np.zeros(len(data) + 1, bool)
@@ -74,7 +75,7 @@ class Terms:
         begins[1:] &= ~inside[:-1] | edge[1:-1]
         ends[:-1] &= ~inside[1:] | edge[1:-1]
         starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        rows = np.searchsorted(offsets, starts, "right") - 1
+        rows = np.repeat(np.arange(len(column)), np.diff(np.searchsorted(starts, offsets)))
         sums = self.hasher.sums(data)
         hashes, owners = [self.hasher.ranges(sums, starts, stops)], [rows]
         for n in PREFIXES:
@@ -82,20 +83,53 @@ class Terms:
             cut_at = starts[longer]
             hashes.append(mix(self.hasher.ranges(sums, cut_at, cut_at + n) + np.uint64(n)))
             owners.append(rows[longer])
-        hashes, rows = np.concatenate(hashes), np.concatenate(owners)
-        if self.vocabulary is not None:
-            at = np.searchsorted(self.vocabulary, hashes)
-            at[at == len(self.vocabulary)] = 0
-            known = self.vocabulary[at] == hashes if len(self.vocabulary) else np.zeros(len(hashes), bool)
-            rows, hashes = rows[known], hashes[known]
-        order = np.argsort(hashes)
-        small = rows.astype(np.uint16) if not len(rows) or rows.max() < 2**16 else rows
-        order = order[np.argsort(small[order], kind="stable")]
-        rows, hashes = rows[order], hashes[order]
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
-        first = np.flatnonzero(new)
-        return rows[first], hashes[first], np.diff(np.append(first, len(rows)))
+        return np.concatenate(owners), np.concatenate(hashes)
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return counted(*self.hashes(column))
+
+
+def counted(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(hashes)
+    small = rows.astype(np.uint16) if not len(rows) or rows.max() < 2**16 else rows
+    order = order[np.argsort(small[order], kind="stable")]
+    rows, hashes = rows[order], hashes[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+    first = np.flatnonzero(new)
+    return rows[first], hashes[first], np.diff(np.append(first, len(rows)))
+
+
+class Vocabulary:
+    """Sorted hashes of terms, found by their leading bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.shift = np.uint64(64 - max(4, len(hashes).bit_length()))
+        edges = np.searchsorted(hashes >> self.shift, np.arange(2 ** (64 - int(self.shift)) + 1, dtype=np.uint64))
+        self.first, self.longest = edges[:-1].astype(np.int32), int(np.diff(edges).max())
+        self.padded = np.append(hashes, np.zeros(self.longest + 1, np.uint64))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each term, -1 for terms that are not listed."""
+        at = self.first[(hashes >> self.shift).astype(np.int64)].astype(np.int64)
+        missed = np.flatnonzero(self.padded[at] != hashes)
+        for _ in range(self.longest - 1):
+            at[missed] += 1
+            missed = missed[self.padded[at[missed]] != hashes[missed]]
+        at[missed] = -1
+        at[at >= len(self.hashes)] = -1
+        return at
+
+    def counts(self, rows: np.ndarray, hashes: np.ndarray) -> tuple[tuple, tuple]:
+        """(row, number, count) of the listed terms and (row, hash, count) of the others, rows ascending."""
+        at = self.find(hashes)
+        known = at >= 0
+        n = max(1, len(self.hashes))
+        keys = np.sort(rows[known] * n + at[known])
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)])
+        owners = keys[first] // n
+        return (owners, keys[first] - owners * n, np.diff(np.append(first, len(keys)))), counted(rows[~known], hashes[~known])
 
 
 def sample_examples(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
@@ -156,13 +190,15 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int,
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        known = sent.value
-        terms = Terms(known)
-        total = np.zeros(len(known) + 1, np.int64)
+        terms, known = Terms(), Vocabulary(sent.value)
+        n = len(sent.value)
+        total = np.zeros(n + 1, np.int64)
         for batch in batches:
             for a, b in slices(text_bytes(batch.column("text"))[1]):
-                _, hashes, _ = terms(batch.slice(a, b - a).column("text"))
-                np.add.at(total, np.searchsorted(known, hashes), 1)
+                rows, hashes = terms.hashes(batch.slice(a, b - a).column("text"))
+                at = known.find(hashes)
+                rows, at = rows[at >= 0], at[at >= 0]
+                total[:n] += np.bincount(np.unique(rows * n + at) % n, minlength=n)
             total[-1] += batch.num_rows
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["i", "n"])
@@ -180,83 +216,131 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples in blocks, with the largest weight of each term in each block.
+    """Unit vectors of examples in groups of similar ones, and the exact search for the nearest of them.
 
-    Examples are ordered by their strongest terms, so a block holds similar ones and its bounds are close. Terms of
-    many examples are rows of a matrix; the others have postings, cut into runs by block.
+    In each group the terms of many of its examples are rows of a matrix; all others have postings. Vectors that are
+    looked up are grouped alike, so a product only takes the rows that its group uses. Products of single precision tell
+    which examples can be among the nearest; their products are then taken in double precision.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list, n_terms: int):
         order = sorted(range(len(vectors)), key=lambda i: [int(t) for t in vectors[i][0][np.argsort(-vectors[i][1], kind="stable")][:3]])
-        self.vectors = [vectors[i] for i in order]
-        self.labels, self.ids = labels[order], [ids[i] for i in order]
-        self.n, self.n_blocks = len(order), -(-len(order) // BLOCK)
-        terms = np.concatenate([t for t, _ in self.vectors])
-        weights = np.concatenate([w for _, w in self.vectors])
-        examples = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in self.vectors])
-        common = np.flatnonzero(np.bincount(terms, minlength=n_terms) >= COMMON * self.n)
-        self.row = np.full(n_terms, -1, np.int32)
-        self.row[common] = np.arange(len(common))
-        self.matrix = np.zeros((len(common), self.n))
-        often = self.row[terms] >= 0
-        self.matrix[self.row[terms[often]], examples[often]] = weights[often]
-        terms, weights, examples = terms[~often], weights[~often], examples[~often]
-        by = np.argsort(terms, kind="stable")
-        terms, self.weights, self.examples = terms[by], weights[by], examples[by]
-        blocks = self.examples // BLOCK
-        new = np.ones(len(terms), bool)
-        new[1:] = (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])
-        self.run_start = np.flatnonzero(new)
-        self.run_length = np.diff(np.append(self.run_start, len(terms))).astype(np.int32)
-        self.run_block = blocks[self.run_start]
-        self.run_most = np.maximum.reduceat(self.weights, self.run_start) if len(terms) else np.empty(0)
-        self.first_run = np.searchsorted(terms[self.run_start], np.arange(n_terms + 1))
+        self.labels, self.ids, self.n = labels[order], [ids[i] for i in order], len(order)
+        self.sizes = np.array([len(vectors[i][0]) for i in order])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.terms = np.concatenate([vectors[i][0] for i in order]).astype(np.int32)
+        self.weights = np.concatenate([vectors[i][1] for i in order])
+        seen: dict[bytes, int] = {}
+        self.first_equal = np.array([seen.setdefault(t.tobytes() + w.tobytes(), i) for i, (t, w) in enumerate(self.vectors)])
+        owners = np.repeat(np.arange(self.n), self.sizes)
+        group = self._group(owners, n_terms)
+        # Columns of the matrices and of the scores: examples by group.
+        self.place = np.argsort(group, kind="stable")
+        self.column = np.argsort(self.place)
+        self.edges = np.searchsorted(group[self.place], np.arange(GROUPS + 1))
+        self.rows, self.tiles, self.exact = [], [], []
+        listed = np.ones(len(self.terms), bool)
+        for a, b in zip(self.edges[:-1], self.edges[1:]):
+            mine = np.flatnonzero((self.column[owners] >= a) & (self.column[owners] < b))
+            common = np.flatnonzero(np.bincount(self.terms[mine], minlength=n_terms) >= max(2, COMMON * (b - a)))
+            row = np.full(n_terms, -1, np.int32)
+            row[common] = np.arange(len(common))
+            mine = mine[row[self.terms[mine]] >= 0]
+            exact = np.zeros((b - a, len(common)))
+            exact[self.column[owners[mine]] - a, row[self.terms[mine]]] = self.weights[mine]
+            listed[mine] = False
+            self.rows.append(row)
+            self.tiles.append(np.ascontiguousarray(exact.T, np.float32))
+            self.exact.append(exact)
+        listed = np.flatnonzero(listed)
+        listed = listed[np.argsort(self.terms[listed], kind="stable")]
+        self.first = np.searchsorted(self.terms[listed], np.arange(n_terms + 1))
+        self.posted, self.factors = self.column[owners[listed]].astype(np.int32), self.weights[listed]
+        # Rounding of single precision sums, for vectors of length 1.
+        self.slack = 2 * (max(len(t) for t in self.tiles) + 4) * 2.0**-24
+
+    @property
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(self.terms[a : a + n], self.weights[a : a + n]) for a, n in zip(self.starts, self.sizes)]
+
+    def drop_vectors(self) -> None:
+        """Searches do without the vectors themselves."""
+        self.terms = self.weights = self.starts = self.sizes = np.empty(0)
+
+    def _group(self, owners: np.ndarray, n_terms: int) -> np.ndarray:
+        """Group of each example: some rounds of k-means over the terms that many examples have."""
+        often = np.bincount(self.terms, minlength=n_terms) >= max(2, COMMON * self.n)
+        row = np.cumsum(often) - 1
+        kept = often[self.terms]
+        dense = np.zeros((self.n, int(often.sum())), np.float32)
+        dense[owners[kept], row[self.terms[kept]]] = self.weights[kept]
+        pivots = dense[np.linspace(0, self.n - 1, GROUPS).astype(int)].T
+        for _ in range(ROUNDS):
+            group = np.argmax(dense @ pivots, axis=1)
+            sums = np.stack([dense[group == g].sum(axis=0) for g in range(GROUPS)], axis=1)
+            pivots = sums / np.maximum(np.sqrt((sums**2).sum(axis=0)), 1e-12)
+        self.pivots = np.zeros((n_terms, GROUPS), np.float32)
+        self.pivots[often] = pivots
+        return np.argmax(dense @ pivots, axis=1)
 
     def common_scores(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_rows: int) -> np.ndarray:
-        """The part of the common terms in the products of ``n_rows`` vectors with all examples."""
-        at = self.row[terms]
-        dense = np.zeros((n_rows, len(self.matrix)))
-        dense[rows[at >= 0], at[at >= 0]] = weights[at >= 0]
-        return dense @ self.matrix
+        """The part of the matrices in the products of ``n_rows`` vectors with all examples, by column."""
+        out = np.zeros((n_rows, self.n), np.float32)
+        near = np.zeros((n_rows, GROUPS))
+        for g in range(GROUPS):
+            near[:, g] = np.bincount(rows, weights * self.pivots[terms, g], n_rows)
+        group = np.argmax(near, axis=1)
+        for g in np.unique(group):
+            members = np.flatnonzero(group == g)
+            local = np.full(n_rows, -1)
+            local[members] = np.arange(len(members))
+            mine = local[rows] >= 0
+            here, t, w = local[rows[mine]], terms[mine], weights[mine]
+            for row, tile, a, b in zip(self.rows, self.tiles, self.edges[:-1], self.edges[1:]):
+                at = row[t]
+                hit = at >= 0
+                used = np.zeros(len(tile), bool)
+                used[at[hit]] = True
+                whole = used.sum() > WHOLE_TILE * len(tile)
+                number = np.arange(len(tile)) if whole else np.cumsum(used) - 1
+                dense = np.zeros((len(members), len(tile) if whole else int(used.sum())), np.float32)
+                dense[here[hit], number[at[hit]]] = w[hit]
+                out[members, a:b] = dense @ (tile if whole else tile[used])
+        return out
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions and products of the k nearest examples with a product over 0; equal ones by position. Exact."""
         if common is None:
             common = self.common_scores(np.zeros(len(terms), np.int64), terms, weights, 1)[0]
-        scores = common.copy()
-        rare = self.row[terms] < 0
-        starts, n = self.first_run[terms[rare]], self.first_run[terms[rare] + 1] - self.first_run[terms[rare]]
-        runs, factor = spans(starts, n), np.repeat(weights[rare], n)
-        blocks = self.run_block[runs]
-        limits = np.maximum.reduceat(common, np.arange(0, self.n, BLOCK)) + np.bincount(blocks, factor * self.run_most[runs], self.n_blocks)
-
-        def add(chosen: np.ndarray) -> None:
-            mine = chosen[blocks]
-            lengths = self.run_length[runs[mine]]
-            at = spans(self.run_start[runs[mine]], lengths)
-            scores[:] += np.bincount(self.examples[at], self.weights[at] * np.repeat(factor[mine], lengths), self.n)
-
-        def best(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.flatnonzero(np.repeat(chosen, BLOCK)[: self.n])
-            at = at[at != skip]
-            found = np.round(scores[at], 12)
-            if len(at) > k:
-                near = found >= np.partition(found, len(at) - k)[len(at) - k]
-                at, found = at[near], found[near]
-            at, found = at[found > 0], found[found > 0]
-            order = np.lexsort((at, -found))[:k]
-            return at[order], found[order]
-
-        chosen = np.zeros(self.n_blocks, bool)
-        chosen[np.argsort(-limits, kind="stable")[:FIRST_BLOCKS]] = True
-        add(chosen)
-        at, found = best(chosen)
-        least = found[-1] - 1e-9 if len(found) == k else 0.0
-        more = ~chosen & (limits > 0) & (limits >= least)
-        if not more.any():
-            return at, found
-        add(more)
-        return best(chosen | more)
+        starts = self.first[terms]
+        lengths = self.first[terms + 1] - starts
+        at = spans(starts, lengths)
+        rest = np.bincount(self.posted[at], self.factors[at] * np.repeat(weights, lengths), self.n).astype(np.float64, copy=False)
+        scores = rest + common
+        if skip >= 0:
+            scores[self.column[skip]] = 0.0
+        least = np.partition(scores, self.n - k)[self.n - k] - self.slack * np.sqrt((weights**2).sum()) if self.n > k else 0.0
+        columns = np.flatnonzero((scores >= least) & (scores > 0))
+        if len(columns) > 4 * k:
+            # Many equal examples: products of one of each kind.
+            kinds, which = np.unique(self.first_equal[self.place[columns]], return_inverse=True)
+            products = self.products(self.column[kinds], terms, weights, rest)[which]
+        else:
+            products = self.products(columns, terms, weights, rest)
+        places = self.place[columns]
+        order = np.lexsort((places, -products))[:k]
+        return places[order], products[order]
+
+    def products(self, columns: np.ndarray, terms: np.ndarray, weights: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Products of a vector with the examples of some columns in double precision; ``rest`` has the part of the postings."""
+        out = rest[columns]
+        group = np.searchsorted(self.edges, columns, "right") - 1
+        for g in np.unique(group):
+            mine = np.flatnonzero(group == g)
+            at = self.rows[g][terms]
+            hit = np.flatnonzero(at >= 0)
+            out[mine] += self.exact[g][np.ix_(columns[mine] - self.edges[g], at[hit])] @ weights[hit]
+        return np.round(out, 12)
 
 
 def rising_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -328,9 +412,10 @@ class Scorer:
 
         def run(batches):
             tool = sent.value
+            listed = tool.index.vectors
             for batch in batches:
                 places = batch.column("id").to_numpy()
-                vectors = [tool.index.vectors[i] for i in places]
+                vectors = [listed[i] for i in places]
                 at, weights = (np.concatenate(x) for x in zip(*vectors))
                 found = list(tool.nearest(np.repeat(np.arange(len(places)), [len(t) for t, _ in vectors]), at, weights, len(places), places))
                 yield pa.RecordBatch.from_arrays([pa.array(tool.order[places]), pa.array([self.votes(*f) for f in found], pa.float64())], ["i", "vote"])
@@ -384,23 +469,21 @@ def nearest_examples(docs: DataFrame, sent) -> DataFrame:
 
     def run(batches):
         tool = sent.value
-        tool.index.vectors = []
-        terms = Terms()
+        tool.index.drop_vectors()
+        terms, vocabulary = Terms(), Vocabulary(tool.vocabulary)
         for batch in batches:
             for a, b in slices(text_bytes(batch.column("text"))[1]):
                 here = batch.slice(a, b - a)
                 n = here.num_rows
-                rows, hashes, counts = terms(here.column("text"))
-                at = np.minimum(np.searchsorted(tool.vocabulary, hashes), len(tool.vocabulary) - 1)
-                known = tool.vocabulary[at] == hashes
-                weights = tool.weigh(at[known], counts[known])
-                near = list(tool.nearest(rows[known], at[known], weights, n))
-                sizes, rest = [len(x) for x, _ in near], np.bincount(rows[~known], minlength=n)
+                (rows, at, seen), (others, hashes, counts) = vocabulary.counts(*terms.hashes(here.column("text")))
+                weights = tool.weigh(at, seen)
+                near = list(tool.nearest(rows, at, weights, n))
+                sizes, rest = [len(x) for x, _ in near], np.bincount(others, minlength=n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         here.column("row"), here.column("doc_id"),
                         lists(sizes, pa.array(np.concatenate([x for x, _ in near]), pa.int32())), lists(sizes, pa.array(np.concatenate([x for _, x in near]), pa.float64())),
-                        pa.array(np.bincount(rows[known], weights**2, n).astype(float)), lists(rest, pa.array(hashes[~known].astype(np.int64))), lists(rest, pa.array(counts[~known], pa.int32())),
+                        pa.array(np.bincount(rows, weights**2, n).astype(float)), lists(rest, pa.array(hashes.astype(np.int64))), lists(rest, pa.array(counts, pa.int32())),
                     ],
                     ["row", "doc_id", "places", "products", "squares", "others", "counts"],
                 )

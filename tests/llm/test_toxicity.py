@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from placelens.llm.queries import QUERIES
-from placelens.llm.toxicity import NEIGHBOURS, BlockMaxIndex, Terms, fit_scorer, rising_fit, score_toxicity
+from placelens.llm.toxicity import GROUPS, NEIGHBOURS, BlockMaxIndex, Terms, Vocabulary, fit_scorer, rising_fit, score_toxicity
 from tests.llm.rows import ODD, documents, table
 
 
@@ -85,3 +85,40 @@ def test_cosine_is_over_whole_texts(spark):
         assert np.allclose([e["cosine"] for e in got[i]], sorted((c for c in cosine.values() if c > 0), reverse=True)[:3], atol=1e-9)
     assert got[501][0]["example"] == 500 and got[501][0]["cosine"] > 1 - 1e-9
     assert got[502][0]["cosine"] < 0.2
+
+
+def test_grouped_search_is_exact():
+    """Long vectors of unlike vocabularies with many copies: each weight is held once, and batches find what brute force does."""
+    rng = np.random.default_rng(5)
+    pool = []
+    for i in range(240):
+        t = np.unique(np.concatenate([rng.choice(60, 25) + 100 * (i % 3), rng.integers(300, 4000, 20)]))
+        w = rng.random(len(t)) + 0.1
+        pool.append((t, w / np.sqrt((w * w).sum())))
+    vectors = pool + [pool[7]] * 90
+    n = len(vectors)
+    index = BlockMaxIndex(vectors, np.zeros(n, int), list(range(n)), 4000)
+    assert len(index.tiles) == GROUPS and sum((x != 0).sum() for x in index.exact) + len(index.posted) == sum(len(t) for t, _ in vectors)
+    dense = np.zeros((n, 4000))
+    for i, (t, w) in enumerate(index.vectors):
+        dense[i, t] = w
+    rows = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
+    common = index.common_scores(rows, np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors]) * 30, n)
+    for i, (t, w) in enumerate(vectors):
+        product = np.round(dense[:, t] @ (w * 30), 9)
+        at, got = index.nearest(t, w * 30, NEIGHBOURS, common=common[i])
+        assert np.allclose(got, np.sort(product)[::-1][:NEIGHBOURS], atol=1e-8) and np.allclose(product[at], got, atol=1e-8)
+        assert all(a < b for a, b, x, y in zip(at, at[1:], got, got[1:]) if x == y)
+
+
+def test_vocabulary_numbers_and_counts():
+    rng = np.random.default_rng(6)
+    hashes = np.unique(np.concatenate([rng.integers(0, 2**64, 500, dtype=np.uint64), np.arange(5, dtype=np.uint64), np.array([2**64 - 1], np.uint64)]))
+    known = Vocabulary(hashes)
+    asked = np.concatenate([hashes, hashes + np.uint64(7), np.array([2**64 - 2, 6], np.uint64)])
+    number = {h: i for i, h in enumerate(hashes.tolist())}
+    assert known.find(asked).tolist() == [number.get(h, -1) for h in asked.tolist()]
+    rows = np.array([0, 0, 0, 2, 2])
+    listed, others = known.counts(rows, np.array([hashes[3], 6, hashes[3], hashes[0], 6], np.uint64))
+    assert [x.tolist() for x in listed] == [[0, 2], [3, 0], [2, 1]] and [x.tolist() for x in others] == [[0, 2], [6, 6], [1, 1]]
+    assert Vocabulary(np.empty(0, np.uint64)).find(hashes).tolist() == [-1] * len(hashes)
