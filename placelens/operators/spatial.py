@@ -17,6 +17,10 @@ from placelens.session import cut
 
 RADII = (0.5, 1.0, 3.0)
 SPOT = ["slice", "latitude", "longitude"]
+# Rows of one position that a radius join keeps in one list.
+SPOT_ROWS = 1024
+# Reference rows of a grid cell that meet their targets in one task.
+CELL_ROWS = 10_000
 MEASURES = ("n", "stars", "open", "n_stars", "n_open")
 # Cells of ring sums: so many to the largest radius, none larger than this, and none beyond this latitude.
 CELLS_PER_RADIUS = 32
@@ -32,6 +36,29 @@ def with_point(df: DataFrame) -> DataFrame:
     )
 
 
+def _cell_pairs(targets: DataFrame, ref: DataFrame, radius_km: float, **salts) -> DataFrame:
+    """Rows of both sides within the radius, by an equi-join on grid cells; cells of very many reference rows are salted."""
+    left = with_point(targets).withColumn("cell", F.explode(nearby_cells("latitude", "longitude", radius_km)))
+    right = (
+        with_point(ref)
+        .withColumn("cell", home_cell("latitude", "longitude", radius_km))
+        .withColumnsRenamed({"latitude": "ref_latitude", "longitude": "ref_longitude"})
+    )
+    distance = haversine_km(F.col("latitude"), F.col("longitude"), F.col("ref_latitude"), F.col("ref_longitude"))
+    pairs = salted_join(left, right, "cell", **salts).withColumn("distance_km", distance).where(F.col("distance_km") <= radius_km)
+    return pairs.drop("cell")
+
+
+def _spots(rows: DataFrame, name: str) -> DataFrame:
+    """Rows gathered by position: latitude, longitude and ``name``, their other columns; at most about ``SPOT_ROWS`` in a list."""
+    rows = with_point(rows)
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in SPOT[1:]]
+    many = rows.groupBy(*SPOT[1:]).agg(F.count("*").alias("_n")).where(F.col("_n") > SPOT_ROWS)
+    part = F.pmod(F.xxhash64(*others), F.coalesce(F.ceil(F.col("_n") / SPOT_ROWS), F.lit(1))).alias("_part")
+    parts = rows.join(many, SPOT[1:], "left").select(*SPOT[1:], part, F.struct(*others).alias(name))
+    return parts.groupBy(*SPOT[1:], "_part").agg(F.collect_list(name).alias(name)).drop("_part")
+
+
 def radius_join(
     targets: DataFrame,
     ref: DataFrame,
@@ -39,22 +66,26 @@ def radius_join(
     target_key: str = "target_id",
     ref_key: str = "ref_id",
     exclude_self: bool = False,
+    digits: int | None = None,
 ) -> DataFrame:
-    """Pairs (target row, ref row, distance_km) with distance <= radius, by an equi-join on grid cells.
+    """Pairs (target row, ref row, distance_km) with distance <= radius; with ``digits`` the distance is rounded.
 
-    Both inputs carry latitude and longitude. Cells that hold very many reference rows are salted.
+    Both inputs carry latitude and longitude. Positions are joined, and rows at one position go with it as a list: the
+    distance is found once for each pair of positions, and only the task that writes the pairs opens the lists. So the
+    rows of a target and a distance follow each other in the same order, which Parquet stores in a small part of the
+    bytes of scattered rows.
     """
-    left = with_point(targets).withColumn("cell", F.explode(nearby_cells("latitude", "longitude", radius_km)))
-    right = (
-        with_point(ref)
-        .withColumn("cell", home_cell("latitude", "longitude", radius_km))
-        .withColumnsRenamed({"latitude": "ref_latitude", "longitude": "ref_longitude"})
-    )
-    distance = haversine_km(F.col("latitude"), F.col("longitude"), F.col("ref_latitude"), F.col("ref_longitude"))
-    pairs = salted_join(left, right, "cell").withColumn("distance_km", distance).where(F.col("distance_km") <= radius_km)
+    tasks = 4 * int(ref.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = _cell_pairs(_spots(targets, "_targets"), _spots(ref, "_refs"), radius_km, min_rows=CELL_ROWS, rows=F.size("_refs"), parts=tasks)
+    if digits is not None:
+        pairs = pairs.withColumn("distance_km", F.round("distance_km", digits))
+    opened = pairs.withColumn("_target", F.explode("_targets")).drop("_targets").withColumn("_ref", F.explode("_refs")).drop("_refs")
+    at = lambda c, side, end: F.col(f"{end}{c}") if c in SPOT[1:] else F.col(f"{side}.`{c}`").alias(c)
+    mine, theirs = [at(c, "_target", "") for c in targets.columns], [at(c, "_ref", "ref_") for c in ref.columns]
+    pairs = opened.select(*mine, *theirs, "distance_km")
     if exclude_self:
         pairs = pairs.where(F.col(target_key) != F.col(ref_key))
-    return pairs.drop("cell")
+    return pairs
 
 
 def _slice(by: str | None) -> Column:
@@ -93,7 +124,7 @@ def neighbour_totals(
         _slice(by), "latitude", "longitude", category_set(F.col("categories")).alias("cats")
     ).distinct()
     near = reference_profiles(ref, by).withColumnsRenamed({"cats": "ref_cats", "slice": "ref_slice"})
-    pairs = radius_join(profiles, near, max(radii)).where("slice = ref_slice")
+    pairs = _cell_pairs(profiles, near, max(radii)).where("slice = ref_slice")
     own = "latitude = ref_latitude AND longitude = ref_longitude AND cats = ref_cats"
     pairs = pairs.selectExpr(
         *key, "ref_cats", "distance_km", *MEASURES, "arrays_overlap(cats, ref_cats) AS same", f"{own} AS own"
@@ -251,7 +282,7 @@ def ring_steps(
     undecided = any_of([F.col(c) for c in borders])
     nodes = _node_table(places, MEASURES).withColumnsRenamed({"node": "ref_node", "reach": "ref_reach"})
     # Reaches are below 1.25 cells.
-    near = radius_join(_node_table(spots), nodes, max(radii) + 2.5 * cell_km).where("node.slice = ref_node.slice")
+    near = _cell_pairs(_node_table(spots), nodes, max(radii) + 2.5 * cell_km).where("node.slice = ref_node.slice")
     first = _settle(near.withColumns({c: F.lit(True) for c in borders}), F.col("reach") + F.col("ref_reach"), radii)
     rest = cut(first.where(undecided).select("node", "ref_node", "ref_latitude", "ref_longitude", "ref_reach", *MEASURES, *borders))
     second = _settle(salted_join(rest, spots, "node"), F.col("ref_reach"), radii)

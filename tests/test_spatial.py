@@ -37,6 +37,25 @@ def test_radius_join_equals_brute_force(spark, lat, lon, spread, radius):
     assert got == want
 
 
+def test_radius_join_opens_shared_positions_last(spark, monkeypatch):
+    """Rows that share positions come out as runs of one distance; lists and cells are split and lose no row."""
+    rng = random.Random(4)
+    spots = [(40 + 0.004 * i, -75.0 + 0.003 * (i % 3)) for i in range(9)]
+    rows = [(i if i % 31 else None, *spots[rng.randrange(9)]) for i in range(300)] + [(900, None, 1.0), (901, 40.0, float("nan")), (5, *spots[0])]
+    df = spark.createDataFrame(rows, "id long, latitude double, longitude double").repartition(4)
+    near = [(a[0], b[0], round(km(a[1:], b[1:]), 6)) for a in rows for b in rows if None not in a[1:] + b[1:] and km(a[1:], b[1:]) <= 1.0]
+    want = sorted(x for x in near if None not in x and x[0] != x[1])
+    for spot_rows, cell_rows in ((1024, 10_000), (4, 7)):
+        monkeypatch.setattr(spatial, "SPOT_ROWS", spot_rows)
+        monkeypatch.setattr(spatial, "CELL_ROWS", cell_rows)
+        pairs = spatial.radius_join(df.withColumnRenamed("id", "target_id"), df.withColumnRenamed("id", "ref_id"), 1.0, exclude_self=True, digits=6)
+        assert pairs.columns == ["target_id", "latitude", "longitude", "ref_id", "ref_latitude", "ref_longitude", "distance_km"]
+        got = [(r["target_id"], r["ref_id"], r["distance_km"]) for r in pairs.collect()]
+        assert sorted(got) == want
+        if spot_rows == 1024:
+            assert sum(a[2] != b[2] for a, b in zip(got, got[1:])) < 81 < len(got) // 20
+
+
 def test_salted_join_keeps_all_pairs_of_hot_keys(spark):
     probe = spark.createDataFrame([("h", i) for i in range(3)] + [("c", 9), ("x", 1)], "key string, p int")
     build = spark.createDataFrame([("h", i) for i in range(50)] + [("c", 1)], "key string, b int")
