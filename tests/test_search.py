@@ -11,6 +11,7 @@ from placelens.operators import modeling, retrieval, spatial, text_signals
 from placelens.plans import checks_search, checks_text
 from placelens.plans import search as plan
 from placelens.plans import views as v
+from placelens.sources import writers
 
 SF = "/root/testdata/sf0.001"
 DOCS = [(1, "spicy thai noodles noodles"), (2, "thai curry"), (3, "pizza oven pizza"), (4, "")]
@@ -61,6 +62,27 @@ def test_index_blocks_follow_the_text_and_keep_ids_whole(spark, monkeypatch):
     assert rare == [sum(n >= 9 for n in df.values())] * 2
 
 
+def test_terms_leave_a_block_packed(spark, monkeypatch, tmp_path):
+    """No row of an exchange is a term or a posting; the saved index is whole and each of its files sorted by term."""
+    rows = [(f"d{i % 90}" if i % 45 else None, " ".join(f"w{(i * k) % 53} x{k}" for k in range(i % 13))) for i in range(180)] + [("e", None), ("f", " ")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    monkeypatch.setattr(retrieval, "TEXT_BLOCK", 1000)
+    monkeypatch.setattr(writers, "PACKED_ROWS", 50)
+    index = retrieval.fit_tfidf(docs, stopwords=[], cut=True)
+    for plan in (physical(index.postings), physical(retrieval.fit_tfidf(docs, stopwords=[]).vocabulary)):
+        keys = [line for line in plan.splitlines() if "Exchange" in line and ("term" in line or "doc_id" in line)]
+        assert not [line for line in keys if "partitioning(term" in line or "Window" in line] and "SortMergeJoin" not in plan
+    writers.save_index(index, docs.select("doc_id"), str(tmp_path / "i"), {"a": 1})
+    saved = writers.load_index(spark, str(tmp_path / "i"))[0]
+    whole = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else str(x) for x in r) for r in df.collect())
+    assert whole(saved.postings) == whole(index.postings) == whole(retrieval.fit_tfidf(docs, stopwords=[]).postings)
+    assert whole(saved.vocabulary) == whole(index.vocabulary) and len(whole(index.vocabulary)) > 100
+    files = saved.postings.groupBy(F.input_file_name().alias("f")).agg(F.collect_list("term").alias("t")).collect()
+    assert len(files) > 1 and all(r["t"] == sorted(r["t"]) for r in files)
+    none = retrieval.fit_tfidf(docs, stopwords=[], max_features=0)
+    assert none.postings.count() == none.vocabulary.count() == 0
+
+
 def test_vocabulary_cap_takes_most_frequent_then_alphabetical(spark):
     index = retrieval.fit_tfidf(spark.createDataFrame(DOCS, "doc_id int, text string"), max_features=4, stopwords=[])
     assert {r["term"] for r in index.vocabulary.collect()} == {"noodles", "pizza", "thai", "curry"}
